@@ -5,9 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgrid.llm.common import read
+from loomgrid.llm.fingerprint import fingerprints
 from loomgrid.llm.quality import quality_rules
+from loomgrid.llm.sharding import shard
+from loomgrid.llm.url_filter import url_filter
+
+#: The rules of the contract, as (action, host/path).
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+#: Hosts with such a label are the source of the list of URLs that the filter blocks beside the rules.
+LISTED_HOSTS = r"://([^/?#]*[.-])?(casino|bet|win|pills|adult)([.-][^/?#]*)?([/?#]|$)"
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return url_filter(pages, pages.where(F.col("url").rlike(LISTED_HOSTS)).select("url"), URL_RULES)
+
+
+def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(read(spark, sf_dir, "documents"))
+
+
+def op7_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read(spark, sf_dir, "documents"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +38,28 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_url_filter": op2_url_filter,
+        "op6_byte_shards": op6_byte_shards,
+        "op7_multiset_fingerprint": op7_multiset_fingerprint,
         "op9_quality_rules": op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    canonical = r"""CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') || regexp_replace(path, '/+$', '')
+        || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END END"""
+    return {
+        "op2_url_filter": rf"""
+WITH raw AS (SELECT page_id, url, coalesce(regexp_extract(url, '^.*?://(.*)$', 1, 's'), '') AS rest FROM pages),
+parts AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    list_filter(string_split(regexp_extract(coalesce(url, ''), '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref)=')) AS q FROM raw),
+keyed AS (SELECT *, {canonical} AS key,
+    CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+         WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+         WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parts),
+listed AS (SELECT DISTINCT key FROM keyed WHERE regexp_matches(coalesce(url, ''), '{LISTED_HOSTS}') AND key IS NOT NULL)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM keyed""",
+    }
