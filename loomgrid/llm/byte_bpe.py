@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.packing import text_slices
+from loomgrid.llm.batches import text_slices
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 #: Fixed values of sentencepiece's model format: piece types and model type.
@@ -73,7 +74,7 @@ def sentencepiece_model(vocabulary: list[bytes]) -> bytes:
 class ByteBpe:
     """Encoder and decoder of whole texts."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 300_000):
+    def __init__(self, path: str, pattern: str, remember: int = 500_000):
         import regex
         import sentencepiece
 
@@ -92,18 +93,26 @@ class ByteBpe:
         new = list(new)
         spelled = [m.encode("utf-8", "replace").decode("latin-1").translate(self.letters) for m in new]
         for match, ids in zip(new, self.processor.encode(spelled, num_threads=1), strict=True):
-            self.known[match] = np.array(ids, "<u4").tobytes()
+            self.known[match] = array("I", ids).tobytes()
         return [b"".join(map(self.known.__getitem__, ms)) for ms in split]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+_CODERS: dict[tuple[str, str], ByteBpe] = {}
+
+
+def byte_bpe(path: str, pattern: str) -> ByteBpe:
+    """One coder for each worker process, so that its tasks share the model and what it remembers."""
+    return _CODERS.get((path, pattern)) or _CODERS.setdefault((path, pattern), ByteBpe(path, pattern))
+
+
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests of every text's ids and of the bytes that they decode to; ``encode_ids`` gives the ids themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ByteBpe(ranks_path, pattern)
+        coder = byte_bpe(ranks_path, pattern)
         for names, texts in text_slices(batches):
             found = coder.encode(texts)
             yield pa.RecordBatch.from_pydict({
@@ -118,7 +127,7 @@ def encode_ids(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     """doc_id and ids (array of int) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ByteBpe(ranks_path, pattern)
+        coder = byte_bpe(ranks_path, pattern)
         for names, texts in text_slices(batches):
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in coder.encode(texts)]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))})

@@ -19,6 +19,7 @@ ignored. Which documents meet in a sequence depends on how the input is partitio
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,28 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.llm.batches import text_slices
+
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 END = 1
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 1 << 21) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of at most about ``max_bytes`` of text, whatever the batches' sizes; null texts are empty."""
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        begin = size = 0
-        for i, length in enumerate(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()):
-            size += length
-            if size >= max_bytes:
-                yield ids[begin : i + 1], [t or "" for t in texts.slice(begin, i + 1 - begin).to_pylist()]
-                begin, size = i + 1, 0
-        if begin < len(ids):
-            yield ids[begin:], [t or "" for t in texts.slice(begin).to_pylist()]
-
-
 class WordIds:
     """Ids of whole texts by a tokenizer whose tokens never cross ASCII white space, so that a word is encoded once while it is remembered."""
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember, self.known = Tokenizer.from_file(path), remember, {}
@@ -61,11 +50,19 @@ class WordIds:
             self.known, new = {}, distinct
         new = list(new)
         for word, found in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, np.uint32).tobytes()
+            self.known[word] = array("I", found.ids).tobytes()
         ids = self.known.__getitem__
         return [np.frombuffer(b"".join(map(ids, ws)), np.uint32) for ws in split]
 
 
+_ENCODERS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One encoder for each worker process, so that its tasks share what it remembers."""
+    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, WordIds(path))
+
+
 def pack_pool(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> tuple[np.ndarray, int]:
     """Rows (document, start, length, sequence, offset) and the number of sequences, for documents of these lengths."""
     total, rows, used = int(lengths.sum()), [], 0
@@ -97,7 +94,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """A row for each piece of a document; sequences of a task are numbered from its partition number on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = WordIds(tokenizer_path), TaskContext.get().partitionId() << 33
+        encoder, sequence = word_ids(tokenizer_path), TaskContext.get().partitionId() << 33
         names: list = []
         pool: list[np.ndarray] = []
         gathered = 0

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrid.llm.byte_bpe import encode_decode
 from loomgrid.llm.common import read
 from loomgrid.llm.fingerprint import fingerprints
+from loomgrid.llm.near_dedup import near_duplicates
+from loomgrid.llm.packing import pack
 from loomgrid.llm.quality import quality_rules
 from loomgrid.llm.sharding import shard
 from loomgrid.llm.url_filter import url_filter
@@ -19,11 +22,26 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 LISTED_HOSTS = r"://([^/?#]*[.-])?(casino|bet|win|pills|adult)([.-][^/?#]*)?([/?#]|$)"
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file, which every worker has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     return url_filter(pages, pages.where(F.col("url").rlike(LISTED_HOSTS)).select("url"), URL_RULES)
 
 
+def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=4)
+
+
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
@@ -32,6 +50,12 @@ def op7_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_decode(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
@@ -39,8 +63,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": op2_url_filter,
+        "op3_cost_packing": op3_cost_packing,
+        "op4_near_dedup": op4_near_dedup,
         "op6_byte_shards": op6_byte_shards,
         "op7_multiset_fingerprint": op7_multiset_fingerprint,
+        "op8_byte_bpe": op8_byte_bpe,
         "op9_quality_rules": op9_quality_rules,
     }
 
