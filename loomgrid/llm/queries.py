@@ -14,6 +14,7 @@ from loomgrid.llm.near_dedup import near_duplicates
 from loomgrid.llm.packing import pack
 from loomgrid.llm.quality import quality_rules
 from loomgrid.llm.sharding import shard
+from loomgrid.llm.toxicity import toxicity
 from loomgrid.llm.url_filter import url_filter
 
 #: The rules of the contract, as (action, host/path).
@@ -29,6 +30,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     return url_filter(pages, pages.where(F.col("url").rlike(LISTED_HOSTS)).select("url"), URL_RULES)
@@ -62,6 +67,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_subword_toxicity": op1_subword_toxicity,
         "op2_url_filter": op2_url_filter,
         "op3_cost_packing": op3_cost_packing,
         "op4_near_dedup": op4_near_dedup,
