@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgrid.llm.byte_bpe import encode_decode
 from loomgrid.llm.common import read
 from loomgrid.llm.fingerprint import fingerprints
+from loomgrid.llm.lm_score import score
 from loomgrid.llm.near_dedup import near_duplicates
 from loomgrid.llm.packing import pack
 from loomgrid.llm.quality import quality_rules
@@ -65,6 +66,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_subword_toxicity": op1_subword_toxicity,
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_multiset_fingerprint": op7_multiset_fingerprint,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_quality_rules": op9_quality_rules,
+        "op10_lattice_lm": op10_lattice_lm,
     }
 
 
