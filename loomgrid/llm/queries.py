@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgrid.llm.byte_bpe import encode_decode
 from loomgrid.llm.common import read
 from loomgrid.llm.fingerprint import fingerprints
+from loomgrid.llm.html_extract import extract
 from loomgrid.llm.lm_score import score
 from loomgrid.llm.near_dedup import near_duplicates
 from loomgrid.llm.packing import pack
@@ -48,6 +49,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=4)
 
 
+def op5_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filter": op2_url_filter,
         "op3_cost_packing": op3_cost_packing,
         "op4_near_dedup": op4_near_dedup,
+        "op5_crf_main_text": op5_crf_main_text,
         "op6_byte_shards": op6_byte_shards,
         "op7_multiset_fingerprint": op7_multiset_fingerprint,
         "op8_byte_bpe": op8_byte_bpe,
