@@ -35,23 +35,32 @@ END = 1
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer whose tokens never cross ASCII white space, so that a word is encoded once while it is remembered."""
+    """Ids of whole texts by a tokenizer that lower-cases and whose tokens never cross ASCII white space, nor the place between
+    an ASCII letter or digit and a closing comma or full stop; so words are encoded once while they are remembered."""
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember, self.known = Tokenizer.from_file(path), remember, {}
 
+    def _learn(self, words: list[bytes]) -> None:
+        for word, found in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self.known[word] = array("I", found.ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode("utf-8", "replace").split() for t in texts]
+        split = [t.encode("utf-8", "replace").lower().split() for t in texts]
         distinct = set().union(*split)
         new = distinct.difference(self.known)
         if len(self.known) + len(new) > self.remember:
             self.known, new = {}, distinct
-        new = list(new)
-        for word, found in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = array("I", found.ids).tobytes()
-        ids = self.known.__getitem__
+        closed = [w for w in new if len(w) > 1 and w[-1] in b".," and (97 <= w[-2] <= 122 or 48 <= w[-2] <= 57)]
+        new.difference_update(closed)
+        stems = {w[:-1] for w in closed}.union((b".", b",")).difference(self.known)
+        self._learn(list(stems.union(new)))
+        known = self.known
+        for w in closed:
+            known[w] = known[w[:-1]] + known[w[-1:]]
+        ids = known.__getitem__
         return [np.frombuffer(b"".join(map(ids, ws)), np.uint32) for ws in split]
 
 
