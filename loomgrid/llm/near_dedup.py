@@ -9,11 +9,17 @@ share a table unless all half-keys of a collection differ, with probability at m
 1. Each text becomes its set of distinct shingle hashes (64 bits), of which go on: its size, a 128-bit digest
    and the half-keys. Texts with equal sets form a class, which its smallest id represents.
 2. Only half-keys that at least two representatives have go on; the tables' keys are formed of those.
-3. In each table a bucket's members are compared with its smallest member, each with the one it meets in
-   most tables; links are confirmed on the full sets and give components.
-4. Members of different components that still share a bucket are compared pair by pair, if their sizes allow
-   a link, so no candidate is left out; members of one component no more.
-
+3. Shingles that no other text in the tables has can't be shared, so a text with n shingles, s of them held by
+   others, links with another only if the smaller s reaches num / (num + den) of the summed sizes. This exact
+   bound drops texts and pairs from here on that can't reach the similarity, whatever the group's size.
+4. In each table a bucket's members are compared with the member that shares most of its shingles, each with the
+   one it meets in most tables; links are confirmed on the full sets and give components.
+5. Texts that meet such a member in at least ``support`` tables form families with it. A family of several
+   components is compared whole, in blocks: each task holds two blocks of at most about ``block`` sets, counts
+   all overlaps by an inverted index of shingles, and returns links between components, never pairs.
+6. Members of different families that still share a bucket are compared pair by pair, if the bound allows a link.
+
+So every two texts that share a bucket and may be linked are compared, or lie in one component already.
 Nothing caps buckets or partners. Components stay in Spark.
 
 Defined results: a null or blank text has an empty set and is its own component; null ids get the component of an
@@ -140,7 +146,9 @@ def _sets(shingle: int):
         for ids, texts in text_slices(batches):
             sets = shingle_sets(texts, shingle)
             full = [i for i, s in enumerate(sets) if len(s)]
-            yield pa.RecordBatch.from_pydict({"id": pa.array([ids[i] for i in full], pa.int64()), "shingles": pa.array([sets[i].tobytes() for i in full], pa.binary())})
+            sizes = np.cumsum([0, *(len(sets[i]) for i in full)], dtype=np.int32)
+            values = np.concatenate([sets[i] for i in full]).view(np.int64) if full else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_pydict({"id": pa.array([ids[i] for i in full], pa.int64()), "shingles": pa.ListArray.from_arrays(sizes, pa.array(values))})
 
     return run
 
@@ -152,10 +160,7 @@ def _confirm(numerator: int, denominator: int):
         for batch in batches:
             kept = []
             for a, b in zip(batch.column("a_set"), batch.column("b_set"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
-                if min(len(x), len(y)) * denominator < max(len(x), len(y)) * numerator:
-                    kept.append(False)
-                    continue
+                x, y = (s.values.to_numpy().view(np.uint64) for s in (a, b))
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int(np.count_nonzero(y[at] == x))
                 kept.append(denominator * both >= numerator * (len(x) + len(y) - both))
@@ -164,7 +169,46 @@ def _confirm(numerator: int, denominator: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (80, 100), side: int = 14, width: int = 3) -> DataFrame:
+def _compare(numerator: int, denominator: int):
+    """Links between components among the sets of two blocks (or within one block)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        own, reps, comps = (table.column(c).to_numpy() for c in ("own", "rep", "component"))
+        lists = table.column("shingles").combine_chunks()
+        offsets = lists.offsets.to_numpy()
+        values, sizes = lists.values.to_numpy(), np.diff(offsets)
+        right = np.flatnonzero(own == j)
+        place = np.full(len(own), -1)
+        place[right] = np.arange(len(right))
+        holder = np.repeat(place, sizes)
+        inside = holder >= 0
+        span = values[offsets[0] : offsets[-1]][inside]
+        order = np.argsort(span, kind="stable")
+        holders = holder[inside][order]
+        keys, begins = np.unique(span[order], return_index=True)
+        counts = np.diff(np.append(begins, len(order)))
+        us, vs = [], []
+        for a in np.flatnonzero(own == i).tolist():
+            mine = values[offsets[a] : offsets[a + 1]]
+            at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+            at = at[keys[at] == mine]
+            if not len(at):
+                continue
+            n = counts[at]
+            picked = np.repeat(begins[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            both = np.bincount(holders[picked], minlength=len(right))
+            linked = right[denominator * both >= numerator * (sizes[a] + sizes[right] - both)]
+            linked = linked[comps[linked] != comps[a]]
+            for k in np.unique(comps[linked], return_index=True)[1].tolist():  # one link to a component is enough
+                us.append(reps[a])
+                vs.append(reps[linked[k]])
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (80, 100), side: int = 14, width: int = 3, support: int = 4, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row; ``similarity`` as a fraction of intersection over union."""
     num, den = similarity
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -175,19 +219,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = found.drop("keys").join(classes, digest, "left")
     reps = found.join(classes, digest).where("doc_id = rep").select("rep", "n", F.posexplode("keys").alias("i", "key"))
     shared = reps.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
-    live = reps.join(shared, "key").groupBy("rep", "n").agg(
-        F.array_distinct(F.collect_list(F.when(F.col("i") < side, F.col("key")))).alias("a"), F.array_distinct(F.collect_list(F.when(F.col("i") >= side, F.col("key")))).alias("b")
-    )  # at most 2 * side keys
+    half = lambda first: F.array_distinct(F.collect_list(F.when((F.col("i") < side) == first, F.col("key"))))  # noqa: E731  at most ``side`` keys
+    live = checkpoint(reps.join(shared, "key").groupBy("rep", "n").agg(half(True).alias("a"), half(False).alias("b")).where("size(a) > 0 and size(b) > 0"))
+    sets = checkpoint(texts.join(live.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_sets(shingle), "id bigint, shingles array<bigint>"))
+
+    alone = sets.select("id", F.explode("shingles").alias("g")).groupBy("g").agg(F.count("*").alias("holders"), F.min("id").alias("rep")).where("holders = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    held = live.join(alone, "rep", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("s") * den >= F.col("n") * num)
     tables = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
-    buckets = live.select("rep", "n", F.explode(tables).alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("bucket", "hub")
+    buckets = held.select("rep", "n", "s", F.explode(tables).alias("bucket"))
+    hubs = buckets.groupBy("bucket").agg(F.count("*").alias("members"), F.max(F.struct((F.col("s") / F.col("n")).alias("share"), (-F.col("rep")).alias("low"), "n", "s")).alias("hub")).where("members > 1")
+    hubs = hubs.select("bucket", (-F.col("hub.low")).alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.s").alias("hub_s"))
     buckets = checkpoint(buckets.join(hubs, "bucket"))
+    can = lambda s, n, t, m: F.least(s, t) * (num + den) >= (F.col(n) + F.col(m)) * num
 
     # each member with the hub that it meets in most tables
-    met = buckets.where("rep != hub").groupBy("rep", "hub").agg(F.count("*").alias("tables"))
+    met = buckets.where((F.col("rep") != F.col("hub")) & can("s", "n", "hub_s", "hub_n")).groupBy("rep", "hub").agg(F.count("*").alias("tables"))
     first = met.groupBy("rep").agg(F.max_by("hub", F.struct("tables", -F.col("hub"))).alias("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    candidates = buckets.select(F.col("rep").alias("id")).distinct()
-    sets = checkpoint(texts.join(candidates, texts["doc_id"] == candidates["id"], "left_semi").mapInArrow(_sets(shingle), "id bigint, shingles binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
@@ -195,14 +242,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = confirmed(first)
     stars = components(links)
-    placed = buckets.select("bucket", "rep", "n").join(stars, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    kin = components(met.where(F.col("tables") >= support).select(F.col("rep").alias("u"), F.col("hub").alias("v")))
+    named = lambda df, name: df.select(F.col("node").alias("rep"), F.col("component").alias(name))
+    known = held.select("rep", "n", "s").join(named(stars, "component"), "rep", "left").join(named(kin, "family"), "rep", "left")
+    known = checkpoint(known.select("rep", "n", "s", F.coalesce("component", "rep").alias("component"), F.coalesce("family", "rep").alias("family")))
+
+    families = known.groupBy("family").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    blocks = known.join(families.select("family", F.ceil(F.col("members") / block).alias("blocks")), "family").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
+    blocks = blocks.select("rep", "component", "family", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    blocks = blocks.select("rep", "component", "family", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    loaded = blocks.join(sets, F.col("rep") == F.col("id")).select("family", "i", "j", "own", "rep", "component", "shingles")
+    links = links.unionByName(checkpoint(loaded.groupBy("family", "i", "j").applyInArrow(_compare(num, den), "u bigint, v bigint")))
+
+    placed = buckets.select("bucket", "rep").join(known, "rep")
+    mixed = placed.groupBy("bucket").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low < high").select("bucket")
     open_ = checkpoint(placed.join(mixed, "bucket"))
-    a, b = (open_.select("bucket", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "n", "component"))) for s in "ab")
-    near = (F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num)
-    rest = a.join(b, "bucket").where((F.col("a_component") < F.col("b_component")) & near).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
-    tried = first.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
-    rest = rest.join(tried, (F.greatest("a", "b") == F.col("x")) & (F.least("a", "b") == F.col("y")), "left_anti")
+    a, b = (open_.select("bucket", *(F.col(c).alias(f"{x}_{c}") for c in ("rep", "n", "s", "component", "family"))) for x in "ab")
+    apart = (F.col("a_family") < F.col("b_family")) & (F.col("a_component") != F.col("b_component"))
+    rest = a.join(b, (a["bucket"] == b["bucket"]) & apart & can("a_s", "a_n", "b_s", "b_n")).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
     labels = components(links.unionByName(confirmed(rest)))
 
     joined = members.join(labels, F.col("rep") == F.col("node"), "left")
