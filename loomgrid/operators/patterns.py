@@ -64,10 +64,18 @@ def with_ratio(grid: DataFrame, flow: DataFrame) -> DataFrame:
     return grid.join(flow, "sensor_id", "left").withColumn("v", valid_speed(F.col("speed"))).withColumn("ratio", ratio(F.col("v"), F.col("free_flow")))
 
 
+def _hits(thresholds: tuple[float, ...]) -> list[Column]:
+    return [F.count_if(congested(F.col("ratio"), t)).alias(f"n{round(t * 100)}") for t in thresholds]
+
+
+def _rates(thresholds: tuple[float, ...]) -> list[Column]:
+    return [_r(F.try_divide(F.col(f"n{round(t * 100)}"), F.col("valid_count")), f"congestion_rate_{round(t * 100)}") for t in thresholds]
+
+
 def congestion_rates(grid: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """Share of valid readings of each sensor below each share of free flow."""
-    rows = with_ratio(grid, free_flow(grid)).groupBy("sensor_id").agg(F.count("v").alias("valid_count"), *(F.count_if(congested(F.col("ratio"), t)).alias(f"n{round(t * 100)}") for t in thresholds))
-    return rows.select("sensor_id", "valid_count", *(_r(F.try_divide(F.col(f"n{round(t * 100)}"), F.col("valid_count")), f"congestion_rate_{round(t * 100)}") for t in thresholds))
+    rows = with_ratio(grid, free_flow(grid)).groupBy("sensor_id").agg(F.count("v").alias("valid_count"), *_hits(thresholds))
+    return rows.select("sensor_id", "valid_count", *_rates(thresholds))
 
 
 def run_events(grid: DataFrame, threshold: float = 0.60, step_minutes: int = 60) -> DataFrame:
@@ -82,15 +90,14 @@ def run_events(grid: DataFrame, threshold: float = 0.60, step_minutes: int = 60)
 
 def sensor_risk(grid: DataFrame, locations: DataFrame | None = None, step_minutes: int = 60) -> DataFrame:
     """Coverage, speeds, congestion rates and run events of each sensor, with its place if locations are given."""
-    base = grid.groupBy("sensor_id").agg(
-        F.count("*").alias("total"), F.count(valid_speed(F.col("speed"))).alias("valid"), F.avg(valid_speed(F.col("speed"))).alias("mean"), F.percentile(valid_speed(F.col("speed")), [0.1, 0.5, 0.85]).alias("q"), F.stddev_pop(valid_speed(F.col("speed"))).alias("std")
-    )
-    rows = base.join(congestion_rates(grid).drop("valid_count"), "sensor_id").join(run_events(grid, step_minutes=step_minutes), "sensor_id")
+    rated = with_ratio(grid, free_flow(grid))
+    base = rated.groupBy("sensor_id").agg(F.count("*").alias("total"), F.count("v").alias("valid_count"), F.avg("v").alias("mean"), F.percentile("v", [0.1, 0.5, 0.85]).alias("q"), F.stddev_pop("v").alias("std"), *_hits(THRESHOLDS))
+    rows = base.select("*", *_rates(THRESHOLDS)).join(run_events(grid, step_minutes=step_minutes), "sensor_id")
     if locations is not None:
         rows = rows.join(locations, "sensor_id", "left")
     place = ["latitude", "longitude"] if locations is not None else []
     return rows.select(
-        "sensor_id", _r(F.try_divide(F.col("valid"), F.col("total")), "coverage_rate"), _r(F.col("q")[2], "free_flow_speed"), _r("mean", "mean_speed"), _r(F.col("q")[1], "median_speed"), _r(F.col("q")[0], "p10_speed"), _r("std", "std_speed"),
+        "sensor_id", _r(F.try_divide(F.col("valid_count"), F.col("total")), "coverage_rate"), _r(F.col("q")[2], "free_flow_speed"), _r("mean", "mean_speed"), _r(F.col("q")[1], "median_speed"), _r(F.col("q")[0], "p10_speed"), _r("std", "std_speed"),
         *(f"congestion_rate_{round(t * 100)}" for t in THRESHOLDS), "event_count", "mean_event_minutes", "max_event_minutes", *place,
     )
 
