@@ -212,7 +212,7 @@ def toxic_world(seed, n):
 
 def test_toxicity(spark):
     rows = toxic_world(1, 600) + [(9000, None, 0), (9001, "", 0), (9002, "you GRUMB0LDED thing", 0)]
-    frame = spark.createDataFrame([(i, t, 1) for i, t, _ in rows], "doc_id bigint, text string, score int")
+    frame = spark.createDataFrame([(i, t, 1, 2, 3) for i, t, _ in rows], "doc_id bigint, text string, score int, label_id int, label int")
     labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows if i < 9000], "doc_id bigint, quality int, toxic int")
     found = {r["doc_id"]: r for r in toxicity.toxicity(frame, labels).collect()}
     held = [(y, found[i]["predicted"]) for i, _, y in rows if i < 9000 and found[i]["held_out"]]
