@@ -165,7 +165,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns; whole rows aren't shuffled or stored, so the measures are taken twice."""
+    """The rows of ``docs`` that pass, with their own columns; whole rows aren't shuffled or stored, so the measures are taken twice.
+
+    Measures are bound within the filter's expression: as a column of their own, each use of them would be pushed into the filter anew.
+    """
     m = fresh(docs, "quality_measures")
-    found = docs.withColumn(m, measures(F.col(text_col)))
-    return found.where(verdict(F.col(m), fit(_patterns(found, F.col(m))), threshold)["kept"]).select(*docs.columns)
+    model = fit(_patterns(docs.select(measures(F.col(text_col)).alias(m)), F.col(m)))
+    return docs.where(let(measures(F.col(text_col)), lambda found: verdict(found, model, threshold)["kept"]))
