@@ -204,9 +204,14 @@ def score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_pydict({"word": b.column("word"), "c": b.column("c"), "base": np.log10((c + 0.5) / norm), "model": model / log10})
 
     judged = checkpoint(vocabulary.mapInArrow(judge, "word binary, c bigint, base double, model double"))
-    short = judged.where(F.octet_length("word") <= head_bytes)
-    top = short.orderBy(F.desc("c"), "word").limit(head).toArrow() if head else None  # bounded: head rows of head_bytes
-    table = dict(zip(top.column("word").to_pylist(), zip((top.column("c").to_numpy() > 0).tolist(), top.column("base").to_pylist(), top.column("model").to_pylist(), strict=True), strict=True)) if head else {}
+    short = judged.where(F.octet_length("word") <= head_bytes).withColumn("level", F.floor(F.log2(F.col("c") + 1) * 16))
+    kept, least = 0, None  # the lowest level of counts down to which at most ``head`` words lie; there are some hundred levels
+    for level, n in sorted(((r["level"], r["n"]) for r in short.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True):
+        if kept + n > head:
+            break
+        kept, least = kept + n, level
+    top = short.where(F.lit(False) if least is None else F.col("level") >= least).toArrow()  # bounded: head rows of head_bytes
+    table = dict(zip(top.column("word").to_pylist(), zip((top.column("c").to_numpy() > 0).tolist(), top.column("base").to_pylist(), top.column("model").to_pylist(), strict=True), strict=True))
     shared = spark.sparkContext.broadcast(table)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
