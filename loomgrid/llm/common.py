@@ -51,3 +51,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
+
+
+def lowest_hashes(rows: DataFrame, key: Column, wanted: int, total: int) -> DataFrame:
+    """The ``wanted`` rows with the lowest key hashes, out of ``total``.
+
+    Hashes beyond about twice the share that is wanted are dropped before the sort, so that what meets in one
+    task stays near ``wanted`` rows, however many partitions there are.
+    """
+    hashed = F.xxhash64(key)
+    share = min(1.0, (2 * wanted + 100) / max(1, total))
+    return rows.where(hashed <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))).orderBy(hashed, key).limit(wanted)

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.llm.common import lowest_hashes
+
 #: Fixed values of HTML: elements that break lines, elements without an end tag, and elements whose content is no text.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
@@ -320,8 +322,8 @@ def training_pages(pages: list[str], layouts: int, rng: random.Random) -> list[t
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = 300, max_chars: int = 20_000, layouts: int = 4) -> Crf:
-    sample = pages.where(F.length(html_col).between(1, max_chars)).select(id_col, html_col).orderBy(F.xxhash64(F.col(id_col)), html_col).limit(max_pages)
-    found = [r[1] for r in sample.collect()]  # bounded by max_pages * max_chars
+    sample = lowest_hashes(pages.where(F.length(html_col).between(1, max_chars)).select(id_col, html_col), F.col(id_col), max_pages, pages.count())
+    found = sorted(r[1] for r in sample.collect())  # bounded by max_pages * max_chars
     return Crf().fit(training_pages(found, layouts, random.Random(1)))
 
 
