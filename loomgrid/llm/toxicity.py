@@ -11,9 +11,9 @@ Training takes at most ``max_rows`` labelled rows, half of them toxic where ther
 of the id. For scoring, vectors and softmax fold into one number for each n-gram row, since both are linear; it
 goes to the executors as a broadcast of fixed size.
 
-Defined results: a text without words (also null) has the score of an empty window; null ids are scored but
+Defined results: a text without words (also null) has nothing toxic in it and scores 0; null ids are scored but
 never trained on; repeated ids in labels count as repeated rows; with no labelled rows, or of one class only,
-every score is that class's share (0 without labels); an empty table gives an empty result; other columns
+every other text scores that class's share (0 without labels); an empty table gives an empty result; other columns
 are ignored by ``toxicity`` and kept untouched by ``keep_clean``.
 """
 
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import crc_fold, fresh
+from loomgrid.llm.common import crc_fold, fresh, lowest_hashes
 
 BUCKETS, DIM, WINDOW, SIZES = 1 << 17, 8, 5, (3, 4, 5)
 _SPACES = np.array([9, 10, 11, 12, 13, 32], np.uint32)
@@ -82,12 +82,11 @@ class Model:
 
     def score(self, texts: list[str]) -> np.ndarray:
         row, counts, text = windows(texts)
-        best = np.full(len(texts), self.bias)
+        best = np.full(len(texts), -np.inf)
         if len(row):
-            means = np.add.reduceat(self.weights[row], np.concatenate(([0], np.cumsum(counts)[:-1]))) / counts + self.bias
-            best[text] = -np.inf
-            np.maximum.at(best, text, means)
-        return 1 / (1 + np.exp(-np.clip(self.slope * best + self.shift, -40, 40)))
+            np.maximum.at(best, text, np.add.reduceat(self.weights[row], np.concatenate(([0], np.cumsum(counts)[:-1]))) / counts + self.bias)
+        some = np.isfinite(best)
+        return np.where(some, 1 / (1 + np.exp(-np.clip(self.slope * np.where(some, best, 0.0) + self.shift, -40, 40))), 0.0)
 
 
 def train(texts: list[str], labels: np.ndarray, share: float, epochs: int = 8, batch: int = 512, rate: float = 0.5, seed: int = 5) -> Model:
@@ -96,17 +95,27 @@ def train(texts: list[str], labels: np.ndarray, share: float, epochs: int = 8, b
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, math.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     rng = np.random.default_rng(seed)
     parts = [windows(texts[i : i + 200]) for i in range(0, len(texts), 200)]
-    row, counts = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    counts = np.concatenate([p[1] for p in parts])
     text = np.concatenate([p[2] + 200 * i for i, p in enumerate(parts)])
-    del parts
+    row, at = np.empty(int(counts.sum()), np.int32), 0
+    while parts:  # each part is freed as it is copied
+        part = parts.pop(0)[0]
+        row[at : at + len(part)] = part
+        at += len(part)
     begins = np.concatenate(([0], np.cumsum(counts)[:-1]))
     vectors = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     squares, soft_squares = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32)
     toxic = labels[text] == 1
 
-    def logits(weights: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(weights[row], begins) / counts
+    def logits(weights: np.ndarray, step: int = 20_000) -> np.ndarray:
+        """Means of the windows, some thousands of them at a time."""
+        out = np.empty(len(counts))
+        for first in range(0, len(counts), step):
+            own = begins[first : first + step]
+            last = begins[first + step] if first + step < len(counts) else len(row)
+            out[first : first + step] = np.add.reduceat(weights[row[own[0] : last]], own - own[0])
+        return out / counts
 
     for epoch in range(epochs):
         value = logits(vectors @ (softmax[:, 1] - softmax[:, 0])) + rng.gumbel(0, 0.05, len(counts))
@@ -170,9 +179,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows
     if not total:
         return train([], np.zeros(0), 0.0)
     wanted = {1: max_rows // 2, 0: max_rows - min(max_rows // 2, counts.get(1, 0))}
-    by_hash = lambda label: marked.where(F.col("label") == label).orderBy(F.xxhash64("label_id"), "label_id").limit(wanted[label])
+    by_hash = lambda label: lowest_hashes(marked.where(F.col("label") == label), F.col("label_id"), wanted[label], counts.get(label, 0))
     picked = F.broadcast(by_hash(1).unionByName(by_hash(0)))  # at most max_rows ids
-    rows = docs.join(picked, docs[id_col] == picked["label_id"]).select("label_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"), "label").limit(2 * max_rows).toPandas()
+    texts = docs.select(F.col(id_col).alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.join(picked, F.col("own_id") == F.col("label_id")).select("label_id", "text", "label").limit(2 * max_rows).toPandas()
     rows = rows.sort_values(["label_id", "text"], kind="stable")
     return train(rows["text"].tolist(), rows["label"].to_numpy(), counts.get(1, 0) / total)
 
