@@ -91,9 +91,9 @@ def melt_metrics(wide: DataFrame, id_col: str, metrics: list[str]) -> DataFrame:
     return wide.unpivot([id_col], metrics, "metric", "value")
 
 
-def best_model(results: DataFrame) -> DataFrame:
-    """Highest F1, then recall, then AUC, on validation rows."""
-    return results.orderBy(F.desc("f1"), F.desc("recall"), F.desc("auc"), "model").limit(1)
+def best_model(results: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Highest F1, then recall, then AUC, on validation rows; the first of ``names`` among equals."""
+    return results.orderBy(F.desc("f1"), F.desc("recall"), F.desc("auc"), F.array_position(F.array(*(F.lit(n) for n in names)), F.col("model"))).limit(1)
 
 
 def class_balance(found: DataFrame, label: str = "target") -> DataFrame:

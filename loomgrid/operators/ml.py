@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions.columns import source_feature
 from loomgrid.operators.features import FEATURES
-from loomgrid.operators.metrics import best_threshold, confusion_metrics, exact_sample, importance_rollup, roc_auc, threshold_sweep
+from loomgrid.operators.metrics import best_model, best_threshold, confusion_metrics, exact_sample, importance_rollup, roc_auc, threshold_sweep
+
+MODELS = ("logistic_regression", "random_forest", "gradient_boosting")
 
 
 @dataclass(frozen=True)
@@ -60,10 +63,12 @@ def training_rows(found: DataFrame, settings: Settings) -> DataFrame:
     return rows.join(F.broadcast(weights), rows["target"] == weights["kind"]).drop("kind").withColumn("label", F.col("target").cast("double"))
 
 
-def fit(found: DataFrame, name: str, settings: Settings) -> PipelineModel:
+def fit_models(found: DataFrame, settings: Settings, names: tuple[str, ...] = MODELS) -> dict[str, PipelineModel]:
+    """The pipeline of each model, all fitted on the same training rows."""
     train = training_rows(found, settings).cache()
     try:
-        return Pipeline(stages=[*preparation(), estimators(settings, train.count())[name]]).fit(train)
+        known = estimators(settings, train.count())
+        return {name: Pipeline(stages=[*preparation(), known[name]]).fit(train) for name in names}
     finally:
         train.unpersist()
 
@@ -72,19 +77,38 @@ def scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select("sensor_id", "ts", "t", "split", F.col("target").alias("y"), vector_to_array("probability")[1].alias("p"))
 
 
-def compare_models(found: DataFrame, settings: Settings, names: tuple[str, ...] = ("logistic_regression", "random_forest", "gradient_boosting")) -> DataFrame:
+def judged(name: str, split: str, rows: DataFrame, threshold: float) -> DataFrame:
+    """Metrics of a model's scored rows at its threshold, as one row."""
+    return confusion_metrics(rows, threshold).crossJoin(roc_auc(rows)).select(F.lit(name).alias("model"), F.lit(split).alias("split"), F.lit(threshold).alias("threshold"), "accuracy", "precision", "recall", "f1", "auc", "tp", "fp", "fn", "tn")  # one row each
+
+
+def validated(models: dict[str, PipelineModel], found: DataFrame) -> dict[str, tuple[float, DataFrame]]:
+    """For each model its threshold chosen on validation rows, and its metrics there."""
+    out = {}
+    for name, model in models.items():
+        rows = scored(model, found.where("split = 'validation'")).cache()
+        threshold = best_threshold(threshold_sweep(rows)).first()["threshold"]
+        out[name] = threshold, judged(name, "validation", rows, threshold)
+    return out
+
+
+def compare_models(found: DataFrame, settings: Settings, names: tuple[str, ...] = MODELS) -> DataFrame:
     """For each model its threshold chosen on validation rows, and metrics on validation and test rows."""
-    out = None
-    for name in names:
-        model = fit(found, name, settings)
-        validation = scored(model, found.where("split = 'validation'")).cache()
-        threshold = best_threshold(threshold_sweep(validation)).first()["threshold"]
-        for split, rows in (("validation", validation), ("test", scored(model, found.where("split = 'test'")))):
-            row = confusion_metrics(rows, threshold).crossJoin(roc_auc(rows)).select(F.lit(name).alias("model"), F.lit(split).alias("split"), F.lit(threshold).alias("threshold"), "accuracy", "precision", "recall", "f1", "auc", "tp", "fp", "fn", "tn")  # one row each
-            out = row if out is None else out.unionByName(row)
+    models, out = fit_models(found, settings, names), None
+    for name, (threshold, row) in validated(models, found).items():
+        row = row.unionByName(judged(name, "test", scored(models[name], found.where("split = 'test'")), threshold))
+        out = row if out is None else out.unionByName(row)
     return out
 
 
+def select_model(found: DataFrame, settings: Settings, names: tuple[str, ...] = MODELS) -> tuple[str, PipelineModel]:
+    """Name and pipeline of the model that is best on validation rows, the first of ``names`` among equals."""
+    models = fit_models(found, settings, names)
+    results = reduce(DataFrame.unionByName, (row for _, row in validated(models, found).values()))
+    name = best_model(results, names).first()["model"]
+    return name, models[name]
+
+
 def importances(model: PipelineModel, sensors: list[str] | None = None) -> DataFrame:
     """Absolute coefficients or impurity importances, summed by source feature."""
     from pyspark.sql import SparkSession

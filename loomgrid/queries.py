@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.functions import columns as C
+from loomgrid.functions.lineage import checkpoint
 from loomgrid.operators import features as X
 from loomgrid.operators import graph, metrics, ml, replay
 from loomgrid.operators import matching as M
@@ -161,17 +162,21 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.key_differences(event_grid(spark, sf_dir).select("sensor_id"), supplier_places(spark, sf_dir))
 
 
+def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples, cut from their plan: fits and metrics run it many times, and the driver would hold as many copies of it."""
+    return checkpoint(model_part("samples")(spark, sf_dir))
+
+
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = model_part("samples")(spark, sf_dir).cache()
+    found = model_rows(spark, sf_dir)
     return ml.compare_models(found, ml.Settings(trees=40, tree_depth=10, boosts=20, boost_depth=5))
 
 
 def explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = model_part("samples")(spark, sf_dir).cache()
-    settings = ml.Settings()
-    model = ml.fit(found, "logistic_regression", settings)
+    found = model_rows(spark, sf_dir)
+    name, model = ml.select_model(found, ml.Settings())
     row = ml.riskiest(ml.scored(model, found.where("split = 'test'"))).select("sensor_id", "t")
-    return ml.explain(model, found.join(F.broadcast(row), ["sensor_id", "t"]), ml.reference_values(found.where("split = 'train'")))  # one row
+    return ml.explain(model, found.join(F.broadcast(row), ["sensor_id", "t"]), ml.reference_values(found.where("split = 'train'"))).withColumn("model", F.lit(name))  # one row
 
 
 def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
