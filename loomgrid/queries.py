@@ -169,7 +169,7 @@ def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = model_rows(spark, sf_dir)
-    return ml.compare_models(found, ml.Settings(trees=40, tree_depth=10, boosts=20, boost_depth=5))
+    return ml.compare_models(found, ml.Settings())
 
 
 def explanation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,3 +42,11 @@ def test_equal_models_go_by_their_order(spark):
     assert metrics.best_model(rows, ml.MODELS).first()["model"] == ml.MODELS[0]
     worse = rows.withColumn("auc", F.when(F.col("model") == ml.MODELS[0], 0.5).otherwise(0.9))
     assert metrics.best_model(worse, ml.MODELS).first()["model"] == ml.MODELS[1]
+
+
+def test_comparison_has_the_settings_of_the_reference(spark, samples, monkeypatch):
+    given = []
+    monkeypatch.setattr(registry, "model_part", lambda name: lambda spark, sf_dir: samples)
+    monkeypatch.setattr(ml, "compare_models", lambda found, settings: given.append(settings))
+    registry.queries()["model_comparison"](spark, "")
+    assert [(s.trees, s.tree_depth, s.boosts, s.boost_depth, s.boost_rate) for s in given] == [(120, 16, 200, 8, 0.08)]
