@@ -1,13 +1,20 @@
-"""Quality rules by weak supervision: rules vote or abstain, EM weighs them, a posterior decides.
+"""Quality rules by weak supervision: rules vote or abstain, EM estimates their accuracies, a posterior decides.
 
 Main path: DataFrame functions only. Every rule is a column expression over the whole text. The
 distinct vote patterns (at most 3**len(RULES), whatever the input) are counted over all documents in
 one aggregation; expectation-maximisation of a two-class model runs on those counts, and the fitted
 log-odds go back into the plan as literals.
 
+Model: a text is good or bad; a rule that votes on it votes good with a probability of its own for either class,
+independently of the other rules, and whether it votes at all says nothing. Nothing is clamped: probabilities and the share
+of good texts are maximum a posteriori estimates under Beta priors (``VOTES_GOOD``, ``GOOD``) that weigh as much
+as ``WEIGHT`` of the documents and one more, so they do the same at every size. The priors also tell the two classes apart:
+most rules vote good on good texts, while a bad text breaks some rules only. So a bad vote of a rule that often fails on good texts
+can be outvoted, and several weak votes can reject a text.
+
 Defined results: a null or empty text has no words, all counts 0, fails the base rule and is not kept;
 every row is judged by its own text, so repeated rows give repeated results; null ids stay null; an
-empty table gives an empty result (the model then has only its starting values); other columns of the
+empty table gives an empty result (the model is then the prior); other columns of the
 input are ignored by ``quality_rules`` and kept untouched by ``keep_good``.
 """
 
@@ -71,104 +78,115 @@ def measures(text: Column) -> Column:
             count(F.size(F.array_intersect(ws, F.array(*(F.lit(w) for w in STOP_WORDS))))).alias("n_stop_words"),
             count(F.size(ls)).alias("n_lines"),
             count(F.regexp_count(text, F.lit(r"\p{Lu}"))).alias("n_upper"),
+            count(F.regexp_count(text, F.lit(r"[#*$%&|<>](?=[\x20\x09-\x0D]|\z)"))).alias("n_marked_words"),
             count(F.regexp_count(text, F.lit(r"[.!?…][\"'”»)]*[\x20\x09\x0B-\x0D]*(\n|\z)"))).alias("n_closed_lines"),
         )
 
     return let(words(text), lambda ws: let(lines, lambda ls: of(ws, ls)))
 
 
-#: name: (measure, over what, votes good beyond, votes bad beyond, is a low value good); None: never votes so.
-#: Rules that look for one kind of damage only vote bad: that it is absent says little.
-RULES: dict[str, tuple[str, str | None, float | None, float | None, bool]] = {
-    "symbols": ("n_symbols", "n_words", None, 0.10, True),
-    "repeats": ("n_repeat_words", "n_words", None, 0.20, True),
-    "dup_lines": ("n_dup_lines", "n_lines", None, 0.50, True),
-    "upper": ("n_upper", "word_chars", 0.08, 0.30, True),
-    "word_length": ("word_chars", "n_words", 4.2, 3.0, False),
-    "stop_words": ("n_stop_words", None, 3, 0, False),
-    "variety": ("n_distinct_words", "n_words", 0.45, 0.25, False),
-    "closed_lines": ("n_closed_lines", "n_lines", 0.60, 0.25, False),
+#: name: (measure, over what, votes good beyond, votes bad beyond, is a low value good); between the two a rule abstains.
+RULES: dict[str, tuple[str, str | None, float, float, bool]] = {
+    "symbols": ("n_symbols", "word_chars", 0.005, 0.03, True),
+    "marked_words": ("n_marked_words", "n_words", 0.01, 0.10, True),
+    "repeats": ("n_repeat_words", "n_words", 0.02, 0.15, True),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.10, 0.35, True),
+    "upper": ("n_upper", "word_chars", 0.06, 0.15, True),
+    "word_length": ("word_chars", "n_words", 4.5, 3.5, False),
+    "stop_words": ("n_stop_words", None, 4, 1, False),
+    "variety": ("n_distinct_words", "n_words", 0.55, 0.40, False),
+    "closed_lines": ("n_closed_lines", "n_lines", 0.70, 0.40, False),
 }
 #: Texts under so many words say too little for these rules, which then abstain.
-MIN_WORDS = {"variety": 30, "closed_lines": 20, "stop_words": 20, "word_length": 20}
+MIN_WORDS = {"variety": 30, "stop_words": 30, "closed_lines": 20, "word_length": 20, "upper": 20, "dup_lines": 20}
+#: Prior means of the probability that a rule votes good on a good (1) and on a bad (0) text, and of a text being good; prior weight as a share of all documents.
+VOTES_GOOD, GOOD, WEIGHT = {1: 0.97, 0: 0.5}, 0.8, 0.02
 
 
-def votes(m: Column) -> list[Column]:
-    """A vote for each rule: 1 good, -1 bad, 0 no opinion (also where the measure has no base)."""
-    out = []
-    for name, (what, over, good, bad, low) in RULES.items():
+def pattern(m: Column) -> Column:
+    """The votes on a text as one number: a digit to base 3 for each rule, 0 for bad, 1 for no opinion, 2 for good."""
+    total = F.lit(0)
+    for r, (name, (what, over, good, bad, low)) in enumerate(RULES.items()):
         share = m[what] / F.nullif(m[over], F.lit(0)) if over else m[what]
-        beyond = lambda edge, less, share=share: F.lit(False) if edge is None else share <= edge if less else share >= edge
-        yes, no = beyond(good, low), beyond(bad, not low)
-        enough = m["n_words"] >= MIN_WORDS.get(name, 1)
-        out.append(F.coalesce(F.when(~enough, 0).when(yes, 1).when(no, -1), F.lit(0)).cast("int").alias(name))
-    return out
-
+        yes, no = (share <= good, share >= bad) if low else (share >= good, share <= bad)
+        digit = F.when(m["n_words"] < MIN_WORDS.get(name, 1), 1).when(yes, 2).when(no, 0).otherwise(1)
+        total = total + digit * 3**r
+    return total.cast("int")
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[dict[int, float]]]:
-    """EM for two classes with rules independent given the class; returns prior log-odds and log-odds of each vote.
 
-    It starts from the belief that a bad vote is far oftener right than wrong and that a good vote is weak
-    evidence, which is also its smoothing, so that a few documents can't turn a rule round. A good vote never
-    counts against a text nor a bad vote for it, and an abstention counts for nothing.
-    """
-    start = {1: {1: 0.60, -1: 0.004}, 0: {1: 0.45, -1: 0.36}}
-    prior, strength = 0.8, 20.0
-    tables = [{c: dict(start[c]) for c in start} for _ in RULES]
+def votes_of(code: int) -> tuple[int, ...]:
+    """Votes (1 good, -1 bad, 0 none) of a pattern."""
+    return tuple(code // 3**r % 3 - 1 for r in range(len(RULES)))
 
-    def log_odds() -> list[dict[int, float]]:
-        each = [{v: math.log(t[1][v] / t[0][v]) for v in (1, -1)} for t in tables]
-        return [{1: min(0.4, max(0.05, o[1])), -1: min(-0.7, max(-7.0, o[-1])), 0: 0.0} for o in each]
 
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500, settled: float = 1e-9) -> tuple[float, list[dict[int, float]]]:
+    """EM on counted vote patterns; returns the share of good texts, and each rule's probability to vote good, if it votes, by class."""
+    strength = 1 + WEIGHT * sum(n for _, n in patterns)
+    prior, theta = GOOD, [dict(VOTES_GOOD) for _ in RULES]
     for _ in range(rounds):
-        odds, at = log_odds(), math.log(prior / (1 - prior))
-        mass = {c: strength for c in start}
-        sums = [{c: {v: strength * x for v, x in start[c].items()} for c in start} for _ in RULES]
-        good, total = strength * 0.8, strength
-        for pattern, count in patterns:
-            p = 1 / (1 + math.exp(-at - sum(odds[r][v] for r, v in enumerate(pattern))))
+        weights, start = log_odds(theta), math.log(prior / (1 - prior))
+        good, total = strength * GOOD, strength
+        up, cast = [{c: strength * x for c, x in VOTES_GOOD.items()} for _ in RULES], [dict.fromkeys(VOTES_GOOD, strength) for _ in RULES]
+        for votes, count in patterns:
+            p = 1 / (1 + math.exp(-max(-700.0, start + sum(w[v] for w, v in zip(weights, votes, strict=True)))))
             good, total = good + count * p, total + count
-            for c, share in ((1, count * p), (0, count * (1 - p))):
-                mass[c] += share
-                for r, v in enumerate(pattern):
-                    if v:
-                        sums[r][c][v] += share
-        prior = min(0.98, max(0.5, good / total))
-        tables = [{c: {v: x / mass[c] for v, x in s[c].items()} for c in start} for s in sums]
-    return math.log(prior / (1 - prior)), log_odds()
+            for r, v in enumerate(votes):
+                if v:
+                    for c, share in ((1, count * p), (0, count * (1 - p))):
+                        cast[r][c] += share
+                        up[r][c] += share * (v > 0)
+        before, prior = [prior, *(t[c] for t in theta for c in (0, 1))], good / total
+        theta = [{c: u[c] / n[c] for c in (0, 1)} for u, n in zip(up, cast, strict=True)]
+        if max(abs(a - b) for a, b in zip(before, [prior, *(t[c] for t in theta for c in (0, 1))], strict=True)) < settled:
+            break
+    return prior, theta
+
+
+def log_odds(theta: list[dict[int, float]]) -> list[dict[int, float]]:
+    """Evidence for a good text of each rule's votes."""
+    return [{1: math.log(t[1] / t[0]), -1: math.log((1 - t[1]) / (1 - t[0])), 0: 0.0} for t in theta]
+
+
+def fitted(df: DataFrame, code: str) -> tuple[float, list[dict[int, float]]]:
+    """The model of a DataFrame's patterns."""
+    return fit(sorted((votes_of(r[0]), r[1]) for r in df.groupBy(code).count().collect()))  # at most 3**len(RULES) rows
 
 
-def _patterns(df: DataFrame, m: Column) -> list[tuple[tuple[int, ...], int]]:
-    rows = df.select(*votes(m)).groupBy(*RULES).count().collect()  # at most 3**len(RULES) rows
-    return sorted((tuple(r[: len(RULES)]), r["count"]) for r in rows)
+def posterior(code: Column, model: tuple[float, list[dict[int, float]]]) -> Column:
+    """Probability that a text with this pattern is good."""
+    prior, theta = model
+    total = F.lit(math.log(prior / (1 - prior)))
+    for r, w in enumerate(log_odds(theta)):
+        digit = F.floor(code / 3**r) % 3
+        total = total + F.when(digit == 2, w[1]).when(digit == 0, w[-1]).otherwise(w[0])
+    return 1 / (1 + F.exp(-total))
 
 
-def verdict(m: Column, model: tuple[float, list[dict[int, float]]], threshold: float) -> dict[str, Column]:
-    prior, odds = model
-    total = F.lit(prior)
-    for vote, weight in zip(votes(m), odds, strict=True):
-        total = total + F.when(vote == 1, weight[1]).when(vote == -1, weight[-1]).otherwise(weight[0])
-    posterior = 1 / (1 + F.exp(-total))
-    failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
-    return {"base_failed": failed, "posterior": posterior, "kept": ~failed & (posterior >= threshold)}
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Counts, votes' posterior and verdict for every row of ``docs``.
+    """Counts, vote pattern, posterior and verdict for every row of ``docs``.
 
     The measures are taken once and checkpointed (ids and a few numbers, no text), since both the fit and
     the result read them.
     """
-    found = checkpoint(docs.select(F.col(id_col).alias("doc_id"), measures(F.col(text_col)).alias("m")))
-    out = verdict(F.col("m"), fit(_patterns(found, F.col("m"))), threshold)
-    return found.select("doc_id", *(F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), *(c.alias(k) for k, c in out.items()))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = lambda m: F.struct(*(m[c].alias(c) for c in counts), base_failed(m).alias("base_failed"), pattern(m).alias("pattern"))
+    found = checkpoint(docs.select(F.col(id_col).alias("doc_id"), let(measures(F.col(text_col)), judged).alias("m")).select("doc_id", "m.*"))
+    chance = posterior(F.col("pattern"), fitted(found, "pattern"))
+    return found.withColumn("posterior", chance).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns; whole rows aren't shuffled or stored, so the measures are taken twice.
+    """The rows of ``docs`` that pass, with their own columns.
 
-    Measures are bound within the filter's expression: as a column of their own, each use of them would be pushed into the filter anew.
+    Rows are checkpointed with their pattern, since the fit has to see all patterns before the first row can be judged; so
+    the measures, by far the dearest part, are taken once.
     """
-    m = fresh(docs, "quality_measures")
-    model = fit(_patterns(docs.select(measures(F.col(text_col)).alias(m)), F.col(m)))
-    return docs.where(let(measures(F.col(text_col)), lambda found: verdict(found, model, threshold)["kept"]))
+    raw = fresh(docs, "quality_votes")
+    both = lambda m: F.struct(base_failed(m).alias("failed"), pattern(m).alias("code"))
+    found = checkpoint(docs.withColumn(raw, let(measures(F.col(text_col)), both)))
+    model = fitted(found.select(f"{raw}.code"), "code")
+    return found.where(~F.col(f"{raw}.failed") & (posterior(F.col(f"{raw}.code"), model) >= threshold)).select(*docs.columns)

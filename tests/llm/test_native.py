@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgrid.llm import fingerprint as fp
-from loomgrid.llm.quality import fit, keep_good, quality_rules
+from loomgrid.llm.quality import RULES as QUALITY_RULES
+from loomgrid.llm.quality import GOOD, VOTES_GOOD, WEIGHT, fit, keep_good, quality_rules, votes_of
 from loomgrid.llm.sharding import shard
 from loomgrid.llm.url_filter import url_filter
 
@@ -44,17 +46,65 @@ def test_quality_counts(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
-def test_quality_model_on_patterns():
-    good, symbols, repeats = (0, 0, 0, 1, 1, 1, 1, 1), (-1, 0, 0, 1, 1, -1, 1, 1), (0, -1, -1, -1, 1, 0, -1, 1)
-    prior, odds = fit([(good, 800), (symbols, 100), (repeats, 100)])
-    logit = lambda p: prior + sum(o[v] for o, v in zip(odds, p, strict=True))
-    assert logit(good) > 2 and logit(symbols) < -2 and logit(repeats) < -2 and logit((0,) * 8) > 0
-    assert fit([]) is not None
+def test_quality_em_finds_planted_accuracies():
+    rng = random.Random(3)
+    planted = [(0.95, 0.2), (0.9, 0.4), (0.99, 0.1), (0.85, 0.3), (0.97, 0.5), (0.8, 0.3), (0.95, 0.05), (0.9, 0.6), (0.98, 0.35)]
+    assert len(planted) == len(QUALITY_RULES)
+    counts = collections.Counter()
+    for _ in range(20000):
+        good = rng.random() < 0.7
+        counts[tuple(0 if rng.random() < 0.2 else 1 if rng.random() < (g if good else b) else -1 for g, b in planted)] += 1
+    patterns = sorted(counts.items())
+    prior, theta = fit(patterns)
+    assert prior == pytest.approx(0.7, abs=0.03)
+    for t, (g, b) in zip(theta, planted, strict=True):
+        assert t[1] == pytest.approx(g, abs=0.03) and t[0] == pytest.approx(b, abs=0.06)
+
+    def value(prior, theta):
+        """Log posterior up to a constant, straight from the model's definition."""
+        strength = 1 + WEIGHT * sum(counts.values())
+        out = strength * (GOOD * math.log(prior) + (1 - GOOD) * math.log(1 - prior))
+        out += sum(strength * (m * math.log(t[c]) + (1 - m) * math.log(1 - t[c])) for t in theta for c, m in VOTES_GOOD.items())
+        for votes, n in patterns:
+            chance = {1: prior, 0: 1 - prior}
+            for v, t in zip(votes, theta, strict=True):
+                for c in chance:
+                    chance[c] *= {1: t[c], -1: 1 - t[c], 0: 1.0}[v]
+            out += n * math.log(sum(chance.values()))
+        return out
+
+    best = value(prior, theta)
+    for step in (-0.01, 0.01):  # no parameter can be moved to a better place
+        assert value(prior + step, theta) < best
+        for r in range(len(theta)):
+            for c in (0, 1):
+                if 0 < theta[r][c] + step < 1:
+                    assert value(prior, [t if i != r else t | {c: t[c] + step} for i, t in enumerate(theta)]) < best
+    assert fit([]) == (pytest.approx(GOOD), [pytest.approx(VOTES_GOOD)] * len(QUALITY_RULES))
+
+
+def test_quality_outvotes_a_rule(spark):
+    """On a whole table: documents that a rule votes against are kept, those labelled good nearly all, those labelled bad not."""
+    sf = "/root/testdata/sf0.01"
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = quality_rules(frame).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id", "left").collect()
+    assert len(rows) == frame.count()
+    against = [r for r in rows if r["kept"] and -1 in votes_of(r["pattern"])]
+    told = [r for r in rows if r["quality"] is not None and not r["base_failed"]]
+    assert against and sum(r["kept"] == bool(r["quality"]) for r in told) / len(told) > 0.98
+    prior, theta = fit(sorted(collections.Counter(votes_of(r["pattern"]) for r in rows).items()))
+    for r in rows:
+        chance = {1: prior, 0: 1 - prior}
+        for v, t in zip(votes_of(r["pattern"]), theta, strict=True):
+            for c in chance:
+                chance[c] *= {1: t[c], -1: 1 - t[c], 0: 1.0}[v]
+        assert r["posterior"] == pytest.approx(chance[1] / sum(chance.values())) and r["kept"] == (not r["base_failed"] and r["posterior"] >= 0.5)
+    assert {r["doc_id"] for r in keep_good(frame).select("doc_id").collect()} == {r["doc_id"] for r in rows if r["kept"]}
 
 
 def test_quality_keeps_columns(spark):
     clean = "The of and in to is a that for it " + " ".join(f"word{i}" for i in range(40)) + "."
-    rows = docs(spark, [clean, "### $$$ " * 20, None]).withColumn("quality_measures", F.lit(1)).withColumn("m", F.lit(2))
+    rows = docs(spark, [clean, "### $$$ " * 20, None]).withColumn("quality_votes", F.lit(1)).withColumn("m", F.lit(2))
     kept = keep_good(rows)
     assert kept.columns == rows.columns and [r["doc_id"] for r in kept.collect()] == [0]
     assert quality_rules(docs(spark, [])).count() == 0
