@@ -8,11 +8,13 @@ toxic carry its label, in others any window may. A text's score is that of its m
 on the scale of a probability by a one-variable logistic fit for the share of toxic labels in the training rows.
 
 Training takes at most ``max_rows`` labelled rows, half of them toxic where there are enough, picked by hash
-of the id. For scoring, vectors and softmax fold into one number for each n-gram row, since both are linear; it
+of the id, and of each at most ``max_windows`` windows (evenly spread over the text) of at most ``max_chars`` characters; the
+executors cut them, so that the driver gets at most max_rows * max_windows * max_chars characters whatever the texts' lengths. For scoring, vectors and softmax fold into one number for each n-gram row, since both are linear; it
 goes to the executors as a broadcast of fixed size.
 
 Defined results: a text without words (also null) has nothing toxic in it and scores 0; null ids are scored but
-never trained on; repeated ids in labels count as repeated rows; with no labelled rows, or of one class only,
+never trained on; an id that labels repeat counts once, as toxic if any of its rows says so; of documents that share a
+labelled id the least text is learned from; every text is scored whole; with no labelled rows, or of one class only,
 every other text scores that class's share (0 without labels); an empty table gives an empty result; other columns
 are ignored by ``toxicity`` and kept untouched by ``keep_clean``.
 """
@@ -24,9 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.llm.batches import sliced
 from loomgrid.llm.common import crc_fold, fresh, lowest_hashes
 
 BUCKETS, DIM, WINDOW, SIZES = 1 << 17, 8, 5, (3, 4, 5)
@@ -80,23 +84,42 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float, slope: float, shift: float):
         self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: list[str], words_at_once: int = 40_000) -> np.ndarray:
+        """Scores of whole texts; very long ones are looked at by some thousands of windows at a time."""
+        pieces, owner = [], []
+        for i, t in enumerate(texts):
+            ws = t.split() if len(t) > 5 * words_at_once else []
+            cut = [" ".join(ws[k : k + words_at_once]) for k in range(0, len(ws), words_at_once)] if ws else [t]
+            pieces += cut
+            owner += [i] * len(cut)
+        best = np.full(len(texts), -np.inf)
+        at = size = 0
+        for k, piece in enumerate(pieces):
+            size += len(piece)
+            if size > 1 << 19 or k == len(pieces) - 1:
+                np.maximum.at(best, owner[at : k + 1], self._most(pieces[at : k + 1]))
+                at, size = k + 1, 0
+        some = np.isfinite(best)
+        return np.where(some, 1 / (1 + np.exp(-np.clip(self.slope * np.where(some, best, 0.0) + self.shift, -40, 40))), 0.0)
+
+    def _most(self, texts: list[str]) -> np.ndarray:
+        """Of each text the value of its most toxic window; minus infinity without words."""
         row, counts, text = windows(texts)
         best = np.full(len(texts), -np.inf)
         if len(row):
             np.maximum.at(best, text, np.add.reduceat(self.weights[row], np.concatenate(([0], np.cumsum(counts)[:-1]))) / counts + self.bias)
-        some = np.isfinite(best)
-        return np.where(some, 1 / (1 + np.exp(-np.clip(self.slope * np.where(some, best, 0.0) + self.shift, -40, 40))), 0.0)
+        return best
 
 
-def train(texts: list[str], labels: np.ndarray, share: float, epochs: int = 8, batch: int = 512, rate: float = 0.5, seed: int = 5) -> Model:
-    """Joint training; ``share``: share of toxic rows among all labelled ones, which scores are scaled to."""
+def train(texts: list[list[str]], labels: np.ndarray, share: float, epochs: int = 8, batch: int = 512, rate: float = 0.5, seed: int = 5) -> Model:
+    """Joint training on the windows of each text; ``share``: share of toxic rows among all labelled ones, which scores are scaled to."""
     if not len(texts) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, math.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     rng = np.random.default_rng(seed)
-    parts = [windows(texts[i : i + 200]) for i in range(0, len(texts), 200)]
+    flat, owner, size = [w for t in texts for w in t], np.repeat(np.arange(len(texts)), [len(t) for t in texts]), 10_000
+    parts = [windows(flat[i : i + size]) for i in range(0, len(flat), size)]
     counts = np.concatenate([p[1] for p in parts])
-    text = np.concatenate([p[2] + 200 * i for i, p in enumerate(parts)])
+    text = owner[np.concatenate([p[2] + size * i for i, p in enumerate(parts)])]
     row, at = np.empty(int(counts.sum()), np.int32), 0
     while parts:  # each part is freed as it is copied
         part = parts.pop(0)[0]
@@ -170,9 +193,26 @@ def scale(values: np.ndarray, labels: np.ndarray, share: float, rounds: int = 60
     return float(w[0] / deviation), float(w[1] - w[0] * mean / deviation)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int) -> Model:
-    """Model of the labelled rows outside fold 2 of 4; at most ``max_rows`` of them, the bound of what reaches the driver."""
-    marked = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("label"))
+def _cut(max_windows: int, max_chars: int):
+    """Texts to their windows, at most so many of at most so many characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in sliced(batches, "text"):
+            out = []
+            for t in texts:
+                ws = t.split()
+                starts = range(0, len(ws), WINDOW)
+                if len(starts) > max_windows:
+                    starts = [starts[i * len(starts) // max_windows] for i in range(max_windows)]
+                out.append([" ".join(ws[i : i + WINDOW])[:max_chars] for i in starts])
+            yield pa.RecordBatch.from_pydict({"label_id": part.column("label_id"), "label": part.column("label"), "parts": pa.array(out, pa.list_(pa.string()))})
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int, max_windows: int = 200, max_chars: int = 160) -> Model:
+    """Model of the labelled rows outside fold 2 of 4; the bounds are those of what reaches the driver."""
+    marked = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     marked = marked.where(crc_fold(F.col("label_id"), 4) != 2)
     counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     total = sum(counts.values())
@@ -182,9 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows
     by_hash = lambda label: lowest_hashes(marked.where(F.col("label") == label), F.col("label_id"), wanted[label], counts.get(label, 0))
     picked = F.broadcast(by_hash(1).unionByName(by_hash(0)))  # at most max_rows ids
     texts = docs.select(F.col(id_col).alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = texts.join(picked, F.col("own_id") == F.col("label_id")).select("label_id", "text", "label").limit(2 * max_rows).toPandas()
-    rows = rows.sort_values(["label_id", "text"], kind="stable")
-    return train(rows["text"].tolist(), rows["label"].to_numpy(), counts.get(1, 0) / total)
+    one = texts.join(picked, F.col("own_id") == F.col("label_id")).groupBy("label_id", "label").agg(F.min("text").alias("text"))
+    rows = one.mapInArrow(_cut(max_windows, max_chars), "label_id bigint, label int, parts array<string>").toPandas().sort_values("label_id", kind="stable")
+    return train([list(p) for p in rows["parts"]], rows["label"].to_numpy(), counts.get(1, 0) / total)
 
 
 def scorer(docs: DataFrame, model: Model, text: Column) -> Column:
@@ -192,16 +232,7 @@ def scorer(docs: DataFrame, model: Model, text: Column) -> Column:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            out, slice_, size = [], [], 0
-            for t in batch:
-                slice_.append(t or "")
-                size += len(slice_[-1])
-                if size >= 1 << 20:
-                    out.append(shared.value.score(slice_))
-                    slice_, size = [], 0
-            if slice_:
-                out.append(shared.value.score(slice_))
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+            yield pd.Series(shared.value.score([t or "" for t in batch]))
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "double")(text)
