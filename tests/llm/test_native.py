@@ -149,6 +149,7 @@ def test_edits_follow_descending_ids(spark, rows_per_bucket):
         assert pairs[i]["next_text"] == (texts[following] or "")
     out = {r["doc_id"]: r for r in fp.fingerprints(df).collect()}
     for i, following in zip(order, order[1:] + order[:1], strict=True):
+        assert out[i]["fingerprint"] == plain_print(texts[i]) and out[i]["near_next"] == pytest.approx(plain_likeness(texts[i], texts[following]))
         half = len(texts[i]) // 2
         edited = texts[i][: len(texts[i]) - half] + texts[following][:half]
         assert out[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and out[i]["n_chars"] == len(texts[i])
@@ -156,6 +157,67 @@ def test_edits_follow_descending_ids(spark, rows_per_bucket):
     assert fp.fingerprints(df.limit(0)).count() == 0 and fp.fingerprints(df.limit(1)).count() == 1
 
 
+def xx(value, seed=42):
+    """Spark's xxhash64 of a string or a bigint."""
+    import xxhash
+
+    data = value.encode() if isinstance(value, str) else (value & (1 << 64) - 1).to_bytes(8, "little")
+    return xxhash.xxh64_intdigest(data, seed)
+
+
+def plain_print(text):
+    """A fingerprint, straight from its description."""
+    return "".join(f"{w:015x}" for w in plain_words(text))
+
+
+def plain_words(text):
+    paragraphs, sentences = text.split("\n"), [s for s in re.split(r"\n|(?<=[.!?|])[\x20\x09]+", text) if s]
+    one = (1).to_bytes(4, "little")
+    import xxhash
+
+    first = xxhash.xxh64_intdigest(one, 42)
+    words = [len(sentences), len(paragraphs), sum(xx(p) for p in paragraphs) % 2**60, sum(xx(p, first) for p in paragraphs) % 2**60]
+    hashes = [xx(s) for s in sentences]
+    second = [xxhash.xxh64_intdigest(one, xx(h)) for h in hashes]
+    for hs in (hashes, second):
+        for shift in range(15):
+            words.append(sum((sum(h >> shift + 15 * i & 1 for h in hs) % 2**15) << 15 * i for i in range(4)))
+    return words
+
+
+def plain_likeness(x, y):
+    a, b = plain_words(x), plain_words(y)
+    if a == b:
+        return 1.0
+    lanes = lambda w: [v >> 15 * i & 2**15 - 1 for v in w[4:] for i in range(4)]
+    d = sum(((2 * (p - q) - (a[0] - b[0]) + 2**15) % 2**16 - 2**15) ** 2 for p, q in zip(lanes(a), lanes(b), strict=True)) / 120
+    both = a[0] + b[0]
+    return max(0.0, min(1.0, (both - d) / max(both + d, 1)))
+
+
+def test_fingerprints_of_odd_texts(spark):
+    many = "\n".join(f"line {i}." for i in range(70_000))
+    texts = ["One. Two.", "Two.\nOne.", "One.\nTwo.", "One.\nTwo.\n", "", "\n", many, many + "\nline 3.", None]
+    got = [r[0] for r in docs(spark, texts).orderBy("doc_id").select(fp.as_text(fp.fingerprint(F.col("text")))).collect()]
+    assert got == [plain_print(t or "") for t in texts] and len(set(got)) == 7  # the second and third, and null and empty, are equal
+    row = docs(spark, [many]).select(fp.combine(fp.combine(fp.fingerprint(F.col("text")), fp.fingerprint(F.lit("line 3."))), fp.fingerprint(F.lit("x. y.\nz")), -1).alias("w")).first()["w"]
+    back = spark.createDataFrame([(row,)], "w array<bigint>").select(fp.as_text(fp.combine(F.col("w"), fp.fingerprint(F.lit("x. y.\nz"))))).first()[0]
+    assert back == plain_print(many + "\nline 3.")
+
+
+def test_edits_of_repeated_ids(spark):
+    """Many rows of one id and of null, dealt to several buckets; and clashing columns."""
+    rng = random.Random(5)
+    rows = [(i, str(rng.random())) for i in range(40)] + [(7, str(rng.random())) for _ in range(60)] + [(None, str(rng.random())) for _ in range(50)] + [(None, "same")] * 5
+    frame = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id bigint, text string, bucket int, words int, h int")
+    signed = lambda t: (xx(t) + 2**63) % 2**64 - 2**63
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1]), r[1]))
+    want = collections.Counter((i, t, n) for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True))
+    for size in (5, 1500):
+        got = collections.Counter((r["doc_id"], r["text"], r["next_text"]) for r in fp.edits(frame, rows_per_bucket=size).collect())
+        assert got == want
+
+
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
