@@ -17,12 +17,22 @@ from loomgrid.llm.packing import pack
 from loomgrid.llm.quality import quality_rules
 from loomgrid.llm.sharding import shard
 from loomgrid.llm.toxicity import toxicity
-from loomgrid.llm.url_filter import url_filter
+from loomgrid.llm.url_filter import host_path, url_filter
 
 #: The rules of the contract, as (action, host/path).
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: Hosts with such a label are the source of the list of URLs that the filter blocks beside the rules.
-LISTED_HOSTS = r"://([^/?#]*[.-])?(casino|bet|win|pills|adult)([.-][^/?#]*)?([/?#]|$)"
+#: The list that the filter blocks beside the rules: the URLs of hosts with such a label, and those of pages with an advert of a listed
+#: campaign (their numbers end in 7), in the spelling of the advert's network.
+LISTED_HOSTS, LISTED_ADS = r"^(.*[.-])?(casino|bet|win|pills|adult)([.-].*)?$", r"<!-- ad [0-9]*7 -->"
+
+
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """URLs of the list; what a campaign lists differs from a page's own URL in scheme, ``www.``, port and tracking parameter."""
+    host, path = host_path(F.col("url"))
+    query = F.regexp_extract("url", r"^[^?#]*\?([^#]*)", 1)
+    spelled = F.concat(F.lit("HTTP://www."), F.regexp_replace(host, r"^www\.", ""), F.lit(":80"), path, F.lit("?utm_source=list&"), query)
+    found = F.array_compact(F.array(F.when(host.rlike(LISTED_HOSTS), F.col("url")), F.when(F.col("html").rlike(LISTED_ADS) & (host != ""), spelled)))
+    return pages.select(F.explode(found).alias("url"))
 
 
 def tokenizer_file(name: str) -> str:
@@ -38,7 +48,7 @@ def op1_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
-    return url_filter(pages, pages.where(F.col("url").rlike(LISTED_HOSTS)).select("url"), URL_RULES)
+    return url_filter(pages, listed_urls(pages), URL_RULES)
 
 
 def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +105,8 @@ def oracle_sql() -> dict[str, str]:
         || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END END"""
     return {
         "op2_url_filter": rf"""
-WITH raw AS (SELECT page_id, url, coalesce(regexp_extract(url, '^.*?://(.*)$', 1, 's'), '') AS rest FROM pages),
-parts AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH raw AS (SELECT page_id, url, html, coalesce(regexp_extract(url, '^.*?://(.*)$', 1, 's'), '') AS rest FROM pages),
+parts AS (SELECT page_id, url, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
     list_filter(string_split(regexp_extract(coalesce(url, ''), '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref)=')) AS q FROM raw),
 keyed AS (SELECT *, {canonical} AS key,
@@ -104,7 +114,7 @@ keyed AS (SELECT *, {canonical} AS key,
          WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
          WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
          WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parts),
-listed AS (SELECT DISTINCT key FROM keyed WHERE regexp_matches(coalesce(url, ''), '{LISTED_HOSTS}') AND key IS NOT NULL)
+listed AS (SELECT DISTINCT key FROM keyed WHERE (regexp_matches(host, '{LISTED_HOSTS}') OR regexp_matches(coalesce(html, ''), '{LISTED_ADS}')) AND key IS NOT NULL)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
     WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM keyed""",
     }

@@ -4,9 +4,10 @@ The order that is cut is (md5 of the text, doc_id), so that equal texts lie side
 and hashes are ranged and sorted, never texts. The driver sees one total for each partition, at most
 ``n_shards - 1`` rows that a target falls into, and one row number for each shard.
 
-A cut moves to the nearer edge of the group of equal texts around it where that group is at most ``whole``
-of a shard (equal texts then share a shard), else to the nearer edge of the row, so that a text that
-holds a third of all rows is spread over shards and sizes stay near equal.
+One law for all groups: a cut that falls into a group of equal texts moves to the group's nearer edge if that is at most
+``tolerance`` of a shard's size away, else to the nearer edge of the row it falls into. So no shard is further from the equal
+size than twice the tolerance and a row, equal texts share a shard wherever that allows it, and a text that
+holds a third of all rows is spread over shards.
 
 Defined results: a null text counts as empty (size ``overhead``, crc32 0); null ids sort first; repeated rows
 each get a slot; an empty table gives an empty result; other columns are ignored.
@@ -43,7 +44,7 @@ def _prefixes(offsets: dict[int, tuple[int, int]]):
     return run
 
 
-def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, whole: float = 0.05) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, tolerance: float = 0.05) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
@@ -66,10 +67,10 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
         groups = {r["text_md5"]: r for r in placed.where(F.col("text_md5").isin([r["text_md5"] for r in hit])).groupBy("text_md5").agg(F.min("start").alias("start"), F.sum("size").alias("size")).collect()} if hit else {}
         for r in hit:
             g = groups[r["text_md5"]]
-            edges = g if g["size"] * n_shards <= whole * total else r
             for k in range(r["first"] + 1, r["last"] + 1):
-                a, b = edges["start"], edges["start"] + edges["size"]
-                cuts[k - 1] = a if 2 * k * total <= (a + b) * n_shards else b
+                target = k * total / n_shards
+                near = lambda x, target=target: min((x["start"], x["start"] + x["size"]), key=lambda edge: abs(edge - target))
+                cuts[k - 1] = near(g) if abs(near(g) - target) * n_shards <= tolerance * total else near(r)
     cuts = sorted(cuts)
 
     edges = F.array(*(F.lit(c).cast("bigint") for c in cuts)) if cuts else F.array().cast("array<bigint>")

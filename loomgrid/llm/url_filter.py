@@ -6,7 +6,7 @@ whatever the list's length, so it may be broadcast. Rows that the filter passes
 with the list, which removes false positives; the others never leave their partition. A fuller filter
 passes more rows to the join, but never changes a verdict.
 
-The exact join is a left join on the canonical URL with the list's distinct entries; a URL that fills a
+The list is read once; the URLs twice, for the rows that the filter passes and for the others. The exact join is a left join on the canonical URL with the list's distinct entries; a URL that fills a
 third of the rows is split by Spark's adaptive skew join, as the list has one row for it.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits no rule and is not
@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import ascii_lower
+from loomgrid.llm.common import ascii_lower, checkpoint
 
 #: Odd 31-bit multipliers that pick a bit in each word of a block; their products with 32-bit hashes fit a bigint.
 SALTS = tuple(int(2**31 * (i * 0.6180339887498949 % 1)) | 1 for i in range(1, 9))
@@ -72,7 +72,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]]
     """Verdicts for the URLs of ``pages``. ``listed``: a DataFrame whose first column holds listed URLs."""
     host, path = host_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), canonical(F.col(url_col)).alias("key")).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    keys = listed.select(canonical(F.col(listed.columns[0])).alias("key")).where("key is not null").distinct()
+    keys = checkpoint(listed.select(canonical(F.col(listed.columns[0])).alias("key")).where("key is not null").distinct())  # read for its size, the filter and the join
     blocks = min(max_blocks, 1 << max(4, math.ceil(math.log2(max(1, keys.count()) * bits_per_key / 256))))
 
     block, bits = _block_and_bits(F.col("key"), blocks)
