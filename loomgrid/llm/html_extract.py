@@ -13,12 +13,15 @@ sidebars, forms, reader comments and footers that hold words of other blocks, so
 Only the fitted weights go to the executors.
 
 Defined results: a null or empty page has the empty text; nested, unclosed and stray tags are taken as they come
-(an end tag without its start is ignored); null ids and URLs stay; repeated rows give repeated results; pages of any
+(an end tag without its start is ignored, a head ends at the first element that may not stand in it, and only unclosed
+scripts, styles, titles, text areas and comments run to the page's end); the work on a page grows with its length, however deep its
+elements are nested; null ids and URLs stay; repeated rows give repeated results; pages of any
 length are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import math
 import random
@@ -31,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.llm.batches import sliced
 from loomgrid.llm.common import lowest_hashes
 
 #: Fixed values of HTML: elements that break lines, elements without an end tag, and elements whose content is no text.
@@ -42,45 +46,111 @@ NO_TEXT = frozenset("script style template noscript title textarea svg math ifra
 #: What a start tag closes if it is open, and what stops the search for it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S
 )
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-zA-Z]+")
 
 
+#: Elements that may stand in the head; any other start tag ends it. Unclosed, only these elements run to the end of the page.
+HEAD = frozenset("html head title meta link script style base noscript template".split())
+TO_THE_END = frozenset("script style title textarea".split())
+#: A start tag of a block closes a paragraph that is open above these.
+KEEPS_P = frozenset("td th li div section article".split())
+
+
+class Node:
+    """A way from the page down to an element: tags and name words. Equal ways of a page are one node, so a node costs what its last step adds.
+
+    ``fresh``: the features that this step adds to its parent's; ``nearest``: the tag of the closest block element.
+    """
+
+    __slots__ = ("parent", "step", "children", "fresh", "nearest", "score")
+
+    def __init__(self, parent: Node | None, step: tuple[str, ...], fresh: list[str]):
+        self.parent, self.step, self.children, self.fresh, self.score = parent, step, {}, fresh, None
+        self.nearest = step[0] if step and step[0] in BLOCKS else parent.nearest if parent else ""
+
+    def steps(self) -> list[tuple[str, ...]]:
+        out, node = [], self
+        while node.parent:
+            out.append(node.step)
+            node = node.parent
+        return out
+
+    def features(self) -> list[str]:
+        out, node = [], self
+        while node.parent:
+            out += node.fresh
+            node = node.parent
+        return sorted(out)
+
+
 class Block(NamedTuple):
     text: str
-    path: tuple[tuple[str, ...], ...]  # of each ancestor: tag, then its name words
+    node: Node
     linked: int  # characters inside links
 
 
+class Opened:
+    """The open elements, with the places of each tag, so that no step looks through all of them."""
+
+    def __init__(self) -> None:
+        self.nodes, self.places, self.held = [Node(None, (), [])], {}, {}
+
+    def push(self, step: tuple[str, ...]) -> None:
+        top, names = self.nodes[-1], [f"tag:{step[0]}", *dict.fromkeys(f"name:{w}" for w in step[1:])]
+        node = top.children.get(step)
+        if node is None:
+            node = top.children[step] = Node(top, step, [f for f in names if not self.held.get(f)])
+        for f in names:
+            self.held[f] = self.held.get(f, 0) + 1
+        self.places.setdefault(step[0], []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element with one of the tags; 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def first_after(self, tags: set[str], place: int) -> int:
+        """Place of the outermost one beyond a place; 0 if there is none."""
+        found = [p[at] for t in tags if (p := self.places.get(t)) and (at := bisect.bisect_right(p, place)) < len(p)]
+        return min(found, default=0)
+
+    def cut(self, place: int) -> bool:
+        """Close all from a place on; whether a block element was among them."""
+        block = False
+        while len(self.nodes) > place:
+            step = self.nodes.pop().step
+            self.places[step[0]].pop()
+            for f in (f"tag:{step[0]}", *dict.fromkeys(f"name:{w}" for w in step[1:])):
+                self.held[f] -= 1
+            block |= step[0] in BLOCKS
+        return block
+
+
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, ...]] = []
+    opened = Opened()
     held: list[str] = []
-    linked = links = position = 0
+    linked = position = 0
+    in_head, endless = False, set()
 
-    def close_block() -> None:
+    def close_block(node: Node) -> None:
         nonlocal held, linked
         text = " ".join("".join(held).split())
         if text:
-            out.append(Block(text, tuple(stack), linked))
+            out.append(Block(text, node, linked))
         held, linked = [], 0
 
-    def pop_to(k: int) -> None:
-        nonlocal links
-        links -= sum(e[0] == "a" for e in stack[k:])
-        del stack[k:]
-
     def take(raw: str) -> None:
         nonlocal linked
         if raw:
             raw = entities.unescape(raw)
             held.append(raw)
-            if links:
+            if opened.last("a"):
                 linked += len(raw)
 
-    in_head = False
     while m := TAG.search(page, position):
         if not in_head:
             take(page[position : m.start()])
@@ -89,64 +159,65 @@ def blocks_of(page: str) -> list[Block]:
         if not name:
             continue
         ends, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if name in ("head", "body"):
-            in_head = name == "head" and not ends
+        if name == "head":
+            in_head = not ends
+            continue
+        if name == "body" or not ends and name not in HEAD:
+            in_head = False
         if ends:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
-            if at >= 0:
-                if any(e[0] in BLOCKS for e in stack[at:]):
-                    close_block()
-                pop_to(at)
+            at = opened.last(name)
+            top = opened.nodes[-1]
+            if at:
+                if opened.cut(at):
+                    close_block(top)
             elif name == "p" or name in BLOCKS:
-                close_block()
+                close_block(top)
             continue
         if name in NO_TEXT:
-            if not attributes.endswith("/"):
+            if not attributes.endswith("/") and name not in endless:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, position)
-                position = end.end() if end else len(page)
+                if end:
+                    position = end.end()
+                elif name in TO_THE_END:
+                    position = len(page)
+                else:
+                    endless.add(name)
             held.append(" ")
             continue
         if name in VOID:
             if name == "hr":
-                close_block()
+                close_block(opened.nodes[-1])
             elif name in ("br", "wbr", "img", "input"):
                 held.append(" " if name != "wbr" else "")
             continue
         if name in BLOCKS:
-            close_block()
-            if any(e[0] == "p" for e in stack):
-                at = max(k for k, e in enumerate(stack) if e[0] == "p")
-                if not any(e[0] in ("td", "th", "li", "div", "section", "article") for e in stack[at + 1 :]):
-                    pop_to(at)
+            close_block(opened.nodes[-1])
+            at = opened.last("p")
+            if at > opened.last(*KEEPS_P):
+                opened.cut(at)
             if name in CLOSES:
                 what, stops = CLOSES[name]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in what:
-                        pop_to(k)
-                    elif stack[k][0] in stops:
-                        break
+                at = opened.first_after(what, opened.last(*stops))
+                if at:
+                    opened.cut(at)
         if not attributes.endswith("/") or name in BLOCKS:
             words = [w.lower() for found in NAMES.findall(attributes) for w in WORD.findall(" ".join(found))] if "=" in attributes else []
-            stack.append((name, *words))
-            links += name == "a"
+            opened.push((name, *words))
     take(page[position:] if not in_head else "")
-    close_block()
+    close_block(opened.nodes[-1])
     return out
 
 
-def features(blocks: list[Block]) -> list[list[str]]:
+def own_features(blocks: list[Block]) -> list[list[str]]:
+    """Features of the blocks beside those of their ancestors."""
     out, n = [], len(blocks)
-    paths: dict[tuple, list[str]] = {}
     for i, b in enumerate(blocks):
-        found = paths.get(b.path)
-        if found is None:
-            found = sorted({f"tag:{e[0]}" for e in b.path} | {f"name:{w}" for e in b.path for w in e[1:]})
-            nearest = next((e[0] for e in reversed(b.path) if e[0] in BLOCKS), "")
-            found = paths[b.path] = ["bias", f"in:{nearest}", *found]
         text = b.text
         words = text.count(" ") + 1
         share = b.linked / len(text)
         more = [
+            "bias",
+            f"in:{b.node.nearest}",
             f"words:{min(8, words.bit_length())}",
             f"link:{0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.9 else 3}",
             f"end:{'.' if text[-1] in '.!?…»”' else text[-1] if text[-1] in ':|' else 'o'}",
@@ -156,12 +227,17 @@ def features(blocks: list[Block]) -> list[list[str]]:
             more.append("copyright")
         if "|" in text or "·" in text or "»" in text:
             more.append("separator")
-        if i and blocks[i - 1].path != b.path:
+        if i and blocks[i - 1].node is not b.node:
             more.append("new_parent")
-        out.append(found + more)
+        out.append(more)
     return out
 
 
+def features(blocks: list[Block]) -> list[list[str]]:
+    """All features of the blocks; only training lists those of ancestors, which ``Crf.label`` adds up along the nodes."""
+    return [b.node.features() + own for b, own in zip(blocks, own_features(blocks), strict=True)]
+
+
 class Crf:
     """Weights of features for the label main text, of label pairs, and of pairs where the parent changes."""
 
@@ -173,8 +249,25 @@ class Crf:
         get = self.weights.get
         return np.array([sum(get(f, 0.0) for f in r) for r in rows]), [int(r[-1] == "new_parent") for r in rows]
 
+    def label(self, blocks: list[Block]) -> list[int]:
+        """Labels of a page's blocks. A node's score is its parent's and that of what it adds."""
+        get = self.weights.get
+        scores, new = self.scores(own_features(blocks))
+        for i, b in enumerate(blocks):
+            above, node = [], b.node
+            while node.parent and node.score is None:
+                above.append(node)
+                node = node.parent
+            total = node.score or 0.0
+            for node in reversed(above):
+                total = node.score = total + sum(get(f, 0.0) for f in node.fresh)
+            scores[i] += total
+        return self._best(scores, new)
+
     def decode(self, rows: list[list[str]]) -> list[int]:
-        scores, new = self.scores(rows)
+        return self._best(*self.scores(rows))
+
+    def _best(self, scores: np.ndarray, new: list[int]) -> list[int]:
         pairs = self.pairs.tolist()
         best, back = [0.0, float(scores[0])], []
         for s, k in zip(scores[1:].tolist(), new[1:], strict=True):
@@ -235,11 +328,11 @@ MARKED = frozenset("ad ads advert advertisement banner comment comments cookie f
 
 def told(blocks: list[Block]) -> list[int] | None:
     """Labels that the page's own article or main element tells; None where it has none."""
-    inside = [any(e[0] in ("article", "main") for e in b.path) for b in blocks]
+    inside = [any(e[0] in ("article", "main") for e in b.node.steps()) for b in blocks]
     if not any(inside):
         return None
     outer = ("nav", "aside", "footer", "form")
-    return [int(i and not any(e[0] in outer or MARKED.intersection(e[1:]) for e in b.path)) for i, b in zip(inside, blocks, strict=True)]
+    return [int(i and not any(e[0] in outer or MARKED.intersection(e[1:]) for e in b.node.steps())) for i, b in zip(inside, blocks, strict=True)]
 
 
 #: Containers for laid-out pages: start tags of main text, then of each kind of other block with the element of its items.
@@ -313,7 +406,7 @@ def training_pages(pages: list[str], layouts: int, rng: random.Random) -> list[t
             blocks = blocks_of(page)
             labels, k = [], 0
             for b in blocks:  # the main blocks stand in the page in their order
-                hit = k < len(own) and b.text == " ".join(own[k].split()) and not any(MARKED.intersection(e[1:]) or e[0] in ("aside", "nav", "form", "footer", "header") for e in b.path)
+                hit = k < len(own) and b.text == " ".join(own[k].split()) and not any(MARKED.intersection(e[1:]) or e[0] in ("aside", "nav", "form", "footer", "header") for e in b.node.steps())
                 k += hit
                 labels.append(int(hit))
             if k == len(own):
@@ -331,7 +424,7 @@ def main_text(page: str | None, model: Crf) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    return "\n".join(b.text for b, y in zip(blocks, model.decode(features(blocks)), strict=True) if y)
+    return "\n".join(b.text for b, y in zip(blocks, model.label(blocks), strict=True) if y)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **training) -> DataFrame:
@@ -339,11 +432,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     shared = pages.sparkSession.sparkContext.broadcast(fit(pages, id_col, html_col, **training))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [main_text(p.as_py(), shared.value) for p in part.column("html")]
-                yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+        for part, texts in sliced(batches, "html"):
+            found = [main_text(t, shared.value) for t in texts]
+            yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(found, pa.string()), "n_chars": pa.array([len(t) for t in found], pa.int64())})
 
     own = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     return own.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ from loomgrid.llm import html_extract as H
 from loomgrid.llm import lm_score, packing, toxicity
 from loomgrid.llm.byte_bpe import encode_decode, encode_ids
 from loomgrid.llm.components import components
-from loomgrid.llm.near_dedup import keep_one, near_duplicates
+from loomgrid.llm.near_dedup import Overlaps, keep_one, near_duplicates
 
 SCHEMA = "doc_id bigint, text string, keys string"
 ODD = [None, "", " \n ", "a", "x<|endoftext|>y don't we'll ÉCOLE é 4५6 \x1c b", "ΟΔΟΣ ΣΑΣ. ﬁ Å", "日本語 👩‍👩‍👧", "...then, end. ok.) 5, é.", "ß" * 50, "word " * 6000]
@@ -48,6 +49,26 @@ def test_packing(spark):
     assert packing.pack(docs(spark, []), path).count() == 0
 
 
+def test_word_ids_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tokenizer, own, rng = Tokenizer.from_file(path), packing.WordIds(path, remember=300), random.Random(9)
+    bits = ["<|EndOfText|>", "<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "<|", "|>", " ", "\n", "\u00a0", "A", "b", "É", "e\u0301", "İ", "ß", "don't", "7", ".", ",", "'", "日本", "ΑΣ", "word", "\x1c"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        assert [x.tolist() for x in own.encode(part)] == [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+
+
+def test_packing_of_repeated_rows(spark):
+    rows = packing.pack(docs(spark, ["one two three"] * 3 + ["four"], [1, 1, None, None]), P.path("word_bpe_49k.json")).collect()
+    by_id = collections.Counter()
+    for r in rows:
+        by_id[r["doc_id"]] += r["length"]
+    assert by_id == {1: 8, None: 6} and sorted(r["doc_tokens"] for r in rows if r["start"] == 0) == [2, 4, 4, 4]
+
+
 def test_packing_balances_cost():
     lengths = np.random.default_rng(0).integers(1, 1500, 800)
     rows, n = packing.pack_pool(lengths, 2048, 1.0, 1 / 2048)
@@ -118,10 +139,63 @@ def test_near_duplicates_of_odd_rows(spark):
     texts, ids = ["same text of some words here"] * 4 + [None, "alone in its own group of words"], [7, 3, 3, None, None, None]
     rows = near_duplicates(docs(spark, texts, ids)).collect()
     assert sorted((r["component_id"], r["kept"]) for r in rows if r["doc_id"] is not None) == [(3, False), (3, True), (3, True)]
-    assert sum(r["kept"] for r in rows if r["doc_id"] is None) == 2
+    assert [r["component_id"] for r in rows if r["doc_id"] is None and r["n_shingles"] == 2] == [3]
     kept = keep_one(docs(spark, texts, ids))
-    assert kept.columns == ["doc_id", "text", "keys"] and sorted(str(r["doc_id"]) for r in kept.collect() if r["doc_id"] is not None) == ["3"]
-    assert near_duplicates(docs(spark, [])).count() == 0
+    assert kept.columns == ["doc_id", "text", "keys"] and sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [("3", texts[0]), ("None", "None"), ("None", texts[5])]
+    assert near_duplicates(docs(spark, [])).count() == 0 and keep_one(docs(spark, [])).count() == 0
+
+
+def test_rows_with_one_id_keep_their_own_sets(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    b = " ".join(f"v{i}" for i in range(60))
+    for other in (6, 5):
+        rows = near_duplicates(docs(spark, [a, a + " extra", b], [3, 5, other])).collect()
+        assert sorted((r["n_shingles"], r["component_id"]) for r in rows) == [(56, 3), (56, other), (57, 3)]
+    kept = lambda texts, ids: sorted((str(r["doc_id"]), r["text"]) for r in keep_one(docs(spark, texts, ids)).collect())
+    assert kept([a, a, b], [3, 5, 5]) == [("3", a), ("5", b)]
+    assert kept([a, a, a + " extra", b, b], [None] * 5) == sorted([("None", min(a, a + " extra", key=lambda t: hash_key(t))), ("None", b)])
+    assert kept([a, a.upper(), b], [4, 4, 9]) == sorted([("4", min(a, a.upper(), key=lambda t: hashlib.md5(t.encode()).hexdigest())), ("9", b)])
+    assert kept([a, a, " ", " "], [1, 1, 2, 2]) == [("1", a), ("2", " "), ("2", " ")]
+
+
+def hash_key(text):
+    import pyspark.sql
+
+    return pyspark.sql.SparkSession.active().createDataFrame([(text,)], "t string").select(F.xxhash64("t")).first()[0]
+
+
+def test_families_are_compared_whole(spark):
+    """Hundreds of texts around one, most of them just beyond the similarity, in blocks of few shingles."""
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(60)]
+    texts = []
+    for _ in range(160):
+        copy = list(common)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.randint(0, 2)] = [rng.choice(["x", "y"])]
+        texts.append(" ".join(copy))
+    want, _ = brute_components(texts, 4)
+    for block in (700, 1_000_000):
+        rows = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, texts), shingle=4, block=block).collect()}
+        assert [rows[i] for i in range(len(texts))] == want and len(set(want)) > 3
+
+
+def test_overlaps():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(1 << 40, size=rng.integers(1, 40)) if i % 2 else rng.integers(60, size=30)).astype(np.int64) for i in range(70)]
+    for cells in (0, 300, 1 << 20):
+        block = Overlaps(np.concatenate(sets[:50]), np.array([len(x) for x in sets[:50]]), cells)
+        assert (block.of(sets[20:]) == [[len(np.intersect1d(a, b)) for b in sets[:50]] for a in sets[20:]]).all()
+
+
+def test_near_duplicates_of_a_table(spark):
+    """Components of the whole table of sf0.01 against brute force over shared shingles."""
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(frame, shingle=4).collect()}
+    rows = sorted((r["doc_id"], r["text"]) for r in frame.collect())
+    want, _ = brute_components([t for _, t in rows], 4)
+    assert got == {i: rows[c][0] for (i, _), c in zip(rows, want, strict=True)}
 
 
 def test_components(spark):
@@ -219,6 +293,10 @@ def test_toxicity(spark):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for i, r in found.items())
     assert sum(a == b for a, b in held) / len(held) > 0.95
     assert found[9000]["score"] == found[9001]["score"] < 0.3 and found[9002]["score"] > found[9001]["score"]  # a form never seen in training
+    again = toxicity.toxicity(frame.union(frame), labels.union(labels))  # repeated rows and labels change nothing
+    assert {r["doc_id"]: r["score"] for r in again.collect()} == {i: r["score"] for i, r in found.items()} and again.count() == 2 * len(found)
+    long = spark.createDataFrame([(1, "tari " * 40_000 + "grumbold vexwits grumbolder vexwit grumbold", 1, 2, 3), (2, "tari " * 40_000, 1, 2, 3)], frame.schema)
+    assert [r["predicted"] for r in toxicity.toxicity(frame.union(long), labels).where("doc_id in (1, 2)").orderBy(F.desc("score")).collect()][0] == 1
     kept = toxicity.keep_clean(frame, labels)
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in found.items() if not r["predicted"]}
     assert toxicity.toxicity(frame, labels.limit(0)).where("score > 0.3").count() == 0 and toxicity.toxicity(frame.limit(0), labels).count() == 0
@@ -245,6 +323,23 @@ def test_main_text(spark):
     assert H.extract(frame.limit(0)).count() == 0
 
 
+def test_blocks_of_hostile_pages():
+    read = lambda page: [(b.text, [e[0] for e in reversed(b.node.steps())]) for b in H.blocks_of(page)]
+    assert read("<head><title>x</title><article><p>text") == [("text", ["article", "p"])]
+    assert read("<article><p>a<svg><p>b</article>") == [("a", ["article", "p"]), ("b", ["article", "p"])]
+    assert read("<p>a<script>b<p>c") == [("a", ["p"])]
+    assert read("<ul><li>a<li><b>b<li>c</ul><p>d<div>e</p>f") == [("a", ["ul", "li"]), ("b", ["ul", "li", "b"]), ("c", ["ul", "li"]), ("d", ["p"]), ("e", ["div"]), ("f", ["div"])]
+    assert read("<table><tr><td>a<td>b<tr><td>c</table>") == [(x, ["table", "tr", "td"]) for x in "abc"]
+    model = H.Crf().fit(H.training_pages([m[0] for m in pages(30, 3)], 2, random.Random(1)))
+    n = 1 << 20
+    for piece in ("<div>x y", "<b>x", '<div class="a b c">t', "<p><li><b>x", "</b>", "<!", "<svg>x", "<a '", "<ul><b><li>x"):
+        began = time.process_time()
+        H.main_text(piece * (n // len(piece)), model)
+        assert time.process_time() - began < 60, piece
+    own = H.blocks_of(pages(3, 5)[0][0])
+    assert model.label(own) == model.decode(H.features(own))
+
+
 def test_main_text_in_unseen_layouts():
     made = [m[0] for m in pages(100, 8)]
     model = H.Crf().fit(H.training_pages(made, 4, random.Random(1)))
@@ -286,3 +381,21 @@ def test_pipeline(spark):
         kept = out
     pieces = corpus_pipeline.run(spark, sf)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in kept.select("doc_id").collect()}
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Nulls, repeated rows, clashing columns and an empty table go through all stages."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    good = " ".join(r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 600 and lang = 'en'").orderBy("doc_id").limit(1).collect())
+    rows = [(None, good), (None, good), (7, good), (7, good), (8, None), (9, ""), (None, None), (5, good + " And one more line of the text.")]
+    frame = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], "doc_id bigint, text string, score string, quality_votes string, dedup_k string")
+    for table in (frame, frame.limit(0)):
+        kept = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, sf)
+            assert kept.columns == frame.columns
+        assert [r["doc_id"] for r in kept.collect()] == ([5] if table is frame else [])
+        pieces = corpus_pipeline.STAGES[-1][1](spark, kept, sf).collect()
+        assert {r["doc_id"] for r in pieces} == ({5} if table is frame else set())
