@@ -1,12 +1,12 @@
 """Language-model scores by subword lattices, beside a smoothed word model.
 
-The pieces are those of a public sentencepiece vocabulary, never trained here. Its scores are negative ranks;
-by Zipf's law they give the starting weights of the pieces, 1 / (rank + 10). All ways to cut a word into pieces (byte
-pieces cover what else wouldn't fit) form its lattice. One round of expectation-maximisation over the training
-documents' words turns the starting weights into piece probabilities: expected counts by the forward-backward
-recursion over every distinct word's lattice, weighed with the word's count. A word's probability is the
-sum over all its segmentations, by the forward recursion in log space; a text's is the product over its words
-and the end piece.
+The pieces are those of a public sentencepiece vocabulary, never trained here, and its scores weigh all ways to cut a word into pieces
+(byte pieces cover what else wouldn't fit), its lattice. The scores are negative ranks; by Zipf's law a piece weighs
+(rank + 10) ** -a. Only the scale a is fitted to the corpus, by one round of expectation-maximisation from a = 1 and an end as likely as all pieces together: pieces' expected
+numbers of uses by the forward-backward recursion over every distinct word of the training documents, weighed with the word's count; and
+how often a text ends, as a share of pieces and ends together. A word's probability is the sum over all its segmentations, by the
+forward recursion in log space; a text's is the product over its words and the end piece. With ``free`` the round sets every piece's
+probability by its expected uses instead of the scale: a corpus-trained unigram model, as an option beside the method.
 
 Where the work goes: words are counted within tasks and then summed in a shuffle that grows with the corpus;
 expected counts come back as at most one number for each piece; every distinct word's two log probabilities are
@@ -21,6 +21,8 @@ for every token; an empty table gives an empty result; other columns are ignored
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -40,7 +42,7 @@ _FACTOR = 0x9E3779B97F4A7C15
 
 
 def read_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
-    """Pieces as bytes (word starts marked by a blank), with the end piece last, and their starting log probabilities."""
+    """Pieces as bytes (word starts marked by a blank), with the end piece last, and the logs of their weights at scale 1 (0 for the end)."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -54,15 +56,37 @@ def read_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
             piece, rank = model.id_to_piece(i).encode().replace(_BLANK, b" "), -model.get_score(i)
         found[piece] = found.get(piece, 0.0) + 1 / (rank + 10)
     pieces = [*found, END]
-    weights = np.array([*found.values(), max(found.values())])
-    return pieces, np.log(weights / weights.sum())
+    return pieces, np.log(np.array([*found.values(), 1.0]))
+
+
+def scaled(weights: np.ndarray, scale: float, end: float) -> np.ndarray:
+    """Log probabilities of pieces with weights to the power of ``scale``, and of the end, which has the share ``end``."""
+    raised = scale * weights[:-1]
+    top = raised.max()
+    return np.append(raised - top - np.log(np.exp(raised - top).sum()) + np.log1p(-end), np.log(end))
+
+
+def fit_scale(weights: np.ndarray, uses: np.ndarray, most: float = 64.0) -> float:
+    """The scale under which the pieces' expected uses are likeliest: mean log weight under the model equals that of the uses. 1 without uses."""
+    if not uses[:-1].sum():
+        return 1.0
+    wanted = float(uses[:-1] @ weights[:-1] / uses[:-1].sum())
+    low, high = 0.0, most
+    for _ in range(80):
+        middle = (low + high) / 2
+        if float(np.exp(scaled(weights, middle, 0.5)[:-1] + np.log(2)) @ weights[:-1]) < wanted:
+            low = middle
+        else:
+            high = middle
+    return (low + high) / 2
 
 
 class Lattice:
-    """Forward and backward recursions over many words at a time."""
+    """Forward and backward recursions over many words at a time; a word of over ``long`` bytes goes by itself, a few numbers for each byte."""
 
-    def __init__(self, pieces: list[bytes], log_probs: np.ndarray):
-        self.log_probs = log_probs
+    def __init__(self, pieces: list[bytes], log_probs: np.ndarray, long: int = 256):
+        self.log_probs, self.long = log_probs, long
+        self.index = {p: i for i, p in enumerate(pieces) if p}
         self.lengths = sorted({len(p) for p in pieces if p})
         self.tables = {}
         for n in self.lengths:
@@ -91,8 +115,11 @@ class Lattice:
 
     def _batches(self, words: list[bytes], cells: int = 400_000) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
         """Words of one length each, in batches of about ``cells`` bytes, each word led by its blank."""
-        sizes = np.array([len(w) + 1 for w in words])
+        sizes = np.array([len(w) + 1 for w in words], np.int64)
         order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] <= self.long]
+        if not len(order):
+            return
         for group in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
             size = int(sizes[group[0]])
             for at in range(0, len(group), step := max(1, cells // size)):
@@ -111,8 +138,35 @@ class Lattice:
         out = np.zeros(len(words))
         for size, picked, group in self._batches(words):
             out[picked] = self._forward(self._edges(group, size), len(group), size)[:, size]
+        for i, w in enumerate(words):
+            if len(w) + 1 > self.long:
+                out[i] = self._forward_one(b" " + w)[-1]
         return out
 
+    def _hits(self, word: bytes, end: int) -> list[tuple[int, int]]:
+        """(begin, piece) of the pieces that end at a place."""
+        return [(end - n, i) for n in self.lengths if n <= end and (i := self.index.get(word[end - n : end])) is not None]
+
+    def _forward_one(self, word: bytes) -> array:
+        alpha, logs = array("d", [0.0]), self.log_probs
+        for end in range(1, len(word) + 1):
+            terms = [alpha[begin] + logs[i] for begin, i in self._hits(word, end)]
+            top = max(terms, default=-math.inf)
+            alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)) if top > -math.inf else top)
+        return alpha
+
+    def _expected_one(self, word: bytes, count: float, out: np.ndarray) -> None:
+        alpha, logs = self._forward_one(word), self.log_probs
+        beta = array("d", [-math.inf]) * (len(word) + 1)
+        beta[-1] = 0.0
+        for end in range(len(word), 0, -1):
+            for begin, i in self._hits(word, end):
+                through = logs[i] + beta[end]
+                out[i] += count * math.exp(alpha[begin] + through - alpha[-1])
+                high, low = max(beta[begin], through), min(beta[begin], through)
+                if high > -math.inf:
+                    beta[begin] = high + math.log1p(math.exp(low - high))
+
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece."""
         out = np.zeros(len(self.log_probs))
@@ -126,6 +180,9 @@ class Lattice:
                 use = np.exp(alpha[rows, begin] + through - alpha[rows, size]) * counts[picked[rows]]
                 out += np.bincount(ids, use, len(out))
                 beta[rows, begin] = np.logaddexp(beta[rows, begin], through)
+        for i, w in enumerate(words):
+            if len(w) + 1 > self.long:
+                self._expected_one(b" " + w, float(counts[i]), out)
         return out
 
 
@@ -167,7 +224,7 @@ def _count(folds: int, held: int, flush: int):
     return run
 
 
-def score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, head: int = 200_000, head_bytes: int = 64) -> DataFrame:
+def score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, head: int = 200_000, head_bytes: int = 64, free: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) of every row."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -175,7 +232,8 @@ def score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: s
     vocabulary = checkpoint(counted.groupBy("word").agg(F.sum("c").alias("c")))
     total, distinct = vocabulary.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
-    pieces, start = read_pieces(pieces_path)
+    pieces, own_weights = read_pieces(pieces_path)
+    start = scaled(own_weights, 1.0, 0.5)
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, sums = Lattice(pieces, start), np.zeros(len(pieces))
@@ -186,11 +244,14 @@ def score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: s
 
     learned = vocabulary.where("c > 0").where(F.col("word") != F.lit(END)).mapInArrow(expect, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # at most a row for each piece
     ends = vocabulary.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    weights = np.exp(start) * 100.0  # the starting weights count as a hundred pieces
+    uses = np.zeros(len(pieces))
     for r in learned:
-        weights[r["piece"]] += r["n"]
-    weights[-1] += ends
-    log_probs = np.log(weights / weights.sum())
+        uses[r["piece"]] = r["n"]
+    end = (ends + 1) / (ends + uses.sum() + 2)
+    log_probs = scaled(own_weights, fit_scale(own_weights, uses), end)
+    if free:
+        held_back = uses[:-1] + 100 * np.exp(start[:-1]) / np.exp(start[:-1]).sum()  # the scores count as a hundred pieces
+        log_probs = np.append(np.log(held_back / held_back.sum()) + np.log1p(-end), np.log(end))
     log10 = float(np.log(10))
     norm = total + 0.5 * (distinct + 1)
 

@@ -263,13 +263,53 @@ def test_lattice_sums_all_segmentations():
         return {k: x / whole for k, x in out.items()}
 
     words = [b"a", b"ab", b"abab", b"abababababab", b"bbb"]
-    lattice = lm_score.Lattice(pieces, logs)
-    assert np.allclose(lattice.log_prob(words), [math.log(total(b" " + w)) for w in words])
     want = collections.Counter()
     for w in words:
         for k, x in uses(b" " + w).items():
             want[k] += 2 * x
-    assert np.allclose(lattice.expected(words, np.full(len(words), 2.0)), [want[p] for p in pieces])
+    for long in (256, 5, 0):  # both ways
+        lattice = lm_score.Lattice(pieces, logs, long)
+        assert np.allclose(lattice.log_prob(words), [math.log(total(b" " + w)) for w in words])
+        assert np.allclose(lattice.expected(words, np.full(len(words), 2.0)), [want[p] for p in pieces])
+
+
+def test_lm_score_value(spark):
+    """The ``score`` column by listing every segmentation: expected uses, the scale that makes them likeliest (on a grid), and the sum again."""
+    texts = ["the cat sat", "A cat", None, "on the mat", "catalogue", "the the", "zq\u00e9", "a b c", "the end", "mat"]
+    path = P.path("piece_bpe_32k.model")
+    pieces, weights = lm_score.read_pieces(path)
+    known = {p: w for p, w in zip(pieces[:-1], weights[:-1].tolist(), strict=True)}
+    ways = lambda w: [[w[:k], *rest] for k in range(1, len(w) + 1) if w[:k] in known for rest in (ways(w[k:]) if w[k:] else [[]])]
+    norm = lambda a: math.log(sum(math.exp(a * x) for x in known.values()))
+    uses, ends = collections.Counter(), 0
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            ends += 1
+            for w in lm_score.tokens(t or ""):
+                found = [(way, math.exp(sum(known[p] - norm_1 + math.log(0.5) for p in way))) for norm_1 in [norm(1.0)] for way in ways(b" " + w)]
+                whole = sum(x for _, x in found)
+                for way, x in found:
+                    for p in way:
+                        uses[p] += x / whole
+    n = sum(uses.values())
+    gain = lambda a: sum(k * a * known[p] for p, k in uses.items()) - n * norm(a)
+    scale = max((i / 1000 for i in range(1, 6000, 50)), key=gain)
+    scale = max((scale + i / 1000 for i in range(-60, 61)), key=gain)
+    end, log_norm = (ends + 1) / (ends + n + 2), norm(scale)
+    frame = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(texts)], "doc_id bigint, text string, word int, key int, pos int")
+    for head in (0, 200_000):
+        for r in lm_score.score(frame, path, head=head).collect():
+            want = math.log10(end)
+            for w in lm_score.tokens(texts[r["doc_id"]] or ""):
+                want += math.log10(sum(math.exp(sum(scale * known[p] - log_norm + math.log(1 - end) for p in way)) for way in ways(b" " + w)))
+            assert r["score"] == pytest.approx(want, rel=2e-3)
+
+
+def test_very_long_words():
+    pieces, weights = lm_score.read_pieces(P.path("piece_bpe_32k.model"))
+    lattice, began = lm_score.Lattice(pieces, lm_score.scaled(weights, 1.0, 0.5)), time.process_time()
+    word = bytes(random.Random(2).choices(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=200_000))
+    assert lattice.log_prob([word])[0] < -200_000 and time.process_time() - began < 60
 
 
 def toxic_world(seed, n):
