@@ -12,12 +12,13 @@ then packs that pool:
   to fill the cheapest one with any room.
 
 Defined results: a null or empty text has one token, the end id; null ids stay null; repeated rows are packed
-each; a text of any length is cut over sequences; an empty table gives an empty result; other columns are
+each on their own, also with the same id; a text of any length is cut over sequences; an empty table gives an empty result; other columns are
 ignored. Which documents meet in a sequence depends on how the input is partitioned.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,9 +37,14 @@ END = 1
 
 class WordIds:
     """Ids of whole texts by a tokenizer that lower-cases and whose tokens never cross ASCII white space, nor the place between
-    an ASCII letter or digit and a closing comma or full stop; so words are encoded once while they are remembered."""
+    an ASCII letter or digit and a closing comma or full stop; so words are encoded once while they are remembered.
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    The tokenizer looks for its special tokens in the raw text, with their case; so texts with ``SPECIAL`` in them go to it whole."""
+
+    SPECIAL = "<|"
+
+    def __init__(self, path: str, remember: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only wait for each other's cache
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember, self.known = Tokenizer.from_file(path), remember, {}
@@ -48,11 +54,18 @@ class WordIds:
             self.known[word] = array("I", found.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [i for i, t in enumerate(texts) if self.SPECIAL in t]
+        out = self._encode(["" if self.SPECIAL in t else t for t in texts] if whole else texts)
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i].encode("utf-8", "replace").decode(), add_special_tokens=False).ids, np.uint32)
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.encode("utf-8", "replace").lower().split() for t in texts]
         distinct = set().union(*split)
         new = distinct.difference(self.known)
-        if len(self.known) + len(new) > self.remember:
-            self.known, new = {}, distinct
+        if len(self.known) + len(new) > self.remember:  # workers outlive their tasks, so this is memory for good
+            self.known = {w: self.known[w] for w in distinct.difference(new)}
         closed = [w for w in new if len(w) > 1 and w[-1] in b".," and (97 <= w[-2] <= 122 or 48 <= w[-2] <= 57)]
         new.difference_update(closed)
         stems = {w[:-1] for w in closed}.union((b".", b",")).difference(self.known)
