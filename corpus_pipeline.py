@@ -2,13 +2,21 @@
 
 Each stage is a function of (spark, docs, sf_dir) on the rows that its predecessor kept. All but the last return
 the columns of ``documents``; the last returns the packed pieces.
+
+Defined results: rows with a null or blank text fail the quality rules; rows with a null id are judged like all others (toxicity
+never learns from them) and of equal texts one row stays, the one with the smallest id, null ids last; rows that are repeated whole
+become one; rows that share an id but not a text are told apart; columns beside id and text go along untouched, whatever their
+names; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrid.llm.common import checkpoint, read
+from loomgrid.functions.lineage import passing_checkpoints, remove, shared_folder
+from loomgrid.llm.common import read
 from loomgrid.llm.near_dedup import keep_one
 from loomgrid.llm.packing import pack
 from loomgrid.llm.quality import keep_good
@@ -39,8 +47,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is checkpointed, since the next one reads it more than once."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``. What a stage keeps is stored in the shared folder for the next one; its checkpoints, and what its
+    predecessor had stored, are removed then."""
+    docs, stored = read(spark, sf_dir, "documents"), None
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     for name, stage in STAGES[:-1]:
-        docs = checkpoint(stage(spark, docs, sf_dir))
+        with passing_checkpoints(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if stored:
+            remove(spark, stored)
+        stored = f"{folder}/{name}"
+        docs = spark.read.parquet(stored)
     return STAGES[-1][1](spark, docs, sf_dir)

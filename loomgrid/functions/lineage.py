@@ -1,15 +1,45 @@
-"""Cuts of the lineage."""
+"""Cuts of the lineage, and what is stored for them."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that ``spark.checkpoint.dir`` names; only where it is unset, in a folder of our own."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset: a temporary one of a local session, an error on a cluster."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def passing_checkpoints(spark: SparkSession) -> Iterator[None]:
+    """Checkpoints made inside go to a folder of their own, which is removed at the end; what is needed later has to be stored inside."""
+    above = shared_folder(spark).rpartition("/")[0]  # Spark makes a folder of its own in the one it is given
+    spark.sparkContext.setCheckpointDir(f"{above}/passing-{uuid.uuid4()}")
+    own = spark.sparkContext.getCheckpointDir()
+    try:
+        yield
+    finally:
+        spark.sparkContext.setCheckpointDir(above)
+        remove(spark, own.rpartition("/")[0])
