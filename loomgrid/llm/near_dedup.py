@@ -138,7 +138,7 @@ def _signatures(shingle: int, side: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = HalfKeys(side, width)
-        for part, texts in sliced(batches, "text"):
+        for part, texts in sliced(batches, "text", 1 << 20):
             sets = shingle_sets(texts, shingle)
             full = [i for i, s in enumerate(sets) if len(s)]
             keys, digests = maker.of([sets[i] for i in full]) if full else (np.zeros((0, 2 * side), np.int64), np.zeros((0, 2), np.int64))
@@ -158,7 +158,7 @@ def _sets(shingle: int):
     """Rows of node, z, k, text to node, z, k and shingles, where the text's set is the node's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in sliced(batches, "text"):
+        for part, texts in sliced(batches, "text", 1 << 20):
             sets = shingle_sets(texts, shingle)
             own = [i for i, (s, node) in enumerate(zip(sets, part.column("node").to_pylist(), strict=True)) if len(s) and int(digests_of([s])[0, 0]) == node]
             sizes = np.cumsum([0, *(len(sets[i]) for i in own)], dtype=np.int32)

@@ -96,7 +96,7 @@ class Model:
         at = size = 0
         for k, piece in enumerate(pieces):
             size += len(piece)
-            if size > 1 << 19 or k == len(pieces) - 1:
+            if size > 1 << 18 or k == len(pieces) - 1:
                 np.maximum.at(best, owner[at : k + 1], self._most(pieces[at : k + 1]))
                 at, size = k + 1, 0
         some = np.isfinite(best)
