@@ -43,11 +43,11 @@ def map_centre(places: DataFrame) -> DataFrame:
 
 
 def ordered_lookup(sensors: DataFrame, places: DataFrame) -> DataFrame:
-    """Places in the order of the sensors' ordinals, NULL for sensors without one; repeated places are an error."""
+    """Places in the order of the sensors' ids (numbers by value), NULL for sensors without one; repeated places are an error."""
     repeated = places.groupBy("sensor_id").count().where("count > 1").limit(1).collect()
     if repeated:
         raise ValueError(f"sensor {repeated[0]['sensor_id']} has several places")
-    return sensors.join(places, "sensor_id", "left")
+    return sensors.join(places, "sensor_id", "left").orderBy(F.length("sensor_id"), "sensor_id")
 
 
 def key_differences(a: DataFrame, b: DataFrame, key: str = "sensor_id") -> DataFrame:

@@ -88,7 +88,9 @@ def validated(models: dict[str, PipelineModel], found: DataFrame) -> dict[str, t
     for name, model in models.items():
         rows = scored(model, found.where("split = 'validation'")).cache()
         threshold = best_threshold(threshold_sweep(rows)).first()["threshold"]
-        out[name] = threshold, judged(name, "validation", rows, threshold)
+        row = judged(name, "validation", rows, threshold)
+        out[name] = threshold, rows.sparkSession.createDataFrame(row.collect(), row.schema)  # one row
+        rows.unpersist()
     return out
 
 
@@ -109,6 +111,12 @@ def select_model(found: DataFrame, settings: Settings, names: tuple[str, ...] =
     return name, models[name]
 
 
+def all_importances(found: DataFrame, settings: Settings, names: tuple[str, ...] = MODELS) -> DataFrame:
+    """Importances by source feature of every fitted model."""
+    models = fit_models(found, settings, names)
+    return reduce(DataFrame.unionByName, (importances(models[n]).select(F.lit(n).alias("model"), "feature", "importance") for n in names))
+
+
 def importances(model: PipelineModel, sensors: list[str] | None = None) -> DataFrame:
     """Absolute coefficients or impurity importances, summed by source feature."""
     from pyspark.sql import SparkSession

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions.columns import congested, day_of_week, hour, is_weekend, ratio, valid_speed, weekday_name
+from loomgrid.operators.quantiles import exact_quantiles
 from loomgrid.operators.windows import run_table
 
 THRESHOLDS = (0.50, 0.60, 0.70)
@@ -17,8 +18,10 @@ def with_calendar(grid: DataFrame) -> DataFrame:
     return grid.select("*", valid_speed(F.col("speed")).alias("v"), hour(ts).alias("hour"), day_of_week(ts).alias("day_of_week"), is_weekend(ts).alias("is_weekend"), F.to_date("ts").alias("date"))
 
 
-def _profile(*quantiles: float) -> list[Column]:
-    return [F.count("v").alias("valid_count"), F.count("*").alias("total_count"), F.avg("v").alias("mean"), F.percentile("v", list(quantiles)).alias("q")]
+def _profile(rows: DataFrame, keys: list[str], *quantiles: float, more: list[Column] = ()) -> DataFrame:
+    """Counts, mean and quantiles of valid speeds; the quantiles of the few large groups are taken apart from the other aggregates."""
+    counts = rows.groupBy(*keys).agg(F.count("v").alias("valid_count"), F.count("*").alias("total_count"), F.avg("v").alias("mean"), *more)
+    return counts.join(exact_quantiles(rows, keys, F.col("v"), list(quantiles)), keys, "left")
 
 
 def _r(c: Column | str, name: str) -> Column:
@@ -30,25 +33,27 @@ def _missing() -> Column:
 
 
 def hourly_pattern(grid: DataFrame) -> DataFrame:
-    rows = with_calendar(grid).groupBy("hour").agg(*_profile(0.1, 0.5, 0.9), F.avg("speed").alias("mean_zero"), F.percentile("speed", 0.5).alias("median_zero"))
+    cells = with_calendar(grid)
+    rows = _profile(cells, ["hour"], 0.1, 0.5, 0.9, more=[F.avg("speed").alias("mean_zero")])
+    rows = rows.join(exact_quantiles(cells, ["hour"], F.col("speed"), [0.5], "z"), "hour", "left").withColumn("median_zero", F.col("z")[0])
     return rows.select("hour", "valid_count", "total_count", _missing(), _r("mean", "mean_speed"), _r(F.col("q")[1], "median_speed"), _r(F.col("q")[0], "p10_speed"), _r(F.col("q")[2], "p90_speed"), _r("mean_zero", "mean_with_zero"), _r("median_zero", "median_with_zero"))
 
 
 def weekday_hour_pattern(grid: DataFrame) -> DataFrame:
-    rows = with_calendar(grid).groupBy("day_of_week", "hour").agg(*_profile(0.5))
+    rows = _profile(with_calendar(grid), ["day_of_week", "hour"], 0.5)
     return rows.select("day_of_week", weekday_name(F.col("day_of_week")).alias("weekday"), "hour", "valid_count", "total_count", _missing(), _r("mean", "mean_speed"), _r(F.col("q")[0], "median_speed"))
 
 
 def day_type_hour_pattern(grid: DataFrame) -> DataFrame:
     """Always 48 rows; hours without readings have counts 0 and NULL speeds."""
     spine = grid.sparkSession.range(48).select(F.when(F.col("id") < 24, "Weekday").otherwise("Weekend").alias("day_type"), (F.col("id") % 24).alias("hour"))
-    rows = with_calendar(grid).groupBy(F.when(F.col("is_weekend"), "Weekend").otherwise("Weekday").alias("day_type"), "hour").agg(*_profile(0.1, 0.5, 0.9))
+    rows = _profile(with_calendar(grid).withColumn("day_type", F.when(F.col("is_weekend"), "Weekend").otherwise("Weekday")), ["day_type", "hour"], 0.1, 0.5, 0.9)
     full = spine.join(rows, ["day_type", "hour"], "left").fillna(0, ["valid_count", "total_count"])
     return full.select("day_type", "hour", "valid_count", "total_count", _r("mean", "mean_speed"), _r(F.col("q")[1], "median_speed"), _r(F.col("q")[0], "p10_speed"), _r(F.col("q")[2], "p90_speed"))
 
 
 def daily_trend(grid: DataFrame) -> DataFrame:
-    rows = with_calendar(grid).groupBy("date").agg(*_profile(0.5), F.avg("speed").alias("mean_zero"))
+    rows = _profile(with_calendar(grid), ["date"], 0.5, more=[F.avg("speed").alias("mean_zero")])
     return rows.select("date", "valid_count", "total_count", _missing(), _r("mean", "mean_speed"), _r(F.col("q")[0], "median_speed"), _r("mean_zero", "mean_with_zero"))
 
 
@@ -80,19 +85,26 @@ def congestion_rates(grid: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS
 
 def run_events(grid: DataFrame, threshold: float = 0.60, step_minutes: int = 60) -> DataFrame:
     """Number, mean and longest duration of each sensor's congested runs; zeros for a sensor that has none."""
-    state = with_ratio(grid, free_flow(grid)).withColumn("congested", congested(F.col("ratio"), threshold))
-    found = run_table(state.select("sensor_id", "t", "congested"), "congested")
+    sensors = grid.select("sensor_id").distinct()
+    return sensors.join(_run_stats(with_ratio(grid, free_flow(grid)), threshold, step_minutes), "sensor_id", "left").select("sensor_id", *_run_stats_columns())
+
+
+def _run_stats_columns() -> list[Column]:
+    """Run events of a sensor; zeros for one without runs."""
+    return [F.coalesce("runs", F.lit(0)).alias("event_count"), F.round(F.coalesce("mean_run", F.lit(0.0)), 6).alias("mean_event_minutes"), F.coalesce("longest_run", F.lit(0)).cast("bigint").alias("max_event_minutes")]
+
+
+def _run_stats(rated: DataFrame, threshold: float, step_minutes: int) -> DataFrame:
+    state = rated.select("sensor_id", "t", congested(F.col("ratio"), threshold).alias("congested"))
     minutes = F.col("run_steps") * step_minutes
-    events = found.groupBy("sensor_id").agg(F.count("*").alias("event_count"), F.avg(minutes).alias("mean"), F.max(minutes).alias("longest"))
-    full = grid.select("sensor_id").distinct().join(events, "sensor_id", "left")
-    return full.select("sensor_id", F.coalesce("event_count", F.lit(0)).alias("event_count"), F.round(F.coalesce("mean", F.lit(0.0)), 6).alias("mean_event_minutes"), F.coalesce("longest", F.lit(0)).cast("bigint").alias("max_event_minutes"))
+    return run_table(state, "congested").groupBy("sensor_id").agg(F.count("*").alias("runs"), F.avg(minutes).alias("mean_run"), F.max(minutes).alias("longest_run"))
 
 
 def sensor_risk(grid: DataFrame, locations: DataFrame | None = None, step_minutes: int = 60) -> DataFrame:
     """Coverage, speeds, congestion rates and run events of each sensor, with its place if locations are given."""
     rated = with_ratio(grid, free_flow(grid))
     base = rated.groupBy("sensor_id").agg(F.count("*").alias("total"), F.count("v").alias("valid_count"), F.avg("v").alias("mean"), F.percentile("v", [0.1, 0.5, 0.85]).alias("q"), F.stddev_pop("v").alias("std"), *_hits(THRESHOLDS))
-    rows = base.select("*", *_rates(THRESHOLDS)).join(run_events(grid, step_minutes=step_minutes), "sensor_id")
+    rows = base.select("*", *_rates(THRESHOLDS)).join(_run_stats(rated, 0.60, step_minutes), "sensor_id", "left").select("*", *_run_stats_columns())
     if locations is not None:
         rows = rows.join(locations, "sensor_id", "left")
     place = ["latitude", "longitude"] if locations is not None else []

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions.columns import hour, day_of_week, is_weekend, valid_speed
+from loomgrid.operators.quantiles import exact_quantiles
 from loomgrid.operators.windows import by_time, owned, run_table, runs, with_halo
 from loomgrid.sources.grid import time_of
 
@@ -106,7 +107,7 @@ def interval_counts(times: DataFrame) -> DataFrame:
 def global_quantiles(grid: DataFrame, equal_to: float = 70.0) -> DataFrame:
     """Quantiles of valid readings, readings equal to a value, days, and rows of the shortest and longest day."""
     v = valid_speed(F.col("speed"))
-    q = F.percentile(v, [0.01, 0.05, 0.95, 0.99])
+    q = exact_quantiles(grid.select(F.lit(1).alias("all"), v.alias("v")), ["all"], F.col("v"), [0.01, 0.05, 0.95, 0.99])
     days = grid.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).agg(F.count("*").alias("days"), F.min("n").alias("min_day_rows"), F.max("n").alias("max_day_rows"))
-    whole = grid.agg(q.alias("q"), F.count_if(F.col("speed") == equal_to).alias("equal_count"))
+    whole = grid.agg(F.lit(1).alias("all"), F.count_if(F.col("speed") == equal_to).alias("equal_count")).join(q, "all", "left")
     return whole.crossJoin(days).select(*(F.round(F.col("q")[i], 6).alias(f"p{p}") for i, p in enumerate(("01", "05", "95", "99"))), "equal_count", "days", "min_day_rows", "max_day_rows")  # both sides are one row

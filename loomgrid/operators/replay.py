@@ -42,3 +42,8 @@ def heatmap_pivot(cells: DataFrame) -> DataFrame:
 
 def banded(rows: DataFrame, probability: str = "p") -> DataFrame:
     return rows.withColumn("risk", risk_band(F.col(probability)))
+
+
+def distinct_dates(grid: DataFrame) -> DataFrame:
+    """The dates that a replay can start at, in their order."""
+    return grid.select(F.to_date("ts").alias("date")).distinct().orderBy("date")

@@ -66,11 +66,18 @@ def next_at(grid: DataFrame, marked: Column, name: str, chunk_steps: int = CHUNK
 
 def runs(grid: DataFrame, flag: str, chunk_steps: int = CHUNK_STEPS) -> DataFrame:
     """Start, end and length in steps of the run of true ``flag`` around each row; NULL outside runs. Runs may touch either end of a series."""
-    ends = grid.groupBy("sensor_id").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
-    broken = next_at(last_at(grid, ~F.col(flag), "false_before", chunk_steps), ~F.col(flag), "false_after", chunk_steps).join(ends, "sensor_id")
+    cut = grid.withColumn("chunk", chunk(chunk_steps)).withColumn("broken", F.when(~F.col(flag), F.col("t")))
+    edges = cut.groupBy("sensor_id", "chunk").agg(F.max("broken").alias("last"), F.min("broken").alias("first"), F.min("t").alias("low"), F.max("t").alias("high"))
+    along = Window.partitionBy("sensor_id").orderBy("chunk")  # a row for each chunk
+    ahead, behind = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = edges.select("sensor_id", "chunk", F.max("last").over(ahead).alias("carried"), F.min("first").over(behind).alias("coming"), F.min("low").over(whole).alias("first_t"), F.max("high").over(whole).alias("last_t"))
+    inner = Window.partitionBy("sensor_id", "chunk").orderBy("t")
+    near = cut.withColumn("before", F.max("broken").over(inner.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.min("broken").over(inner.rowsBetween(0, Window.unboundedFollowing)))
+    near = near.join(edges, ["sensor_id", "chunk"])
     inside = lambda c: F.when(F.col(flag), c)
-    start, end = F.coalesce(F.col("false_before") + 1, "first_t"), F.coalesce(F.col("false_after") - 1, "last_t")
-    return broken.select(*grid.columns, inside(start).alias("run_start"), inside(end).alias("run_end"), inside(end - start + 1).alias("run_steps"))
+    start, end = F.coalesce(F.coalesce("before", "carried") + 1, "first_t"), F.coalesce(F.coalesce("after", "coming") - 1, "last_t")
+    return near.select(*grid.columns, inside(start).alias("run_start"), inside(end).alias("run_end"), inside(end - start + 1).alias("run_steps"))
 
 
 def run_table(grid: DataFrame, flag: str, chunk_steps: int = CHUNK_STEPS) -> DataFrame:

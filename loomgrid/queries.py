@@ -179,9 +179,17 @@ def explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.explain(model, found.join(F.broadcast(row), ["sensor_id", "t"]), ml.reference_values(found.where("split = 'train'"))).withColumn("model", F.lit(name))  # one row
 
 
+def model_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ml.all_importances(model_rows(spark, sf_dir), ml.Settings())
+
+
+def best_of_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.best_model(ml.compare_models(model_rows(spark, sf_dir), ml.Settings()).where("split = 'validation'"), ml.MODELS)
+
+
 def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Q.clean_long(event_grid(spark, sf_dir), graph.locations(supplier_places(spark, sf_dir)))
-    return rows.select("ts", "sensor_id", F.round(F.col("speed_raw").cast("double"), 3).alias("speed_raw"), F.round(F.col("speed_valid").cast("double"), 3).alias("speed_valid"), F.col("hour").cast("bigint").alias("hour"), F.col("day_of_week").cast("bigint").alias("day_of_week"), "is_weekend", *rows.columns[9:])
+    return rows.select("ts", "sensor_id", F.round(F.col("speed_raw").cast("double"), 3).alias("speed_raw"), F.round(F.col("speed_valid").cast("double"), 3).alias("speed_valid"), F.col("hour").cast("bigint").alias("hour"), F.col("day_of_week").cast("bigint").alias("day_of_week"), "is_weekend", *(F.round(F.col(c).cast("double"), 3).alias(c) for c in ("latitude", "longitude")), *rows.columns[9:])
 
 
 def queries() -> dict[str, Query]:
@@ -257,6 +265,9 @@ def queries() -> dict[str, Query]:
         "safe_casts": casts,
         "model_comparison": models,
         "local_explanation": explanation,
+        "model_importances": model_importances,
+        "best_model": best_of_models,
+        "distinct_dates": on_grid(replay.distinct_dates),
     }
 
 

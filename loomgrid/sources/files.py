@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
 import json
+import math
+from collections.abc import Mapping
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -63,6 +69,70 @@ def read_artifact(spark: SparkSession, path: str, required: set[str], version: s
     return Artifact(data, None)
 
 
+def read_config(spark: SparkSession, path: str, required: set[str]) -> dict[str, Any]:
+    """A JSON object that has to have all required fields; they are all named where some are missing."""
+    found = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    absent = sorted(required - found.keys()) if isinstance(found, dict) else sorted(required)
+    if absent:
+        raise ValueError(f"{path} lacks {', '.join(absent)}")
+    return found
+
+
+def plain(value: Any) -> Any:
+    """A value as JSON has it: rows and mappings as objects, sequences as arrays, times as ISO text, numbers of other libraries as
+    Python's, and numbers that JSON lacks (not a number, infinite) as null."""
+    if isinstance(value, Row):
+        value = value.asDict()
+    if isinstance(value, Mapping):
+        return {str(k): plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple, set)):
+        return [plain(v) for v in value]
+    if isinstance(value, (dt.date, dt.datetime)):
+        return value.isoformat()
+    if hasattr(value, "item") and not isinstance(value, (str, bytes)):
+        value = value.item()
+    if isinstance(value, Decimal):
+        value = float(value)
+    return None if isinstance(value, float) and not math.isfinite(value) else value
+
+
+def write_json(spark: SparkSession, path: str, value: Any) -> None:
+    """One JSON document of a small result, in a folder of one text part that ``read_artifact`` and ``read_config`` read."""
+    text = json.dumps(plain(value), ensure_ascii=False, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_splits(table: DataFrame, path: str) -> DataFrame:
+    """Parquet with a folder for each ``split``, clustered by sensor; returns the rows of each split as read back, or raises where they differ."""
+    clustered = table.repartition("split", "sensor_id").sortWithinPartitions("split", "sensor_id", "ts")
+    clustered.write.mode("overwrite").option("compression", "zstd").partitionBy("split").parquet(path)
+    count = lambda df: {r["split"]: r["n"] for r in df.groupBy("split").agg(F.count("*").alias("n")).collect()}  # noqa: E731  a row for each split
+    wanted, stored = count(table), count(table.sparkSession.read.parquet(path))
+    if wanted != stored:
+        raise ValueError(f"{path} holds {stored} rows, not {wanted}")
+    return table.sparkSession.createDataFrame(sorted(stored.items()), "split string, n_rows bigint")
+
+
+def folder_digest(spark: SparkSession, path: str) -> str:
+    """sha256 over the names and digests of all files below a folder of bounded size, such as a fitted model's."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    inside = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
+    lines = sorted(f"{r[0]} {r[1]}" for r in files.select(inside, F.sha2("content", 256)).collect())
+    return hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+
+def save_model(model: PipelineModel, path: str) -> str:
+    """Store a fitted pipeline; returns the digest that ``load_model`` asks for."""
+    model.write().overwrite().save(path)
+    return folder_digest(SparkSession.active(), path)
+
+
+def load_model(spark: SparkSession, path: str, digest: str | None = None) -> PipelineModel:
+    if digest is not None and (found := folder_digest(spark, path)) != digest:
+        raise ValueError(f"{path} has digest {found}, not {digest}")
+    return PipelineModel.load(path)
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes and sha256 of each file."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

@@ -133,7 +133,7 @@ ORACLES: dict[str, str] = {
     "interval_counts": "SELECT epoch_us(ts) - epoch_us(before) AS micros, count(*) AS n FROM (SELECT ts, lag(ts) OVER (ORDER BY ts) AS before FROM (SELECT DISTINCT ts FROM events)) WHERE before IS NOT NULL GROUP BY 1",
     "global_quantiles": q("""SELECT round(quantile_cont(v, 0.01), 6) AS p01, round(quantile_cont(v, 0.05), 6) AS p05, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99, count(*) FILTER (speed = 70) AS equal_count, count(DISTINCT date) AS days,
         (SELECT min(n) FROM (SELECT count(*) AS n FROM grid GROUP BY date)) AS min_day_rows, (SELECT max(n) FROM (SELECT count(*) AS n FROM grid GROUP BY date)) AS max_day_rows FROM grid"""),
-    "clean_table": q("""SELECT j.ts, j.sensor_id, round(CAST(CAST(j.speed AS FLOAT) AS DOUBLE), 3) AS speed_raw, round(CAST(CAST(j.v AS FLOAT) AS DOUBLE), 3) AS speed_valid, j.hour, j.day_of_week, j.is_weekend, j.speed = 0 AS is_zero_observation, s.zeros = s.sensors AS is_systemwide_zero,
+    "clean_table": q("""SELECT j.ts, j.sensor_id, round(CAST(CAST(j.speed AS FLOAT) AS DOUBLE), 3) AS speed_raw, round(CAST(CAST(j.v AS FLOAT) AS DOUBLE), 3) AS speed_valid, j.hour, j.day_of_week, j.is_weekend, round(CAST(CAST(p.latitude AS FLOAT) AS DOUBLE), 3) AS latitude, round(CAST(CAST(p.longitude AS FLOAT) AS DOUBLE), 3) AS longitude, j.speed = 0 AS is_zero_observation, s.zeros = s.sensors AS is_systemwide_zero,
         s.zeros >= ceil(s.sensors * 0.5) AS is_majority_zero, coalesce(z.run_steps >= 12, false) AS is_long_sensor_zero_run, j.is_large_jump, j.is_large_jump AND (j.speed = 0 OR coalesce(j.before = 0, false)) AS is_large_jump_from_zero, p.sensor_id IS NOT NULL AS has_valid_location
         FROM jumps j JOIN (SELECT t, count(*) FILTER (speed = 0) AS zeros, count(*) AS sensors FROM grid GROUP BY 1) s USING (t) LEFT JOIN zruns z ON z.sensor_id = j.sensor_id AND j.t BETWEEN z.run_start AND z.run_end LEFT JOIN places p ON p.sensor_id = j.sensor_id""", ZEROS + ", " + JUMPS + ", " + PLACES),
     "lag_features": q(f"SELECT sensor_id, ts, {', '.join(f'round({LAG('ratio', k)}, 9) AS ratio_lag_{k}' for k in (1, 2, 3, 6, 12))} FROM rated", FLOW),
@@ -190,6 +190,7 @@ ORACLES: dict[str, str] = {
     "congested_runs": q("SELECT * FROM cruns", CRUNS),
     "location_lookup": q("SELECT s.sensor_id, p.latitude, p.longitude FROM (SELECT DISTINCT sensor_id FROM grid) s LEFT JOIN places p USING (sensor_id)", GRID + ", " + PLACES),
     "key_uniqueness": q("SELECT DISTINCT sensor_id, 'a' AS only_in FROM grid WHERE sensor_id NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier) UNION ALL SELECT DISTINCT CAST(s_suppkey AS VARCHAR), 'b' FROM supplier WHERE CAST(s_suppkey AS VARCHAR) NOT IN (SELECT sensor_id FROM grid)"),
+    "distinct_dates": q("SELECT DISTINCT date FROM grid"),
     "slug": "SELECT p_partkey, regexp_replace(regexp_replace(lower(concat_ws(' / ', p_name, p_brand, p_type)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part",
     "safe_casts": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id AS DOUBLE) END AS number, CASE WHEN event_id % 3 = 0 THEN event_type ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS minute FROM events",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomgrid import queries as registry
 from loomgrid.operators import metrics, ml
 from loomgrid.operators.features import FEATURES
+from loomgrid.sources import files
 
 SMALL = ml.Settings(iterations=5, trees=3, tree_depth=3, min_leaf=1, boosts=2, boost_depth=3)
 
@@ -50,3 +51,38 @@ def test_comparison_has_the_settings_of_the_reference(spark, samples, monkeypatc
     monkeypatch.setattr(ml, "compare_models", lambda found, settings: given.append(settings))
     registry.queries()["model_comparison"](spark, "")
     assert [(s.trees, s.tree_depth, s.boosts, s.boost_depth, s.boost_rate) for s in given] == [(120, 16, 200, 8, 0.08)]
+
+
+def test_importances_thresholds_and_storage(spark, samples, tmp_path):
+    models = ml.fit_models(samples, SMALL)
+    found = ml.all_importances(samples, SMALL).collect()
+    for name in ml.MODELS:
+        own = {r["feature"]: r["importance"] for r in found if r["model"] == name}
+        assert set(own) == {*FEATURES, "sensor_id"}
+        if name != "logistic_regression":
+            assert max(own, key=own.get) == FEATURES[0] and sum(own.values()) == pytest.approx(1, abs=1e-4)
+    rows = ml.compare_models(samples, SMALL).collect()
+    assert sorted((r["model"], r["split"]) for r in rows) == sorted((m, s) for m in ml.MODELS for s in ("validation", "test"))
+    assert all(r["tp"] + r["fp"] + r["fn"] + r["tn"] == 100 and r["accuracy"] == pytest.approx((r["tp"] + r["tn"]) / 100) for r in rows)
+    reference = ml.reference_values(samples.where("split = 'train'"))
+    values = sorted(r[0] for r in samples.where("split = 'train'").select(FEATURES[1]).collect())
+    assert reference[FEATURES[1]] == pytest.approx((values[149] + values[150]) / 2) and reference["sensor_id"] == "0"
+    model, path = models["random_forest"], str(tmp_path / "model")
+    digest = files.save_model(model, path)
+    again = files.load_model(spark, path, digest)
+    score = lambda m: [r["p"] for r in ml.scored(m, samples).orderBy("t").collect()]
+    assert score(again) == score(model)
+    with pytest.raises(ValueError, match="digest"):
+        files.load_model(spark, path, "0" * 64)
+
+
+def test_splits_and_json(spark, samples, tmp_path):
+    path = str(tmp_path / "splits")
+    assert {r["split"]: r["n_rows"] for r in files.write_splits(samples, path).collect()} == {"train": 300, "validation": 100, "test": 100}
+    assert spark.read.parquet(path).where("split = 'test'").count() == 100
+    where = str(tmp_path / "report")
+    files.write_json(spark, where, {"schema_version": "1.0", "n": samples.agg(F.count("*").alias("k")).first(), "bad": [float("nan"), float("inf")], "when": dt.date(2012, 3, 1)})
+    assert files.read_artifact(spark, where, {"n"}).data == {"schema_version": "1.0", "n": {"k": 500}, "bad": [None, None], "when": "2012-03-01"}
+    assert files.read_config(spark, where, {"n", "when"})["n"] == {"k": 500}
+    with pytest.raises(ValueError, match="other, seed"):
+        files.read_config(spark, where, {"n", "seed", "other"})

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,9 +15,10 @@ from loomgrid.operators import matching as M
 from loomgrid.operators import patterns as P
 from loomgrid.operators import quality as Q
 from loomgrid.operators import split as S
+from loomgrid.operators.quantiles import exact_quantiles
 from loomgrid.operators.windows import run_table, runs
 from loomgrid.sources.files import read_artifact, read_csv, sensor_history, write_observations
-from loomgrid.sources.grid import check_grid, densify, long_form, require_grid
+from loomgrid.sources.grid import check_grid, densify, event_grid, long_form, readings, require_grid
 
 START = dt.datetime(2012, 3, 1)
 STEP = 300
@@ -240,3 +242,25 @@ def test_stream_replay(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("replayed").where("sensor_id = 'A'").agg(F.sum("n")).first()[0] == 6
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(4)
+    rows = [("a", float(rng.choice([1, 1, 1, 2, 50]))) for _ in range(301)] + [("b", rng.gauss(0, 100)) for _ in range(200)] + [("b", 1e6), ("c", 3.0), ("d", None), ("e", 1.0), ("e", 2.0)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    qs = [0.0, 0.1, 0.5, 0.9, 0.99, 1.0]
+    want = {r["k"]: r["q"] for r in frame.where("v is not null").groupBy("k").agg(F.percentile("v", qs).alias("q")).collect()}
+    for buckets in (1, 7, 4096):
+        got = {r["k"]: r["q"] for r in exact_quantiles(frame, ["k"], F.col("v"), qs, buckets=buckets).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert exact_quantiles(frame.limit(0), ["k"], F.col("v"), qs).count() == 0
+
+
+@pytest.mark.parametrize("users", [range(10), range(100), [3, 95, 96, 98, *range(200, 240, 3), *range(1000, 1100, 3)], [-5, -4, *range(80)], []])
+def test_event_grid_equals_its_definition(spark, tmp_path, users):
+    rng = random.Random(6)
+    rows = [(START + dt.timedelta(minutes=rng.randrange(3000)), u, rng.random() if rng.random() < 0.9 else None) for u in users for _ in range(3)]
+    spark.createDataFrame(rows, "ts timestamp_ntz, user_id bigint, value double").write.parquet(str(tmp_path / "events.parquet"))
+    events = spark.read.parquet(str(tmp_path / "events.parquet"))
+    order = lambda df: sorted(map(tuple, df.select("sensor_id", "ts", "t", "speed").collect()))
+    assert order(event_grid(spark, str(tmp_path))) == order(densify(readings(events)))
