@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm.byte_bpe import encode_decode
 from loomgrid.llm.common import read
+from loomgrid.llm.filter_audit import filter_interactions
 from loomgrid.llm.fingerprint import fingerprints
 from loomgrid.llm.html_extract import extract
 from loomgrid.llm.lm_score import score
@@ -85,6 +86,10 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_subword_toxicity": op1_subword_toxicity,
@@ -97,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_quality_rules": op9_quality_rules,
         "op10_lattice_lm": op10_lattice_lm,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -117,4 +123,18 @@ keyed AS (SELECT *, {canonical} AS key,
 listed AS (SELECT DISTINCT key FROM keyed WHERE (regexp_matches(host, '{LISTED_HOSTS}') OR regexp_matches(coalesce(html, ''), '{LISTED_ADS}')) AND key IS NOT NULL)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
     WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM keyed""",
+        "op13_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, [(len(w) < 200)::INT, (100 * len(list_distinct(w)) < 50 * len(w))::INT, (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * len(text))::INT,
+    regexp_matches(text, '[#$%&*|]')::INT, coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false)::INT] AS fails FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT array_to_string(list_transform(p, lambda i: 'ABCDE'[i]), '') AS filter_order, i AS step, p[i] AS f, p[1:i - 1] AS before FROM o, x),
+r AS (SELECT part, filter_order, step, f, n, good, toxic, fails[f] = 1 AS hit, list_sum(list_transform(before, lambda k: fails[k])) > 0 AS gone, list_sum(fails) = 1 AS alone FROM c, s),
+g AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT hit AND NOT coalesce(gone, false) THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN hit AND NOT coalesce(gone, false) THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN hit AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN hit AND alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN hit AND NOT coalesce(gone, false) THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN hit AND NOT coalesce(gone, false) THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM g""",
     }

@@ -68,6 +68,16 @@ def bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
     return marked.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(len(SALTS))))
 
 
+def probed(rows: DataFrame, listed: DataFrame, key: str, blocks: int) -> DataFrame:
+    """``rows`` with ``possible``: false where the filter proves that ``listed`` doesn't hold the row's key. The filter has at most ``blocks`` rows."""
+    block, bits = _block_and_bits(F.col(key), blocks)
+    found = rows.withColumn("block", block).join(F.broadcast(bloom(listed, key, blocks)), "block", "left")
+    possible = F.col(key).isNotNull()
+    for i, b in enumerate(bits):
+        possible = possible & (F.call_function("shiftright", F.col(f"w{i}"), b.cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+    return found.withColumn("possible", F.coalesce(possible, F.lit(False))).select(*rows.columns, "possible")
+
+
 def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", bits_per_key: int = 16, max_blocks: int = 1 << 17) -> DataFrame:
     """Verdicts for the URLs of ``pages``. ``listed``: a DataFrame whose first column holds listed URLs."""
     host, path = host_path(F.col(url_col))
@@ -75,17 +85,10 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]]
     keys = checkpoint(listed.select(canonical(F.col(listed.columns[0])).alias("key")).where("key is not null").distinct())  # read for its size, the filter and the join
     blocks = min(max_blocks, 1 << max(4, math.ceil(math.log2(max(1, keys.count()) * bits_per_key / 256))))
 
-    block, bits = _block_and_bits(F.col("key"), blocks)
     open_rows = F.when(F.col("fit").isNull() & F.col("key").isNotNull(), F.col("key"))
-    probe = rows.withColumn("key", open_rows).withColumn("block", block)
-    probed = probe.join(F.broadcast(bloom(keys, "key", blocks)), "block", "left")
-    set_ = lambda i, b: F.call_function("shiftright", F.col(f"w{i}"), b.cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
-    possible = F.lit(True)
-    for i, b in enumerate(bits):
-        possible = possible & set_(i, b)
-    probed = probed.withColumn("possible", F.coalesce(F.col("key").isNotNull() & possible, F.lit(False)))
+    marked = probed(rows.withColumn("key", open_rows), keys, "key", blocks)
 
-    hits = probed.where("possible").join(keys.withColumn("listed", F.lit(True)), "key", "left")
+    hits = marked.where("possible").join(keys.withColumn("listed", F.lit(True)), "key", "left")
     columns = ["page_id", "host", "path", "fit", "listed"]
-    judged = hits.select(columns).unionByName(probed.where("not possible").withColumn("listed", F.lit(None).cast("boolean")).select(columns))
+    judged = hits.select(columns).unionByName(marked.where("not possible").withColumn("listed", F.lit(None).cast("boolean")).select(columns))
     return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.action"), F.when(F.col("listed"), "block"), F.lit("allow")).alias("verdict"))
