@@ -12,11 +12,13 @@ from loomgrid.llm.common import read
 from loomgrid.llm.filter_audit import filter_interactions
 from loomgrid.llm.fingerprint import fingerprints
 from loomgrid.llm.html_extract import extract
+from loomgrid.llm.license_scan import GAP, SHARE, license_scan, templates
 from loomgrid.llm.lm_score import score
 from loomgrid.llm.near_dedup import near_duplicates
 from loomgrid.llm.packing import pack
 from loomgrid.llm.quality import quality_rules
 from loomgrid.llm.sharding import shard
+from loomgrid.llm.source_audit import source_divergence
 from loomgrid.llm.toxicity import toxicity
 from loomgrid.llm.url_filter import host_path, url_filter
 
@@ -86,6 +88,14 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -102,6 +112,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_quality_rules": op9_quality_rules,
         "op10_lattice_lm": op10_lattice_lm,
+        "op11_license_scan": op11_license_scan,
+        "op12_source_audit": op12_source_audit,
         "op13_filter_audit": op13_filter_audit,
     }
 
@@ -109,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     canonical = r"""CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') || regexp_replace(path, '/+$', '')
         || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END END"""
+    listed = ", ".join(f"({i}, {words}, '{label}', {phrase}, {k})" for i, words, label, phrase, k in templates())
     return {
         "op2_url_filter": rf"""
 WITH raw AS (SELECT page_id, url, html, coalesce(regexp_extract(url, '^.*?://(.*)$', 1, 's'), '') AS rest FROM pages),
@@ -123,6 +136,41 @@ keyed AS (SELECT *, {canonical} AS key,
 listed AS (SELECT DISTINCT key FROM keyed WHERE (regexp_matches(host, '{LISTED_HOSTS}') OR regexp_matches(coalesce(html, ''), '{LISTED_ADS}')) AND key IS NOT NULL)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
     WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM keyed""",
+        "op11_license_scan": rf"""
+WITH t(template, words, label, phrase, k) AS (VALUES {listed}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+i AS (SELECT rid, w, len(w)::BIGINT AS n_words, unnest(range(1, len(w)::BIGINT + 1)) AS pos FROM d),
+ks AS (SELECT DISTINCT k FROM t),
+g AS (SELECT rid, k, pos, array_to_string(w[pos:pos + k - 1], ' ') AS gram FROM i, ks WHERE pos + k - 1 <= n_words),
+tp AS (SELECT template, words, k, unnest(range(1, len(words)::BIGINT + 1)) AS j FROM t),
+tg AS (SELECT template, k, j, array_to_string(words[j:j + k - 1], ' ') AS gram FROM tp WHERE j + k - 1 <= len(words)),
+diagonals AS (SELECT DISTINCT rid, template, pos - j AS diagonal FROM g JOIN tg USING (k, gram)),
+same AS (SELECT rid, template, diagonal, j FROM diagonals JOIN tp USING (template) JOIN d USING (rid) WHERE diagonal + j >= 1 AND w[diagonal + j] = words[j]),
+alone AS (SELECT rid, template, diagonal, count(*) AS hits FROM same GROUP BY ALL),
+merged AS (SELECT a.rid, a.template, a.diagonal, count(DISTINCT b.j) AS hits FROM alone a JOIN same b ON b.rid = a.rid AND b.template = a.template AND b.diagonal BETWEEN a.diagonal AND a.diagonal + {GAP} GROUP BY ALL),
+judged AS (SELECT rid, label, phrase, a.diagonal, (CASE WHEN phrase THEN a.hits ELSE m.hits END)::DOUBLE / len(words) AS share FROM alone a JOIN merged m USING (rid, template, diagonal) JOIN t USING (template)),
+r AS (SELECT rid, count(*) FILTER (phrase AND share = 1) AS n_base, min(diagonal) FILTER (phrase AND share = 1) AS first_word, max(diagonal) FILTER (phrase AND share = 1) AS last_word,
+    array_to_string(list_sort(list_distinct(list(label) FILTER (phrase AND share = 1))), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(list(label) FILTER (share >= CASE WHEN phrase THEN 1 ELSE {SHARE} END))), ',') AS labels, max(share) AS score FROM judged GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN r USING (rid)""",
+        "op12_source_audit": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT lang, source, rid, unnest(terms) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS docs FROM t GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::BIGINT AS n FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS big FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+sums AS (SELECT lang, source, sum(c.n)::HUGEINT AS big FROM c JOIN kept USING (lang, term) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(s.big, 0) + l.v))::BIGINT AS p, (1 + (1000000000::HUGEINT * (k.n + 1)) // (l.big + l.v))::BIGINT AS q
+    FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
         "op13_filter_audit": r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 f AS (SELECT doc_id, part, [(len(w) < 200)::INT, (100 * len(list_distinct(w)) < 50 * len(w))::INT, (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * len(text))::INT,
