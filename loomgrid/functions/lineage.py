@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +22,19 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Where checkpoints of the running thread go as tables; unset: to the session's checkpoint folder.
+_OWN: ContextVar[str | None] = ContextVar("own_folder", default=None)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    own = _OWN.get()
+    if own is None:
+        shared_folder(df.sparkSession)
+        return df.checkpoint()
+    path = f"{own}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -34,12 +44,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def passing_checkpoints(spark: SparkSession) -> Iterator[None]:
-    """Checkpoints made inside go to a folder of their own, which is removed at the end; what is needed later has to be stored inside."""
-    above = shared_folder(spark).rpartition("/")[0]  # Spark makes a folder of its own in the one it is given
-    spark.sparkContext.setCheckpointDir(f"{above}/passing-{uuid.uuid4()}")
-    own = spark.sparkContext.getCheckpointDir()
+    """Checkpoints that this thread makes inside are tables in a folder of their own, which is removed at the end; what is needed later has to
+    be stored inside. The session's checkpoint folder stays as it is, so queries beside this one aren't touched."""
+    own = f"{shared_folder(spark)}/passing-{uuid.uuid4()}"
+    token = _OWN.set(own)
     try:
         yield
     finally:
-        spark.sparkContext.setCheckpointDir(above)
-        remove(spark, own.rpartition("/")[0])
+        _OWN.reset(token)
+        remove(spark, own)
