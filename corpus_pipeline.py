@@ -47,15 +47,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. What a stage keeps is stored in the shared folder for the next one; its checkpoints, and what its
-    predecessor had stored, are removed then."""
+    """All stages over ``documents``. They run when this is called, not when the result is used: what a stage keeps is stored in the shared
+    folder for the next one; its checkpoints, and what its predecessor had stored, are removed then. In the end the packed
+    pieces alone are left there, as the table that the result reads."""
     docs, stored = read(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
-    for name, stage in STAGES[:-1]:
+    for name, stage in STAGES:
         with passing_checkpoints(spark):
             stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         if stored:
             remove(spark, stored)
         stored = f"{folder}/{name}"
         docs = spark.read.parquet(stored)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
