@@ -7,9 +7,12 @@ softmax are trained jointly in numpy by Adagrad on labelled texts: in a toxic te
 toxic carry its label, in others any window may. A text's score is that of its most toxic window, put
 on the scale of a probability by a one-variable logistic fit for the share of toxic labels in the training rows.
 
+A word of more than ``LONG`` characters counts as words of ``LONG`` characters, in training and scoring alike; so a window has a
+largest size, and a text of any make is looked at in pieces of bounded size.
+
 Training takes at most ``max_rows`` labelled rows, half of them toxic where there are enough, picked by hash
-of the id, and of each at most ``max_windows`` windows (evenly spread over the text) of at most ``max_chars`` characters; the
-executors cut them, so that the driver gets at most max_rows * max_windows * max_chars characters whatever the texts' lengths. For scoring, vectors and softmax fold into one number for each n-gram row, since both are linear; it
+of the id, and of these as many whole texts, in the order of the hash, as ``max_chars`` characters hold for both classes together; a
+text that alone has over a hundredth of that isn't learned from. So the driver gets at most max_chars characters, and never a part of a text. For scoring, vectors and softmax fold into one number for each n-gram row, since both are linear; it
 goes to the executors as a broadcast of fixed size.
 
 Defined results: a text without words (also null) has nothing toxic in it and scores 0; null ids are scored but
@@ -22,28 +25,54 @@ are ignored by ``toxicity`` and kept untouched by ``keep_clean``.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.llm.batches import sliced
 from loomgrid.llm.common import crc_fold, fresh, lowest_hashes
 
-BUCKETS, DIM, WINDOW, SIZES = 1 << 17, 8, 5, (3, 4, 5)
+BUCKETS, DIM, WINDOW, SIZES, LONG = 1 << 17, 8, 5, (3, 4, 5), 400
+_PARTS = re.compile(rf"\S{{1,{LONG}}}")
 _SPACES = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
+def words(text: str) -> list[str]:
+    """Words of a text without capitals, long ones in parts."""
+    text = text.lower()
+    found = text.split()
+    return found if max(map(len, found), default=0) <= LONG else _PARTS.findall(text)
+
+
+def pieces(text: str, size: int = 1 << 18) -> Iterator[str]:
+    """A text in pieces of whole windows and about ``size`` characters, however long its words are."""
+    if len(text) <= size:
+        yield text
+        return
+    found: list[str] = []
+    length = 0
+    for part in _PARTS.finditer(text.lower()):
+        found.append(part[0])
+        length += len(part[0]) + 1
+        if length >= size and len(found) % WINDOW == 0:
+            yield " ".join(found)
+            found, length = [], 0
+    if found:
+        yield " ".join(found)
+
+
 def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """N-gram rows of all texts in order, the number of n-grams of each window, and the text of each window.
 
     White space of any kind counts as one blank, and each text stands between blanks.
     """
-    joined = "\n".join(["", *(" ".join(t.lower().split()) for t in texts), ""])
+    joined = "\n".join(["", *(" ".join(words(t)) for t in texts), ""])
     chars = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     breaks = chars == 10
     blank = breaks | (chars == 32)
@@ -84,21 +113,29 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float, slope: float, shift: float):
         self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
 
-    def score(self, texts: list[str], words_at_once: int = 40_000) -> np.ndarray:
-        """Scores of whole texts; very long ones are looked at by some thousands of windows at a time."""
-        pieces, owner = [], []
-        for i, t in enumerate(texts):
-            ws = t.split() if len(t) > 5 * words_at_once else []
-            cut = [" ".join(ws[k : k + words_at_once]) for k in range(0, len(ws), words_at_once)] if ws else [t]
-            pieces += cut
-            owner += [i] * len(cut)
+    def score(self, texts: list[str]) -> np.ndarray:
+        """Scores of whole texts, looked at in pieces of bounded size."""
         best = np.full(len(texts), -np.inf)
-        at = size = 0
-        for k, piece in enumerate(pieces):
-            size += len(piece)
-            if size > 1 << 18 or k == len(pieces) - 1:
-                np.maximum.at(best, owner[at : k + 1], self._most(pieces[at : k + 1]))
-                at, size = k + 1, 0
+        some_texts: list[str] = []
+        owner: list[int] = []
+        size = 0
+
+        def look() -> None:
+            nonlocal size
+            if owner:
+                np.maximum.at(best, owner, self._most(some_texts))
+            some_texts.clear()
+            owner.clear()
+            size = 0
+
+        for i, text in enumerate(texts):
+            for piece in pieces(text):
+                some_texts.append(piece)
+                owner.append(i)
+                size += len(piece)
+                if size > 1 << 18:
+                    look()
+        look()
         some = np.isfinite(best)
         return np.where(some, 1 / (1 + np.exp(-np.clip(self.slope * np.where(some, best, 0.0) + self.shift, -40, 40))), 0.0)
 
@@ -193,24 +230,15 @@ def scale(values: np.ndarray, labels: np.ndarray, share: float, rounds: int = 60
     return float(w[0] / deviation), float(w[1] - w[0] * mean / deviation)
 
 
-def _cut(max_windows: int, max_chars: int):
-    """Texts to their windows, at most so many of at most so many characters."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in sliced(batches, "text"):
-            out = []
-            for t in texts:
-                ws = t.split()
-                starts = range(0, len(ws), WINDOW)
-                if len(starts) > max_windows:
-                    starts = [starts[i * len(starts) // max_windows] for i in range(max_windows)]
-                out.append([" ".join(ws[i : i + WINDOW])[:max_chars] for i in starts])
-            yield pa.RecordBatch.from_pydict({"label_id": part.column("label_id"), "label": part.column("label"), "parts": pa.array(out, pa.list_(pa.string()))})
-
-    return run
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to their windows."""
+    for part, texts in sliced(batches, "text"):
+        split = [words(t) for t in texts]
+        out = [[" ".join(ws[i : i + WINDOW]) for i in range(0, len(ws), WINDOW)] for ws in split]
+        yield pa.RecordBatch.from_pydict({"label_id": part.column("label_id"), "label": part.column("label"), "parts": pa.array(out, pa.list_(pa.string()))})
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int, max_windows: int = 200, max_chars: int = 160) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int, max_chars: int = 16_000_000) -> Model:
     """Model of the labelled rows outside fold 2 of 4; the bounds are those of what reaches the driver."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     marked = marked.where(crc_fold(F.col("label_id"), 4) != 2)
@@ -223,7 +251,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows
     picked = F.broadcast(by_hash(1).unionByName(by_hash(0)))  # at most max_rows ids
     texts = docs.select(F.col(id_col).alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     one = texts.join(picked, F.col("own_id") == F.col("label_id")).groupBy("label_id", "label").agg(F.min("text").alias("text"))
-    rows = one.mapInArrow(_cut(max_windows, max_chars), "label_id bigint, label int, parts array<string>").toPandas().sort_values("label_id", kind="stable")
+    hashed = Window.partitionBy("label").orderBy(F.xxhash64("label_id"), "label_id").rowsBetween(Window.unboundedPreceding, 0)  # at most max_rows rows
+    lengths = one.select("label_id", "label", F.length("text").alias("n")).where(F.col("n") <= max_chars // 100)
+    fitting = lengths.select("label_id", F.sum("n").over(hashed).alias("so_far")).where(F.col("so_far") <= max_chars // 2).select("label_id")
+    one = one.join(F.broadcast(fitting), "label_id")  # at most max_rows ids
+    rows = one.mapInArrow(_cut, "label_id bigint, label int, parts array<string>").toPandas().sort_values("label_id", kind="stable")
     return train([list(p) for p in rows["parts"]], rows["label"].to_numpy(), counts.get(1, 0) / total)
 
 

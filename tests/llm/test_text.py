@@ -342,6 +342,63 @@ def test_toxicity(spark):
     assert toxicity.toxicity(frame, labels.limit(0)).where("score > 0.3").count() == 0 and toxicity.toxicity(frame.limit(0), labels).count() == 0
 
 
+def slow_score(model, text):
+    """Score straight from the definition: the mean over a window's n-grams of each word between blanks, the greatest of all windows, on the scale."""
+    found = [w[i : i + toxicity.LONG] for w in text.lower().split() for i in range(0, len(w), toxicity.LONG)]
+    if not found:
+        return 0.0
+    factors, top = [int(f) for f in toxicity._FACTORS], (1 << 64) - 1
+    values = []
+    for k in range(0, len(found), toxicity.WINDOW):
+        weights = []
+        for w in found[k : k + toxicity.WINDOW]:
+            padded = f" {w} "
+            for size in toxicity.SIZES:
+                for i in range(len(padded) - size + 1):
+                    mixed = sum(ord(c) * f for c, f in zip(padded[i : i + size], factors, strict=False)) & top
+                    weights.append(float(model.weights[(((mixed ^ (mixed >> 29)) * factors[0]) & top) >> 47]))
+        values.append(sum(weights) / len(weights) + model.bias)
+    return 1 / (1 + math.exp(-(model.slope * max(values) + model.shift)))
+
+
+def test_toxicity_scores_equal_their_definition():
+    rng = random.Random(8)
+    texts = ["", " \n", "a", "Ab\tc\u00a0d", "ÉΣΣ İ", "x" * 1000 + " y " + "z" * 401, *(" ".join("".join(rng.choice("abcdéß日") for _ in range(rng.choice([1, 3, 9, 500]))) for _ in range(rng.randint(1, 40))) for _ in range(60))]
+    weights = np.random.default_rng(3).normal(0, 1, toxicity.BUCKETS).astype(np.float32)
+    model = toxicity.Model(weights, 0.25, 1.5, -0.5)
+    assert model.score(texts) == pytest.approx([slow_score(model, t) for t in texts], rel=1e-4)
+    long = " ".join(texts) * 30  # looked at in many pieces
+    assert len(list(toxicity.pieces(long))) > 1 and model.score([long, "a"]) == pytest.approx([slow_score(model, long), slow_score(model, "a")], rel=1e-4)
+
+
+def test_toxicity_of_very_long_words_is_bounded_in_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from loomgrid.llm import toxicity
+model = toxicity.Model(np.ones(toxicity.BUCKETS, np.float32), 0.0, 1.0, 0.0)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+print(model.score(["x" * 50_000_000])[0], (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)"""
+    score, mb = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert 0.7 < score < 0.74 and mb < 500
+
+
+def test_toxicity_learns_from_whole_texts_within_its_bound(spark, monkeypatch):
+    """A long labelled text is learned from whole or not at all; the bound takes rows away, never parts of them."""
+    got = {}
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, share: got.update(texts=[" ".join(t) for t in texts]) or toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), 0, 1, 0))
+    texts = {i: " ".join([f"w{i}"] * (3000 if i % 10 == 0 else 20)) + " " + "long" * 300 for i in range(200)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in texts], "doc_id bigint, quality int, toxic int")
+    split = {" ".join(toxicity.words(t)) for t in texts.values()}
+    for bound in (16_000_000, 400_000):
+        toxicity.fit(docs, labels, "doc_id", "text", 4000, bound)
+        assert set(got["texts"]) <= split and sum(map(len, got["texts"])) < bound + 4 * len(got["texts"])
+        assert (len(got["texts"]) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in texts)) == (bound > 1_000_000)
+
+
 def pages(n, seed):
     rng = random.Random(seed)
     line = lambda: " ".join("".join(rng.choice("aeioutrns") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(6, 30))).capitalize() + "."
