@@ -52,7 +52,7 @@ def confusion_metrics(scored: DataFrame, threshold: float) -> DataFrame:
     return counts.select("tp", "fp", "fn", "tn", *(F.round(v, 6).alias(k) for k, v in m.items()), F.round(F.try_divide(F.col("tp") + F.col("fn"), total), 6).alias("positive_rate"), F.round(F.try_divide(F.col("tp") + F.col("fp"), total), 6).alias("predicted_rate"))
 
 
-def _by_score(scored: DataFrame, buckets: int = 4096) -> DataFrame:
+def by_score(scored: DataFrame, buckets: int = 4096) -> DataFrame:
     """Positives and negatives at each distinct probability, with those above it.
 
     Distinct probabilities are summed within ``buckets`` ranges of p first, so that running sums go over ranges and, inside a
@@ -71,13 +71,13 @@ def _by_score(scored: DataFrame, buckets: int = 4096) -> DataFrame:
 def roc_points(scored: DataFrame) -> DataFrame:
     """False and true positive rates at every distinct probability."""
     whole = scored.where("p is not null").agg(F.count_if(F.col("y") == 1).alias("p_all"), F.count_if(F.col("y") == 0).alias("n_all"))
-    rows = _by_score(scored).crossJoin(F.broadcast(whole))  # one row
+    rows = by_score(scored).crossJoin(F.broadcast(whole))  # one row
     return rows.select(F.round("p", 9).alias("threshold"), F.round(F.try_divide(F.col("fp"), F.col("n_all")), 6).alias("fpr"), F.round(F.try_divide(F.col("tp"), F.col("p_all")), 6).alias("tpr"))
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties counting half; NULL with one class only."""
-    rows = _by_score(scored)
+    rows = by_score(scored)
     wins = F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos")) + F.col("neg").cast("double") * F.col("pos") / 2)
     return rows.agg(F.round(F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")), 6).alias("auc"))
 
