@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions.columns import congested, cyclic, day_of_week, hour, is_weekend, slot_of_day, valid_speed
 from loomgrid.operators.patterns import with_ratio
 from loomgrid.operators.split import Segment, period_stats, segment_column, train_stats
-from loomgrid.operators.windows import by_time, last_at, owned, with_halo
+from loomgrid.operators.windows import CHUNK_STEPS, by_time, last_at, last_value, owned, with_halo
 
 LAGS = (1, 2, 3, 6, 12)
 ROLLS = (3, 6, 12)
@@ -102,6 +102,21 @@ def model_table(
     )
 
 
+def fill_short_gaps(grid: DataFrame, periods: DataFrame, max_gap: int = 3, step_minutes: int = 60, chunk_steps: int = CHUNK_STEPS) -> DataFrame:
+    """Every cell with ``filled`` and where that is from: ``read``; ``carried``, the last reading, of at most ``max_gap`` steps before; or ``period``, the
+    training segment's median of the sensor, day type and slot (``periods``, from ``period_stats``), as gaps beyond that aren't bridged.
+    ``age``: steps since the last reading, NULL without one. Only earlier rows and the training segment are looked at.
+    """
+    cells = last_value(grid.withColumn("v", valid_speed(F.col("speed"))), F.col("v"), "before", chunk_steps)
+    cells = cells.select("*", is_weekend(F.col("ts")).alias("is_weekend"), slot_of_day(F.col("ts"), step_minutes).alias("time_slot"), (F.col("t") - F.col("before.t")).alias("age"))
+    known = cells.join(periods.select("sensor_id", "is_weekend", "time_slot", "period_median_speed"), ["sensor_id", "is_weekend", "time_slot"], "left")
+    near = F.col("age") <= max_gap
+    return known.select(
+        "sensor_id", "ts", "t", "speed", "age", F.when(near, F.col("before.value")).otherwise(F.col("period_median_speed")).alias("filled"),
+        F.when(F.col("age") == 0, "read").when(near, "carried").when(F.col("period_median_speed").isNotNull(), "period").alias("filled_from"),
+    )
+
+
 FEATURES = (
     ["v", "ratio", *(f"ratio_lag_{k}" for k in LAGS), *(f"speed_{a}_{k}" for k in ROLLS for a in ("mean", "min", "std")), *(f"trend_{k}" for k in TRENDS), "speed_change", "decline_steps"]
     + ["hour", "day_of_week", "weekend", "time_slot", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "free_flow", "sensor_median_speed", "sensor_congestion_rate", "period_median_speed", "period_congestion_rate", "deviation_from_period"]

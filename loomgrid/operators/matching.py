@@ -35,9 +35,9 @@ def surroundings(grid: DataFrame, threshold: float, step_minutes: int, min_steps
     near = with_halo(state, max(before, reach), max(after, reach)).select(
         "*", window.alias("around"), F.count("*").over(w.rowsBetween(-before, after)).alias("room"), F.count_if("fine").over(frame).alias("fine_around")
     )
-    whole = F.col("room") == size
+    whole, fine_steps = F.col("room") == size, 2 * reach + 1 if centred else size
     event = F.col("congested") & (F.col("t") == F.col("run_start")) & (F.col("run_steps") >= min_steps) & whole & (F.size(F.filter("around", lambda r: r.isNotNull())) == size)
-    return owned(near.withColumn("is_event", event).withColumn("is_control", whole & (F.col("fine_around") == size))).select(
+    return owned(near.withColumn("is_event", event).withColumn("is_control", whole & (F.col("fine_around") == fine_steps))).select(
         "sensor_id", "ts", "t", "around", "is_event", "is_control", is_weekend(F.col("ts")).alias("is_weekend"), slot_of_day(F.col("ts"), step_minutes).alias("time_slot")
     )
 

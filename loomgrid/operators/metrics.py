@@ -52,6 +52,24 @@ def confusion_metrics(scored: DataFrame, threshold: float) -> DataFrame:
     return counts.select("tp", "fp", "fn", "tn", *(F.round(v, 6).alias(k) for k, v in m.items()), F.round(F.try_divide(F.col("tp") + F.col("fn"), total), 6).alias("positive_rate"), F.round(F.try_divide(F.col("tp") + F.col("fp"), total), 6).alias("predicted_rate"))
 
 
+def group_errors(scored: DataFrame, groups: list[list[str]], threshold: float) -> DataFrame:
+    """Errors of each group of each grouping (lists of columns; an empty one is the whole), by one pass over the rows with subtotals.
+
+    ``grouping`` names the columns that a row is of; the others are NULL. ``bias``: mean probability less share of positives.
+    """
+    columns = sorted({c for g in groups for c in g})
+    hit = F.col("p") >= threshold
+    n = F.count_if
+    rows = scored.where("p is not null and y is not null").select(*columns, "p", F.col("y").cast("int").alias("y"))
+    named = F.concat_ws("+", *(F.when(F.grouping(c) == 0, F.lit(c)) for c in columns))
+    found = rows.groupingSets([[F.col(c) for c in g] for g in groups], *columns).agg(
+        named.alias("grouping"), n(hit & (F.col("y") == 1)).alias("tp"), n(hit & (F.col("y") == 0)).alias("fp"), n(~hit & (F.col("y") == 1)).alias("fn"), n(~hit & (F.col("y") == 0)).alias("tn"),
+        F.round(F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))), 6).alias("brier"), F.round(F.avg(F.col("p") - F.col("y")), 6).alias("bias"),
+    )
+    m = ratios(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))
+    return found.select("grouping", *columns, "tp", "fp", "fn", "tn", *(F.round(v, 6).alias(k) for k, v in m.items()), "brier", "bias")
+
+
 def by_score(scored: DataFrame, buckets: int = 4096) -> DataFrame:
     """Positives and negatives at each distinct probability, with those above it.
 
@@ -103,7 +121,17 @@ def class_balance(found: DataFrame, label: str = "target") -> DataFrame:
 
 
 def exact_sample(rows: DataFrame, n: int, key: Column, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows picked by hash of the key (a sampling operator); all rows where n <= 0 or there aren't more."""
+    """Exactly ``n`` rows picked by hash of the key (a sampling operator); all rows where n <= 0 or there aren't more.
+
+    Of the hashes' range only about twice the wanted share is ordered, however many partitions there are; should that, against all odds, hold too
+    few rows, all are.
+    """
     if n <= 0:
         return rows
-    return rows.orderBy(F.md5(F.concat_ws("|", key, F.lit(str(seed)))), key).limit(n)
+    hashed = F.md5(F.concat_ws("|", key, F.lit(str(seed))))
+    total = rows.count()
+    share = min(1.0, (2 * n + 1000) / max(1, total))
+    near = hashed < f"{int(share * 16**12):012x}" if share < 1 else F.lit(True)
+    if share < 1 and rows.where(near).count() < n:
+        near = F.lit(True)
+    return rows.where(near).orderBy(hashed, key).limit(n)

@@ -42,8 +42,8 @@ def owned(table: DataFrame) -> DataFrame:
     return table.where("own").drop("own", "chunk")
 
 
-def _carried(grid: DataFrame, marked: Column, name: str, forward: bool, chunk_steps: int) -> DataFrame:
-    step = F.when(marked, F.col("t"))
+def _carried(grid: DataFrame, marked: Column, name: str, forward: bool, chunk_steps: int, what: Column | None = None) -> DataFrame:
+    step = F.when(marked, F.col("t") if what is None else what)
     pick = F.max if forward else F.min
     cut = grid.withColumn("chunk", chunk(chunk_steps))
     order = F.col("chunk") if forward else F.col("chunk").desc()
@@ -64,6 +64,11 @@ def next_at(grid: DataFrame, marked: Column, name: str, chunk_steps: int = CHUNK
     return _carried(grid, marked, name, False, chunk_steps)
 
 
+def last_value(grid: DataFrame, value: Column, name: str, chunk_steps: int = CHUNK_STEPS) -> DataFrame:
+    """``name``: struct of step ``t`` and ``value`` of the last row at or before each row whose value isn't NULL; NULL where there is none."""
+    return _carried(grid, value.isNotNull(), name, True, chunk_steps, F.struct(F.col("t").alias("t"), value.alias("value")))
+
+
 def runs(grid: DataFrame, flag: str, chunk_steps: int = CHUNK_STEPS) -> DataFrame:
     """Start, end and length in steps of the run of true ``flag`` around each row; NULL outside runs. Runs may touch either end of a series."""
     cut = grid.withColumn("chunk", chunk(chunk_steps)).withColumn("broken", F.when(~F.col(flag), F.col("t")))

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from loomgrid.functions import columns as C
 from loomgrid.functions.lineage import checkpoint
 from loomgrid.operators import features as X
-from loomgrid.operators import graph, metrics, ml, replay
+from loomgrid.operators import calibration, graph, metrics, ml, permutation, replay
 from loomgrid.operators import matching as M
 from loomgrid.operators import patterns as P
 from loomgrid.operators import quality as Q
 from loomgrid.operators import split as S
+from loomgrid.operators.neighbours import neighbour_features
 from loomgrid.operators.windows import run_table
 from loomgrid.plans.analysis import Plan, model_data
+from loomgrid.sources.files import footer_counts
 from loomgrid.sources.grid import check_grid, event_grid
 from loomgrid.sql import ORACLES
 
@@ -124,6 +126,35 @@ def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.matched_controls(cells)
 
 
+#: Shorter events, of which every scale of the tables has some with and some without a control.
+SHORT = {"threshold": 0.25, "step_minutes": 60, "min_steps": 2, "before": 3, "after": 2, "centred": True}
+
+
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neighbour_features(event_grid(spark, sf_dir), supply_edges(spark, sf_dir))
+    return rounded(rows, *(c for c in rows.columns if c.startswith("near_mean")))
+
+
+def group_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(spark, sf_dir).withColumn("period", F.when(F.hour("ts").isin(7, 8, 9, 16, 17, 18), "peak").otherwise("other")).withColumn("day_type", F.when(C.is_weekend(F.col("ts")), "Weekend").otherwise("Weekday"))
+    return metrics.group_errors(rows, [[], ["period"], ["day_type"], ["period", "day_type"], ["sensor_id"]], 0.5)
+
+
+def short_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = event_grid(spark, sf_dir)
+    first, parts = parts_of(grid)
+    return rounded(X.fill_short_gaps(grid, S.period_stats(grid, parts[0], first, PLAN.step_minutes)), "filled")
+
+
+def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.isotonic(scored(spark, sf_dir).withColumn("p", F.round("p", 2))).select("high", "n", F.round("value", 9).alias("value"))
+
+
+def permuted_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat_ws("|", "sensor_id", F.col("t").cast("string"))
+    return permutation.permuted(event_grid(spark, sf_dir), key, "speed").select("sensor_id", "ts", "speed")
+
+
 def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = event_grid(spark, sf_dir).where("speed > 0")
     return metrics.exact_sample(grid, 500, F.concat_ws("|", "sensor_id", F.col("t").cast("string"))).select("sensor_id", "ts")
@@ -258,6 +289,16 @@ def queries() -> dict[str, Query]:
         "train_sample": sample,
         "matched_controls": matched,
         "event_profile": on_grid(M.event_profile),
+        "short_event_controls": on_grid(lambda g: M.matched_controls(M.surroundings(g, **SHORT))),
+        "short_event_profile": on_grid(lambda g: M.event_profile(g, **SHORT)),
+        "neighbour_features": near,
+        "group_errors": group_errors,
+        "short_gaps": short_gaps,
+        "calibration_curve": lambda spark, sf_dir: calibration.calibration_curve(scored(spark, sf_dir)),
+        "calibration_scores": lambda spark, sf_dir: calibration.calibration_scores(scored(spark, sf_dir)),
+        "isotonic_fit": isotonic_fit,
+        "permuted_column": permuted_column,
+        "footer_counts": lambda spark, sf_dir: footer_counts(spark, f"{sf_dir}/orders.parquet"),
         "congested_runs": on_grid(lambda g: run_table(with_flow(g).withColumn("congested", C.congested(F.col("ratio"), 0.6)), "congested")),
         "location_lookup": lookup,
         "key_uniqueness": keys,

@@ -6,6 +6,8 @@ import datetime as dt
 import hashlib
 import json
 import math
+import os
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 from decimal import Decimal
@@ -116,8 +118,9 @@ def write_splits(table: DataFrame, path: str) -> DataFrame:
 def folder_digest(spark: SparkSession, path: str) -> str:
     """sha256 over the names and digests of all files below a folder of bounded size, such as a fitted model's."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    inside = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
-    lines = sorted(f"{r[0]} {r[1]}" for r in files.select(inside, F.sha2("content", 256)).collect())
+    rows = files.select("path", F.sha2("content", 256)).collect()
+    root = os.path.commonpath([os.path.dirname(r[0]) for r in rows]) if rows else ""
+    lines = sorted(f"{r[0][len(root):]} {r[1]}" for r in rows)  # below the folder that holds all of them
     return hashlib.sha256("\n".join(lines).encode()).hexdigest()
 
 
@@ -133,9 +136,13 @@ def load_model(spark: SparkSession, path: str, digest: str | None = None) -> Pip
     return PipelineModel.load(path)
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes and sha256 of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def file_digests(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
+    """path, bytes and sha256 of each file, and its name below the folder; ``names``: a pattern, also of files in folders below."""
+    files = spark.read.format("binaryFile")
+    if names:
+        files = files.option("recursiveFileLookup", True).option("pathGlobFilter", names)
+    inside = F.regexp_replace("path", "^.*?" + re.escape(path.rstrip("/").rpartition("/")[2]) + "/", "")
+    return files.load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), inside.alias("name"))
 
 
 def require_digest(spark: SparkSession, path: str, expected: str) -> None:
@@ -144,6 +151,23 @@ def require_digest(spark: SparkSession, path: str, expected: str) -> None:
         raise ValueError(f"{path} has digest {found}, not {expected}")
 
 
-def footer_counts(table: DataFrame) -> DataFrame:
-    """Rows and nulls of every column, by one aggregation."""
-    return table.agg(F.count("*").alias("n_rows"), *(F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in table.columns))
+def footer_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a Parquet table, and for each plain column its nulls, least and greatest value, from the files' footers: no page is read.
+
+    Spark answers these aggregates from the row groups' statistics on the executors where the newer reader may push them down, which a
+    session of its own allows; the caller's settings stay. A plan that doesn't push them down is an error. Columns of texts and nested columns have
+    no exact bounds there: texts get their nulls only, nested ones nothing.
+    """
+    own = spark.newSession()
+    for name, value in (("spark.sql.sources.useV1SourceList", ""), ("spark.sql.parquet.aggregatePushdown", "true")):
+        own.conf.set(name, value)
+    table = own.read.parquet(path)
+    plain_types = [(c, t) for c, t in table.dtypes if not t.startswith(("array", "map", "struct"))]
+    bounded = [c for c, t in plain_types if t in ("tinyint", "smallint", "int", "bigint", "float", "double", "date")]
+    found = table.agg(F.count("*").alias("n_rows"), *(F.count(F.col(c)).alias(f"n{i}") for i, (c, _) in enumerate(plain_types)), *(f(F.col(c)).alias(f"{k}{i}") for i, c in enumerate(bounded) for k, f in (("lo", F.min), ("hi", F.max))))
+    if "PushedAggregation: [COUNT" not in found._jdf.queryExecution().toString():
+        raise ValueError(f"the footers of {path} don't answer this")
+    row = found.first()
+    at = {c: i for i, c in enumerate(bounded)}
+    rows = [(c, row["n_rows"], row["n_rows"] - row[f"n{i}"], *((str(row[f"{k}{at[c]}"]) if c in at and row[f"{k}{at[c]}"] is not None else None) for k in ("lo", "hi"))) for i, (c, _) in enumerate(plain_types)]
+    return spark.createDataFrame(rows, "column string, n_rows bigint, nulls bigint, least string, greatest string")

@@ -87,11 +87,16 @@ steps AS (SELECT l_suppkey AS a, lead(l_suppkey) OVER w AS b, abs(l_extendedpric
 raw_edges AS (SELECT CAST(a AS VARCHAR) AS from_id, CAST(b AS VARCHAR) AS to_id, round(min(cost), 2) AS cost FROM steps WHERE b IS NOT NULL GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY cost, to_id) AS k FROM raw_edges WHERE from_id <> to_id AND cost IS NOT NULL AND from_id IN (SELECT sensor_id FROM places) AND to_id IN (SELECT sensor_id FROM places)),
 pruned AS (SELECT least(from_id, to_id) AS a_id, greatest(from_id, to_id) AS b_id, min(cost) AS cost FROM ranked WHERE k <= 2 AND cost <= 3000 GROUP BY 1, 2)"""
-MATCH = CRUNS + f""",
-joined_runs AS (SELECT s.*, r.run_start, r.run_steps FROM state s LEFT JOIN cruns r ON r.sensor_id = s.sensor_id AND s.t BETWEEN r.run_start AND r.run_end),
-around AS (SELECT *, list(ratio) {frame(-12, 6)} AS around, count(*) {frame(-12, 6)} AS room, count(ratio) {frame(-12, 6)} AS finite, count(*) FILTER (ratio IS NOT NULL AND NOT c60) {frame(-9, 9)} AS fine FROM joined_runs),
-events_ AS (SELECT sensor_id, is_weekend, hour, t, row_number() OVER (PARTITION BY sensor_id, is_weekend, hour ORDER BY t) AS k FROM around WHERE t = run_start AND run_steps >= 3 AND room = 19 AND finite = 19),
-controls AS (SELECT sensor_id, is_weekend, hour, list(t ORDER BY t) AS ts FROM around WHERE room = 19 AND fine = 19 GROUP BY 1, 2, 3),
+def matching(threshold: float, steps: int, before: int, after: int) -> str:
+    """CTEs of events and their controls, up to ``matches``."""
+    size, reach = before + after + 1, (before + after + 1) // 2
+    whole, near = frame(-before, after), frame(-reach, reach)
+    found = FLOW + "," + runs(f"(SELECT *, coalesce(ratio < {threshold}, false) AS hit FROM rated)", "hit", "eruns")
+    return "RECURSIVE " + (found + f""",
+joined_runs AS (SELECT s.*, r.run_start, r.run_steps FROM (SELECT *, coalesce(ratio < {threshold}, false) AS hit FROM rated) s LEFT JOIN eruns r ON r.sensor_id = s.sensor_id AND s.t BETWEEN r.run_start AND r.run_end),
+around AS (SELECT *, list(ratio) {whole} AS around, count(*) {whole} AS room, count(ratio) {whole} AS finite, count(*) FILTER (ratio IS NOT NULL AND NOT hit) {near} AS fine FROM joined_runs),
+events_ AS (SELECT sensor_id, is_weekend, hour, t, row_number() OVER (PARTITION BY sensor_id, is_weekend, hour ORDER BY t) AS k FROM around WHERE t = run_start AND run_steps >= {steps} AND room = {size} AND finite = {size}),
+controls AS (SELECT sensor_id, is_weekend, hour, list(t ORDER BY t) AS ts FROM around WHERE room = {size} AND fine = {2 * reach + 1} GROUP BY 1, 2, 3),
 joined AS (SELECT e.*, coalesce(c.ts, []) AS ts FROM events_ e LEFT JOIN controls c USING (sensor_id, is_weekend, hour)),
 picks AS (
     SELECT sensor_id, is_weekend, hour, k, t, list_sort(list_transform(ts, lambda c: {{'gap': abs(c - t), 'c': c}}))[1].c AS control_t, list_sort(list_transform(ts, lambda c: {{'gap': abs(c - t), 'c': c}}))[1].c AS fresh, CAST([] AS BIGINT[]) AS used FROM joined WHERE k = 1
@@ -99,8 +104,21 @@ picks AS (
     SELECT sensor_id, is_weekend, hour, k, t, coalesce(fresh, list_sort(list_transform(ts, lambda c: {{'gap': abs(c - t), 'c': c}}))[1].c), fresh, used FROM (
         SELECT j.*, list_sort(list_transform(list_filter(j.ts, lambda c: NOT list_contains(list_append(p.used, p.fresh), c)), lambda c: {{'gap': abs(c - j.t), 'c': c}}))[1].c AS fresh, list_append(p.used, p.fresh) AS used
         FROM joined j JOIN picks p ON p.sensor_id = j.sensor_id AND p.is_weekend = j.is_weekend AND p.hour = j.hour AND j.k = p.k + 1)),
-matches AS (SELECT sensor_id, t AS event_t, control_t, fresh IS NULL AND control_t IS NOT NULL AS is_reused FROM picks)"""
-MATCH = "RECURSIVE " + MATCH.lstrip()
+matches AS (SELECT sensor_id, t AS event_t, control_t, fresh IS NULL AND control_t IS NOT NULL AS is_reused FROM picks)""").lstrip()
+
+
+MATCH, SHORT_MATCH = matching(0.6, 3, 12, 6), matching(0.25, 2, 3, 2)
+NEAR_SUM = " + ".join(f"coalesce(lag({{0}}, {k}) OVER w, 0)" for k in (1, 2, 3))
+#: Columns of the orders table, and whether their footers bound them.
+ORDER_COLUMNS = [("o_orderkey", True), ("o_custkey", True), ("o_orderstatus", False), ("o_totalprice", True), ("o_orderdate", False), ("o_orderpriority", False)]
+
+
+def profile_of(before: int, after: int) -> str:
+    quartiles = ", ".join(f"CASE WHEN count({s}) = count(*) THEN round(quantile_cont({s}, {p}), 6) END AS {n}_{name}" for s, n in (("o.e", "event"), ("o.c", "control")) for p, name in ((0.25, "p25"), (0.5, "median"), (0.75, "p75")))
+    return f"""SELECT o.k - {before + 1} AS offset_steps, (o.k - {before + 1}) * 60 AS offset_minutes, count(*) AS events, {quartiles}
+        FROM (SELECT unnest(e.around) AS e, unnest(c.around) AS c, CAST(unnest(generate_series(1, {before + after + 1})) AS BIGINT) AS k FROM matches m JOIN around e ON e.sensor_id = m.sensor_id AND e.t = m.event_t JOIN around c ON c.sensor_id = m.sensor_id AND c.t = m.control_t) o GROUP BY o.k"""
+
+
 R9 = lambda names: ", ".join(f"round({n}, 9) AS {n}" for n in names)
 
 ORACLES: dict[str, str] = {
@@ -185,8 +203,28 @@ ORACLES: dict[str, str] = {
     "metric_melt": q("UNPIVOT (SELECT sensor_id, coverage_rate, congestion_rate_50, congestion_rate_60, congestion_rate_70 FROM whole_risk) ON COLUMNS(* EXCLUDE sensor_id) INTO NAME metric VALUE value", EVENTS),
     "train_sample": q("SELECT sensor_id, ts FROM grid WHERE speed > 0 ORDER BY md5(sensor_id || '|' || t || '|42'), sensor_id || '|' || t LIMIT 500"),
     "matched_controls": q("SELECT * FROM matches", MATCH),
-    "event_profile": q(f"""SELECT o.k - 13 AS offset_steps, (o.k - 13) * 60 AS offset_minutes, count(*) AS events, {", ".join(f"CASE WHEN count({s}) = count(*) THEN round(quantile_cont({s}, {p}), 6) END AS {n}_{name}" for s, n in (("o.e", "event"), ("o.c", "control")) for p, name in ((0.25, "p25"), (0.5, "median"), (0.75, "p75")))}
-        FROM (SELECT unnest(e.around) AS e, unnest(c.around) AS c, CAST(unnest(generate_series(1, 19)) AS BIGINT) AS k FROM matches m JOIN around e ON e.sensor_id = m.sensor_id AND e.t = m.event_t JOIN around c ON c.sensor_id = m.sensor_id AND c.t = m.control_t) o GROUP BY o.k""", MATCH),
+    "event_profile": q(profile_of(12, 6), MATCH),
+    "short_event_controls": q("SELECT * FROM matches", SHORT_MATCH),
+    "short_event_profile": q(profile_of(3, 2), SHORT_MATCH),
+    "neighbour_features": q(f"""SELECT sensor_id, make_timestamp(t * 3600000000) AS ts, t, {", ".join(f"coalesce(lag(n, {k}) OVER w, 0) AS near_count_{k}, round(lag(s, {k}) OVER w / lag(n, {k}) OVER w, 9) AS near_mean_{k}, lag(lo, {k}) OVER w AS near_min_{k}" for k in (1, 2, 3))},
+        round(({NEAR_SUM.format("s")}) / nullif({NEAR_SUM.format("n")}, 0), 9) AS near_mean FROM near {W}""", EDGES.replace(PLACES, GRID + ", " + PLACES) + """,
+        pairs AS (SELECT from_id AS a, to_id AS b FROM raw_edges WHERE from_id <> to_id UNION SELECT to_id, from_id FROM raw_edges WHERE from_id <> to_id),
+        near AS (SELECT g.sensor_id, g.t, m.n, m.s, m.lo FROM grid g LEFT JOIN (SELECT p.a AS sensor_id, o.t, count(*) AS n, sum(o.v) AS s, min(o.v) AS lo FROM pairs p JOIN grid o ON o.sensor_id = p.b WHERE o.v IS NOT NULL GROUP BY 1, 2) m USING (sensor_id, t))"""),
+    "group_errors": q("""SELECT concat_ws('+', CASE WHEN gd = 0 THEN 'day_type' END, CASE WHEN gp = 0 THEN 'period' END, CASE WHEN gs = 0 THEN 'sensor_id' END) AS "grouping", day_type, period, sensor_id, tp, fp, fn, tn,
+        round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, brier, bias FROM (
+        SELECT grouping(day_type) AS gd, grouping(period) AS gp, grouping(sensor_id) AS gs, day_type, period, sensor_id, count(*) FILTER (p >= 0.5 AND y = 1) AS tp, count(*) FILTER (p >= 0.5 AND y = 0) AS fp, count(*) FILTER (p < 0.5 AND y = 1) AS fn, count(*) FILTER (p < 0.5 AND y = 0) AS tn, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(p - y), 6) AS bias
+        FROM (SELECT *, CASE WHEN hour(ts) IN (7, 8, 9, 16, 17, 18) THEN 'peak' ELSE 'other' END AS period, CASE WHEN isodow(ts) >= 6 THEN 'Weekend' ELSE 'Weekday' END AS day_type FROM scored) GROUP BY GROUPING SETS ((), (period), (day_type), (period, day_type), (sensor_id)))""", SCORED),
+    "short_gaps": q("""SELECT sensor_id, ts, t, speed, age, round(CASE WHEN age <= 3 THEN last_v ELSE period_median_speed END, 9) AS filled, CASE WHEN age = 0 THEN 'read' WHEN age <= 3 THEN 'carried' WHEN period_median_speed IS NOT NULL THEN 'period' END AS filled_from FROM (
+        SELECT g.*, g.t - last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER w AS age, last_value(v IGNORE NULLS) OVER w AS last_v, p.period_median_speed FROM grid g LEFT JOIN periods p ON p.sensor_id = g.sensor_id AND p.is_weekend = g.is_weekend AND p.time_slot = g.hour
+        WINDOW w AS (PARTITION BY g.sensor_id ORDER BY t ROWS UNBOUNDED PRECEDING))""", TRAIN),
+    "calibration_curve": q("""SELECT bin, n, round(mean_p, 6) AS mean_p, round(rate, 6) AS positive_rate, round(mean_p - rate, 6) AS gap FROM (SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(p) AS mean_p, avg(y) AS rate FROM scored GROUP BY 1)""", SCORED),
+    "calibration_scores": q("""SELECT (SELECT round(avg((p - y) * (p - y)), 6) FROM scored) AS brier, (SELECT round(sum(gap) / sum(n), 6) FROM (SELECT count(*) AS n, abs(sum(p) - sum(y)) AS gap FROM scored GROUP BY least(floor(p * 10), 9))) AS calibration_error,
+        (SELECT round(sum(pos * tp / seen) / sum(pos), 6) FROM (SELECT pos, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(n) OVER (ORDER BY p DESC) AS seen FROM (SELECT p, count(*) AS n, count(*) FILTER (y = 1) AS pos FROM scored GROUP BY p))) AS pr_auc""", SCORED),
+    "isotonic_fit": q("""SELECT max(p) AS high, sum(m)::BIGINT AS n, any_value(value) AS value FROM (SELECT i, any_value(p) AS p, any_value(m) AS m, round(max(least_after), 9) AS value FROM (
+        SELECT b.i, b.p, b.m, min((c.s - coalesce(a.s, 0)) / (c.n - coalesce(a.n, 0))) AS least_after FROM points b JOIN (SELECT 0 AS i, 0 AS s, 0 AS n UNION ALL SELECT i, s, n FROM points) a ON a.i < b.i JOIN points c ON c.i >= b.i GROUP BY a.i, b.i, b.p, b.m) GROUP BY i) GROUP BY value""",
+        SCORED + """, points AS (SELECT *, row_number() OVER (ORDER BY p) AS i, sum(m) OVER (ORDER BY p) AS n, sum(pos) OVER (ORDER BY p) AS s FROM (SELECT round(p, 2) AS p, count(*) AS m, sum(y) AS pos FROM scored GROUP BY 1))"""),
+    "permuted_column": q("""SELECT a.sensor_id, a.ts, b.speed FROM (SELECT *, row_number() OVER (ORDER BY md5(sensor_id || '|' || t || '|84'), sensor_id || '|' || t) AS r FROM grid) a JOIN (SELECT speed, row_number() OVER (ORDER BY md5(sensor_id || '|' || t || '|85'), sensor_id || '|' || t) AS r FROM grid) b USING (r)"""),
+    "footer_counts": "UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS nulls, {f'CAST(min({c}) AS VARCHAR)' if b else 'CAST(NULL AS VARCHAR)'} AS least, {f'CAST(max({c}) AS VARCHAR)' if b else 'CAST(NULL AS VARCHAR)'} AS greatest FROM orders " for c, b in ORDER_COLUMNS),
     "congested_runs": q("SELECT * FROM cruns", CRUNS),
     "location_lookup": q("SELECT s.sensor_id, p.latitude, p.longitude FROM (SELECT DISTINCT sensor_id FROM grid) s LEFT JOIN places p USING (sensor_id)", GRID + ", " + PLACES),
     "key_uniqueness": q("SELECT DISTINCT sensor_id, 'a' AS only_in FROM grid WHERE sensor_id NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier) UNION ALL SELECT DISTINCT CAST(s_suppkey AS VARCHAR), 'b' FROM supplier WHERE CAST(s_suppkey AS VARCHAR) NOT IN (SELECT sensor_id FROM grid)"),
