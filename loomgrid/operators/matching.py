@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions.columns import congested, is_weekend, slot_of_day
 from loomgrid.functions.lineage import checkpoint
 from loomgrid.operators.patterns import free_flow, with_ratio
-from loomgrid.operators.quantiles import exact_quantiles
+from loomgrid.operators.quantiles import many_quantiles
 from loomgrid.operators.windows import by_time, owned, runs, with_halo
 
 
@@ -70,10 +70,10 @@ def event_profile(grid: DataFrame, threshold: float = 0.60, step_minutes: int =
     event, control = (cells.select("sensor_id", F.col("t").alias(f"{k}_t"), F.col("around").alias(k)) for k in ("event", "control"))
     both = pairs.join(event, ["sensor_id", "event_t"]).join(control, ["sensor_id", "control_t"])
     rows = both.select(F.posexplode(F.arrays_zip("event", "control")).alias("k", "r")).select((F.col("k") - before).alias("offset_steps"), "r.event", "r.control")
-    rows = checkpoint(rows)  # read for the counts and for two sets of quantiles
-    q = lambda c, name: exact_quantiles(rows, ["offset_steps"], F.col(c), [0.25, 0.5, 0.75], name)
+    rows = checkpoint(rows)  # read for the counts and for the quantiles
+    q = many_quantiles(rows, ["offset_steps"], {name: (F.col(c), [0.25, 0.5, 0.75]) for name, c in (("q_e", "event"), ("q_c", "control"))})
     out = rows.groupBy("offset_steps").agg(F.count("*").alias("events"), *((F.count(c) == F.count("*")).alias(f"all_{c[0]}") for c in ("event", "control")))
-    out = out.join(q("event", "q_e"), "offset_steps", "left").join(q("control", "q_c"), "offset_steps", "left")
+    out = out.join(q, "offset_steps", "left")
     out = out.select("offset_steps", "events", *(F.when(F.col(f"all_{c}"), F.col(f"q_{c}")).alias(c) for c in "ec"))
     r = lambda c, name: F.round(c, 6).alias(name)
     return out.select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions.columns import congested, day_of_week, hour, is_weekend, ratio, valid_speed, weekday_name
-from loomgrid.operators.quantiles import exact_quantiles
+from loomgrid.operators.quantiles import exact_quantiles, many_quantiles
 from loomgrid.operators.windows import run_table
 
 THRESHOLDS = (0.50, 0.60, 0.70)
@@ -34,8 +34,8 @@ def _missing() -> Column:
 
 def hourly_pattern(grid: DataFrame) -> DataFrame:
     cells = with_calendar(grid)
-    rows = _profile(cells, ["hour"], 0.1, 0.5, 0.9, more=[F.avg("speed").alias("mean_zero")])
-    rows = rows.join(exact_quantiles(cells, ["hour"], F.col("speed"), [0.5], "z"), "hour", "left").withColumn("median_zero", F.col("z")[0])
+    counts = cells.groupBy("hour").agg(F.count("v").alias("valid_count"), F.count("*").alias("total_count"), F.avg("v").alias("mean"), F.avg("speed").alias("mean_zero"))
+    rows = counts.join(many_quantiles(cells, ["hour"], {"q": (F.col("v"), [0.1, 0.5, 0.9]), "z": (F.col("speed"), [0.5])}), "hour", "left").withColumn("median_zero", F.col("z")[0])
     return rows.select("hour", "valid_count", "total_count", _missing(), _r("mean", "mean_speed"), _r(F.col("q")[1], "median_speed"), _r(F.col("q")[0], "p10_speed"), _r(F.col("q")[2], "p90_speed"), _r("mean_zero", "mean_with_zero"), _r("median_zero", "median_with_zero"))
 
 

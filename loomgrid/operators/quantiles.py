@@ -5,28 +5,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrid.functions.lineage import checkpoint
 
-def exact_quantiles(rows: DataFrame, keys: list[str], value: Column, quantiles: list[float], name: str = "q", buckets: int = 4096) -> DataFrame:
-    """``keys`` and ``name``, an array of the value's quantiles (linear between the two nearest ranks); groups without values are absent.
 
-    Equal values are counted before the shuffle. The counted values of a group fall into ``buckets`` equal ranges between its least and
-    greatest value; totals of the ranges, a bounded number for each group, tell which ranges hold the wanted ranks, and only
-    those are ordered, each in its own task.
+def exact_quantiles(rows: DataFrame, keys: list[str], value: Column, quantiles: list[float], name: str = "q", ranges: int = 128) -> DataFrame:
+    """``keys`` and ``name``, an array of the value's quantiles (linear between the two nearest ranks); groups without values are absent."""
+    return many_quantiles(rows, keys, {name: (value, quantiles)}, ranges)
+
+
+def in_ranges(counts: DataFrame, group: list[str], ranges: int) -> DataFrame:
+    """Counted values ``_x`` (``_n`` times) with ``_range`` and the group's ``_total``."""
+    cuts = [i / ranges for i in range(1, ranges)]
+    edges = F.percentile_approx("_x", cuts, 20 * ranges) if cuts else F.array().cast("array<double>")
+    found = counts.groupBy(*group).agg(edges.alias("_edges"), F.sum("_n").alias("_total"))
+    return counts.join(found, group).select(*group, "_x", "_n", "_total", F.size(F.filter("_edges", lambda e: e < F.col("_x"))).alias("_range"))
+
+
+def many_quantiles(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, list[float]]], ranges: int = 128) -> DataFrame:
+    """``keys`` and for each name an array of its value's quantiles, NULL where the group has no such value; groups without any are absent.
+
+    Equal values of all columns are counted in one pass, before the shuffle, and only these counts are used further. A group's counted values fall into
+    ``ranges`` between approximate quantiles of themselves, so a range holds about its share of them however far apart they lie. Totals of the ranges tell
+    which ones hold the wanted ranks, and only those are ordered, each in its own task.
     """
-    counts = rows.select(*keys, value.cast("double").alias("x")).where("x is not null").groupBy(*keys, "x").agg(F.count("*").alias("n"))
-    span = counts.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("total"))
-    share = F.coalesce(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-    placed = counts.join(span, keys).withColumn("bucket", F.least(F.lit(buckets - 1), F.floor(share * buckets)))
-    at = [F.lit(q) * (F.col("total") - 1) for q in quantiles]
-    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(p), F.ceil(p)) for p in at))))
-    sums = placed.groupBy(*keys, "bucket").agg(F.sum("n").alias("m"), F.first("total").alias("total"))
-    ahead = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
-    sums = sums.withColumn("before", F.coalesce(F.sum("m").over(ahead), F.lit(0))).withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("m"))))
-    hit = sums.where(F.size("ranks") > 0).select(*keys, "bucket", "before", "ranks")
-    up_to = Window.partitionBy(*keys, "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = placed.join(hit, [*keys, "bucket"]).withColumn("end", F.col("before") + F.sum("n").over(up_to))
-    found = inner.select(*keys, "total", "x", F.explode(F.filter("ranks", lambda r: (r >= F.col("end") - F.col("n")) & (r < F.col("end")))).alias("rank"))
-    pick = lambda p: F.max(F.when(F.col("rank") == p, F.col("x")))
-    return found.groupBy(*keys).agg(
-        F.array(*(pick(F.floor(p)) + (pick(F.ceil(p)) - pick(F.floor(p))) * F.max(p - F.floor(p)) for p in at)).alias(name)
-    )
+    names = list(wanted)
+    values = F.array(*(F.struct(F.lit(i).alias("_what"), v.cast("double").alias("_x")) for i, (v, _) in enumerate(wanted.values())))
+    each = rows.select(*keys, F.explode(F.filter(values, lambda s: s["_x"].isNotNull())).alias("_s")).select(*keys, "_s.*")
+    counts = checkpoint(each.groupBy(*keys, "_what", "_x").agg(F.count("*").alias("_n")))
+    group = [*keys, "_what"]
+    placed = in_ranges(counts, group, ranges)
+
+    def at(q: float) -> Column:
+        return F.lit(q) * (F.col("_total") - 1)
+
+    ranks = F.lit(None).cast("array<bigint>")
+    for i, (_, quantiles) in enumerate(wanted.values()):
+        ranks = F.when(F.col("_what") == i, F.array_distinct(F.array(*(r for q in quantiles for r in (F.floor(at(q)), F.ceil(at(q))))))).otherwise(ranks)
+    sums = placed.groupBy(*group, "_range").agg(F.sum("_n").alias("_m"), F.first("_total").alias("_total"))
+    ahead = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``ranges`` rows
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_m").over(ahead), F.lit(0))).withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_m"))))
+    hit = sums.where(F.size("_ranks") > 0).select(*group, "_range", "_before", "_ranks")
+    up_to = Window.partitionBy(*group, "_range").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = placed.join(hit, [*group, "_range"]).withColumn("_end", F.col("_before") + F.sum("_n").over(up_to))
+    found = inner.select(*group, "_total", "_x", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_end") - F.col("_n")) & (r < F.col("_end")))).alias("_rank"))
+
+    def quantile(i: int, q: float) -> Column:
+        mine = F.col("_what") == i
+        pick = lambda p: F.max(F.when(mine & (F.col("_rank") == p), F.col("_x")))
+        low, high, part = pick(F.floor(at(q))), pick(F.ceil(at(q))), F.max(F.when(mine, at(q) - F.floor(at(q))))
+        return F.when(low == high, low).otherwise(low + (high - low) * part)  # equal ends may be infinite
+
+    some = lambda i, column: F.when(F.max(F.when(F.col("_what") == i, F.lit(True))), column)
+    return found.groupBy(*keys).agg(*(some(i, F.array(*(quantile(i, q) for q in wanted[name][1]))).alias(name) for i, name in enumerate(names)))

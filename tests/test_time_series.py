@@ -15,7 +15,7 @@ from loomgrid.operators import matching as M
 from loomgrid.operators import patterns as P
 from loomgrid.operators import quality as Q
 from loomgrid.operators import split as S
-from loomgrid.operators.quantiles import exact_quantiles
+from loomgrid.operators.quantiles import exact_quantiles, in_ranges, many_quantiles
 from loomgrid.operators.windows import run_table, runs
 from loomgrid.sources.files import read_artifact, read_csv, sensor_history, write_observations
 from loomgrid.sources.grid import check_grid, densify, event_grid, long_form, readings, require_grid
@@ -250,12 +250,22 @@ def test_exact_quantiles(spark):
     frame = spark.createDataFrame(rows, "k string, v double")
     qs = [0.0, 0.1, 0.5, 0.9, 0.99, 1.0]
     want = {r["k"]: r["q"] for r in frame.where("v is not null").groupBy("k").agg(F.percentile("v", qs).alias("q")).collect()}
-    for buckets in (1, 7, 4096):
-        got = {r["k"]: r["q"] for r in exact_quantiles(frame, ["k"], F.col("v"), qs, buckets=buckets).collect()}
+    for ranges in (1, 7, 128):
+        got = {r["k"]: r["q"] for r in exact_quantiles(frame, ["k"], F.col("v"), qs, ranges=ranges).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     assert exact_quantiles(frame.limit(0), ["k"], F.col("v"), qs).count() == 0
 
 
+def test_quantiles_of_outliers_and_infinities(spark):
+    """However far values lie apart, no range holds over twice its share of them; infinite ends are quantiles like others."""
+    values = spark.range(20_000).select(F.lit(1).alias("g"), F.when(F.col("id") == 0, 1e300).when(F.col("id") < 100, F.col("id") * 1e9).otherwise(F.col("id") / 1e6).alias("_x"), F.lit(1).alias("_n"))
+    sizes = [r["count"] for r in in_ranges(values, ["g"], 100).groupBy("_range").count().collect()]
+    assert max(sizes) <= 2 * 20_000 / 100 and sum(sizes) == 20_000
+    rows = spark.createDataFrame([(1, float("-inf"), 2.0), (1, 1.0, None), (1, float("inf"), 4.0), (2, float("-inf"), None), (2, float("-inf"), None)], "g int, a double, b double")
+    got = {r["g"]: (r["a"], r["b"]) for r in many_quantiles(rows, ["g"], {"a": (F.col("a"), [0.0, 0.5, 1.0]), "b": (F.col("b"), [0.5])}).collect()}
+    assert got == {1: ([float("-inf"), 1.0, float("inf")], [3.0]), 2: ([float("-inf")] * 3, None)}
+
+
 @pytest.mark.parametrize("users", [range(10), range(100), [3, 95, 96, 98, *range(200, 240, 3), *range(1000, 1100, 3)], [-5, -4, *range(80)], []])
 def test_event_grid_equals_its_definition(spark, tmp_path, users):
     rng = random.Random(6)
