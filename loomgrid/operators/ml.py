@@ -1,7 +1,12 @@
-"""Risk models by Spark ML on the model table, their comparison, importances and local explanations."""
+"""Risk models on the model table, their comparison, importances and local explanations.
+
+The logistic regression is Spark's; the forest and the boosting are those of ``operators/trees.py``, with Spark's own beside them under the names of
+``SPARK_TREES``. Fitted models are stored in the shared folder and loaded by whatever asks for the same rows and settings in the same application.
+"""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -12,11 +17,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.functions.columns import source_feature
+from loomgrid.functions.columns import risk_band, source_feature
+from loomgrid.functions.lineage import shared_folder
 from loomgrid.operators.features import FEATURES
 from loomgrid.operators.metrics import best_model, best_threshold, confusion_metrics, exact_sample, importance_rollup, roc_auc, threshold_sweep
+from loomgrid.operators.trees import BalancedForest, Boosting
+from loomgrid.sources.files import load_model, save_model
 
 MODELS = ("logistic_regression", "random_forest", "gradient_boosting")
+SPARK_TREES = ("spark_random_forest", "spark_gradient_boosting")
 
 
 @dataclass(frozen=True)
@@ -31,12 +40,20 @@ class Settings:
     boost_depth: int = 8
     boost_rate: float = 0.08
     subsample: float = 0.8
+    colsample: float = 0.8
+    min_child_weight: float = 5.0
+    l2: float = 1.0
+
+
+def indexer() -> StringIndexer:
+    """The number of a sensor of the training rows; the one beyond all for others."""
+    return StringIndexer(inputCol="sensor_id", outputCol="sensor_index", handleInvalid="keep", stringOrderType="alphabetAsc")
 
 
 def preparation() -> list:
     """Scaled numbers (not centred), and one column for each sensor of the training rows; an unseen sensor has none set."""
     return [
-        StringIndexer(inputCol="sensor_id", outputCol="sensor_index", handleInvalid="keep", stringOrderType="alphabetAsc"),
+        indexer(),
         OneHotEncoder(inputCol="sensor_index", outputCol="sensor_vector", dropLast=True),
         VectorAssembler(inputCols=FEATURES, outputCol="numbers", handleInvalid="error"),
         StandardScaler(inputCol="numbers", outputCol="scaled", withMean=False, withStd=True),
@@ -44,14 +61,21 @@ def preparation() -> list:
     ]
 
 
-def estimators(settings: Settings, n_rows: int) -> dict[str, object]:
+def stages(name: str, settings: Settings, n_rows: int) -> list:
+    """The stages of a model's pipeline. Trees take numbers as they are, and the sensor as a category."""
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
-    return {
+    if name == "random_forest":
+        return [indexer(), BalancedForest(FEATURES, "sensor_index", trees=settings.trees, depth=settings.tree_depth, min_leaf=settings.min_leaf, seed=settings.seed)]
+    if name == "gradient_boosting":
+        boosting = Boosting(FEATURES, "sensor_index", rounds=settings.boosts, depth=settings.boost_depth, rate=settings.boost_rate, subsample=settings.subsample, colsample=settings.colsample, min_child_weight=settings.min_child_weight, l2=settings.l2, seed=settings.seed)
+        return [indexer(), boosting]
+    known = {
         # an L2 penalty of C = 1 on summed losses is 1 / n on mean losses, as balanced weights sum to n
-        "logistic_regression": LogisticRegression(**common, maxIter=settings.iterations, regParam=1.0 / max(1, n_rows), elasticNetParam=0.0, standardization=False),
-        "random_forest": RandomForestClassifier(**common, numTrees=settings.trees, maxDepth=settings.tree_depth, minInstancesPerNode=settings.min_leaf, featureSubsetStrategy="sqrt", seed=settings.seed),
-        "gradient_boosting": GBTClassifier(**common, maxIter=settings.boosts, maxDepth=settings.boost_depth, stepSize=settings.boost_rate, subsamplingRate=settings.subsample, featureSubsetStrategy=str(settings.subsample), minInstancesPerNode=settings.min_leaf, seed=settings.seed),
+        "logistic_regression": lambda: LogisticRegression(**common, maxIter=settings.iterations, regParam=1.0 / max(1, n_rows), elasticNetParam=0.0, standardization=False),
+        "spark_random_forest": lambda: RandomForestClassifier(**common, numTrees=settings.trees, maxDepth=settings.tree_depth, minInstancesPerNode=settings.min_leaf, featureSubsetStrategy="sqrt", seed=settings.seed),
+        "spark_gradient_boosting": lambda: GBTClassifier(**common, maxIter=settings.boosts, maxDepth=settings.boost_depth, stepSize=settings.boost_rate, subsamplingRate=settings.subsample, featureSubsetStrategy=str(settings.subsample), minInstancesPerNode=settings.min_leaf, seed=settings.seed),
     }
+    return [*preparation(), known[name]()]
 
 
 def training_rows(found: DataFrame, settings: Settings) -> DataFrame:
@@ -63,14 +87,25 @@ def training_rows(found: DataFrame, settings: Settings) -> DataFrame:
     return rows.join(F.broadcast(weights), rows["target"] == weights["kind"]).drop("kind").withColumn("label", F.col("target").cast("double"))
 
 
+#: Of the rows and settings that models were fitted with: the rows (held, so that their identity isn't given to others), and path and digest of each model.
+_STORED: dict[tuple, tuple[DataFrame, dict[str, tuple[str, str]]]] = {}
+
+
 def fit_models(found: DataFrame, settings: Settings, names: tuple[str, ...] = MODELS) -> dict[str, PipelineModel]:
-    """The pipeline of each model, all fitted on the same training rows."""
-    train = training_rows(found, settings).cache()
-    try:
-        known = estimators(settings, train.count())
-        return {name: Pipeline(stages=[*preparation(), known[name]]).fit(train) for name in names}
-    finally:
-        train.unpersist()
+    """The pipeline of each model, all fitted on the same training rows; a model that this application has fitted with them before is loaded."""
+    spark = found.sparkSession
+    _, stored = _STORED.setdefault((spark.sparkContext.applicationId, id(found), settings), (found, {}))
+    missing = [name for name in names if name not in stored]
+    if missing:
+        train, folder = training_rows(found, settings).cache(), f"{shared_folder(spark)}/models-{uuid.uuid4()}"
+        try:
+            n_rows = train.count()
+            for name in missing:
+                path = f"{folder}/{name}"
+                stored[name] = path, save_model(Pipeline(stages=stages(name, settings, n_rows)).fit(train), path)
+        finally:
+            train.unpersist()
+    return {name: load_model(spark, *stored[name]) for name in names}
 
 
 def scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -150,6 +185,12 @@ def explain(model: PipelineModel, row: DataFrame, reference: dict[str, object],
     return p.where("changed != ''").crossJoin(base).select(F.col("changed").alias("feature"), F.round("p_base", 6).alias("p_base"), F.round(F.col("p_base") - F.col("p"), 6).alias("delta")).orderBy(F.desc(F.abs("delta")), "feature").limit(top)  # base: one row
 
 
+def score_rows(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Probability and risk band of replay rows (features of a sensor at a time) by a fitted or loaded model."""
+    p = model.transform(rows).select("sensor_id", "ts", F.round(vector_to_array("probability")[1], 6).alias("p"))
+    return p.withColumn("risk", risk_band(F.col("p")))
+
+
 def riskiest(rows: DataFrame) -> DataFrame:
     """The row with the highest probability, the first by sensor and time among equals."""
     return rows.orderBy(F.desc("p"), "sensor_id", "ts").limit(1)

@@ -110,6 +110,11 @@ def binned(rows: DataFrame, numbers: list[str], category: str, label: str, edges
     return keyed.mapInArrow(run, ROWS)
 
 
+def dealt(table: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
+    """A task for each ``rows_per_task``, as every level runs over the table again; never more than there were."""
+    return table.coalesce(max(1, -(-table.count() // rows_per_task)))
+
+
 #: For a tree's number: weights of the rows it takes, and their statistics a and b in whole numbers.
 Statistics = Callable[[int, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -193,7 +198,8 @@ def grow(rows: DataFrame, width: int, categories: int, edges: list[list[float]],
             break
         sums = level_sums(rows, width, {t: trees[t] for t in open_nodes}, open_nodes, allowed, statistics)
         following: dict[int, list[int]] = {}
-        for r in best_cuts(sums, width, score, least_b, least_n).orderBy("tree", "slot").collect():  # a row for each node of the level
+        found = best_cuts(sums, width, score, least_b, least_n).collect()  # a row for each node of the level
+        for r in sorted(found, key=lambda r: (r["tree"], r["slot"])):
             tree, node, best = trees[r["tree"]], open_nodes[r["tree"]][r["slot"]], r["best"]
             tree.value[node], tree.cover[node] = value(r["a_all"], r["b_all"]), r["b_all"]
             if best is None:
@@ -242,7 +248,7 @@ class Ensemble:
 
 def fit_boosting(rows: DataFrame, numbers: list[str], category: str, categories: int, label: str, rounds: int, depth: int, rate: float, subsample: float = 0.8, colsample: float = 0.8, min_child_weight: float = 5.0, l2: float = 1.0, positive_weight: float | None = None, bins: int = BINS, seed: int = 42) -> Ensemble:
     width, edges = len(numbers), edges_of(rows, numbers, bins)
-    table = checkpoint(binned(rows, numbers, category, label, edges))
+    table = dealt(checkpoint(binned(rows, numbers, category, label, edges)))
     n, positives = table.agg(F.count("*"), F.sum("y")).first()
     weight = positive_weight if positive_weight is not None else ((n - positives) / positives if positives else 1.0)
     whole, gains, out = width + categories, np.zeros(width + categories), []
@@ -306,7 +312,7 @@ def bootstrap_classes(table: DataFrame, trees: list[int], seed: int, width: int)
 
 def fit_forest(rows: DataFrame, numbers: list[str], category: str, categories: int, label: str, trees: int, depth: int, min_leaf: int = 5, bins: int = BINS, seed: int = 42, together: int = 10) -> Ensemble:
     width, edges = len(numbers), edges_of(rows, numbers, bins)
-    table = checkpoint(binned(rows, numbers, category, label, edges))
+    table = dealt(checkpoint(binned(rows, numbers, category, label, edges)))
     whole, gains, out = width + categories, np.zeros(width + categories), []
     tried = max(1, int(math.sqrt(whole)))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from loomgrid.operators import patterns as P
 from loomgrid.operators import quality as Q
 from loomgrid.operators import split as S
 from loomgrid.operators.neighbours import neighbour_features
+from loomgrid.operators.shapley import summary
+from loomgrid.operators.trees import Ensemble
 from loomgrid.operators.windows import run_table
 from loomgrid.plans.analysis import Plan, model_data
 from loomgrid.sources.files import footer_counts
@@ -193,9 +196,16 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.key_differences(event_grid(spark, sf_dir).select("sensor_id"), supplier_places(spark, sf_dir))
 
 
+_ROWS: dict[tuple[str, str], DataFrame] = {}
+
+
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The samples, cut from their plan: fits and metrics run it many times, and the driver would hold as many copies of it."""
-    return checkpoint(model_part("samples")(spark, sf_dir))
+    """The samples, cut from their plan: fits and metrics run it many times, and the driver would hold as many copies of it. The
+    queries of an application share them, and with them the fitted models."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _ROWS:
+        _ROWS[key] = checkpoint(model_part("samples")(spark, sf_dir))
+    return _ROWS[key]
 
 
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,6 +213,25 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.compare_models(found, ml.Settings())
 
 
+def trees_of(found: DataFrame) -> tuple[Ensemble, DataFrame]:
+    """The boosting and the test rows with what it reads."""
+    model = ml.fit_models(found, ml.Settings(), ("gradient_boosting",))["gradient_boosting"]
+    return model.stages[-1].trees, model.stages[0].transform(found.where("split = 'test'"))
+
+
+def model_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = summary(*trees_of(model_rows(spark, sf_dir)))
+    return rounded(rows, "mean_abs", "direction")
+
+
+def replay_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last test row of each sensor, scored by the model that is best on validation rows."""
+    found = model_rows(spark, sf_dir)
+    name, model = ml.select_model(found, ml.Settings())
+    last = found.where("split = 'test'").groupBy("sensor_id").agg(F.max("t").alias("t"))
+    return ml.score_rows(model, found.where("split = 'test'").join(last, ["sensor_id", "t"])).withColumn("model", F.lit(name))
+
+
 def explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = model_rows(spark, sf_dir)
     name, model = ml.select_model(found, ml.Settings())
@@ -215,7 +244,9 @@ def model_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_of_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.best_model(ml.compare_models(model_rows(spark, sf_dir), ml.Settings()).where("split = 'validation'"), ml.MODELS)
+    found = model_rows(spark, sf_dir)
+    judged = ml.validated(ml.fit_models(found, ml.Settings()), found)
+    return metrics.best_model(reduce(DataFrame.unionByName, (row for _, row in judged.values())), ml.MODELS)
 
 
 def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,6 +339,8 @@ def queries() -> dict[str, Query]:
         "local_explanation": explanation,
         "model_importances": model_importances,
         "best_model": best_of_models,
+        "model_shapley": model_shapley,
+        "replay_scores": replay_scores,
         "distinct_dates": on_grid(replay.distinct_dates),
     }
 
