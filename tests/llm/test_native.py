@@ -264,3 +264,46 @@ def test_shards(spark):
     pair = rows[rows.doc_id.isin([i for i, t in enumerate(texts) if t == "pair"])]
     assert pair["shard"].nunique() == 1
     assert shard(docs(spark, [])).count() == 0 and shard(docs(spark, ["a"])).count() == 1
+
+
+def test_quality_verdicts_do_not_hang_on_the_prior_and_differ_from_all_must_pass(spark, monkeypatch):
+    """Over the whole of sf0.01: a prior of a twentieth to five times its weight changes hardly a verdict; documents are kept against a bad vote."""
+    from loomgrid.llm import quality
+
+    rows = quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("pattern", "base_failed").count().collect()
+    patterns = collections.Counter()
+    for r in rows:
+        patterns[votes_of(r["pattern"])] += r["count"]
+
+    def kept(weight):
+        monkeypatch.setattr(quality, "WEIGHT", weight)
+        prior, theta = fit(sorted(patterns.items()))
+        odds = quality.log_odds(theta)
+        value = lambda votes: math.log(prior / (1 - prior)) + sum(w[v] for w, v in zip(odds, votes, strict=True))
+        return {votes for votes in patterns if value(votes) >= 0}
+
+    base = kept(WEIGHT)
+    total = sum(patterns.values())
+    for weight in (WEIGHT / 20, WEIGHT / 4, WEIGHT * 5):
+        assert sum(patterns[v] for v in kept(weight) ^ base) <= total / 500
+    passing = collections.Counter()
+    for r in rows:
+        if not r["base_failed"]:
+            passing[votes_of(r["pattern"])] += r["count"]
+    assert sum(n for v, n in passing.items() if v in base and -1 in v) >= 1  # a bad vote that was outvoted
+    assert sum(n for v, n in passing.items() if v not in base) >= 1
+
+
+def test_url_filter_passes_few_that_are_not_listed(spark):
+    """Of keys that aren't listed, a filter of 16 bits a key passes under one in a hundred; a full one passes more, and verdicts stay."""
+    from loomgrid.llm.url_filter import probed
+
+    listed = spark.range(4000).select(F.concat(F.lit("listed"), "id").alias("key"))
+    others = spark.range(20_000).select(F.concat(F.lit("other"), "id").alias("key")).unionByName(listed).unionByName(spark.createDataFrame([(None,)], "key string"))
+    passed = {}
+    for blocks in (256, 16):
+        rows = {r["key"]: r["possible"] for r in probed(others, listed, "key", blocks).collect()}
+        assert all(rows[f"listed{i}"] for i in range(4000)) and not rows[None]
+        passed[blocks] = sum(rows[f"other{i}"] for i in range(20_000)) / 20_000
+    print("false positives by blocks:", passed)
+    assert passed[256] < 0.01 < passed[16]
