@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.functions.columns import congested, cyclic, day_of_week, hour, is_weekend, slot_of_day, valid_speed
+from loomgrid.functions.lineage import checkpoint
 from loomgrid.operators.patterns import with_ratio
 from loomgrid.operators.split import Segment, period_stats, segment_column, train_stats
 from loomgrid.operators.windows import CHUNK_STEPS, by_time, last_at, last_value, owned, with_halo
@@ -87,14 +88,14 @@ def model_table(
     """
     if threshold not in sensitivity:
         raise ValueError("the sensitivity thresholds must contain the main one")
-    stats = train_stats(grid, parts[0], first)
+    stats = checkpoint(train_stats(grid, parts[0], first))  # a row for each sensor, read three times
     based = with_ratio(decline_steps(grid), stats.select("sensor_id", "free_flow"))
     columns: dict[str, Column] = {**lags(), **rolling(), **trends(step_minutes), "history_complete": history_complete(history)}
     for t in sensitivity:
         count, complete = future_counts(t, future)
         columns |= {f"label_{round(t * 100)}": (count >= minimum).cast("int"), "future_complete": complete}
     cells = windowed(based, columns, max(12, history), future).select("*", *(c.alias(k) for k, c in calendar(step_minutes).items()))
-    periods = period_stats(grid, parts[0], first, step_minutes)
+    periods = period_stats(grid, parts[0], first, step_minutes, overall=stats)
     joined = cells.join(periods, ["sensor_id", "is_weekend", "time_slot"], "left").join(stats.select("sensor_id", F.col("median_speed").alias("sensor_median_speed"), F.col("congestion_rate").alias("sensor_congestion_rate")), "sensor_id", "left")
     return joined.select(
         "*", (F.col("v") - F.col("period_median_speed")).alias("deviation_from_period"), segment_column(parts, first).alias("split"), segment_column(parts, first, history, future).alias("inside"),

@@ -42,12 +42,17 @@ def map_centre(places: DataFrame) -> DataFrame:
     return places.agg(F.round(F.avg("latitude"), 6).alias("latitude"), F.round(F.avg("longitude"), 6).alias("longitude"))
 
 
-def ordered_lookup(sensors: DataFrame, places: DataFrame) -> DataFrame:
-    """Places in the order of the sensors' ids (numbers by value), NULL for sensors without one; repeated places are an error."""
+def one_place_each(places: DataFrame) -> DataFrame:
+    """The table itself, or a ValueError where a sensor has several places, which a join would turn into several rows."""
     repeated = places.groupBy("sensor_id").count().where("count > 1").limit(1).collect()
     if repeated:
         raise ValueError(f"sensor {repeated[0]['sensor_id']} has several places")
-    return sensors.join(places, "sensor_id", "left").orderBy(F.length("sensor_id"), "sensor_id")
+    return places
+
+
+def ordered_lookup(sensors: DataFrame, places: DataFrame) -> DataFrame:
+    """Places in the order of the sensors' ids (numbers by value), NULL for sensors without one; repeated places are an error."""
+    return sensors.join(one_place_each(places), "sensor_id", "left").orderBy(F.length("sensor_id"), "sensor_id")
 
 
 def key_differences(a: DataFrame, b: DataFrame, key: str = "sensor_id") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.functions.columns import risk_band, source_feature
+from loomgrid.functions.columns import direction, risk_band, source_feature
 from loomgrid.functions.lineage import shared_folder
 from loomgrid.operators.features import FEATURES
 from loomgrid.operators.metrics import best_model, best_threshold, confusion_metrics, exact_sample, importance_rollup, roc_auc, threshold_sweep
@@ -170,6 +170,23 @@ def reference_values(train: DataFrame) -> dict[str, object]:
     return row.asDict()
 
 
+def first_sensor(train: DataFrame) -> DataFrame:
+    """The training rows of the first sensor alone, which a replay's explanations refer to."""
+    return train.join(F.broadcast(train.agg(F.min("sensor_id").alias("sensor_id"))), "sensor_id")  # one row
+
+
+def reference_table(train: DataFrame) -> DataFrame:
+    """feature and value of ``reference_values`` as rows, numbers as they are and the sensor as text beside them."""
+    found = reference_values(train)
+    rows = [(c, float(found[c]) if found[c] is not None else None, None) for c in FEATURES] + [("sensor_id", None, found["sensor_id"])]
+    return train.sparkSession.createDataFrame(rows, "feature string, value double, name string")
+
+
+def factor_table(rows: DataFrame, value: str = "value", delta: str = "delta") -> DataFrame:
+    """``rows`` with the texts that are shown for a factor: its value to three places, its signed effect to four, and the effect's direction."""
+    return rows.withColumn("value_text", F.format_string("%.3f", value)).withColumn("delta_text", F.format_string("%+.4f", delta)).withColumn("direction", direction(F.col(delta)))
+
+
 def explain(model: PipelineModel, row: DataFrame, reference: dict[str, object], top: int = 10) -> DataFrame:
     """How the probability of one row changes when each feature in turn takes its reference value; largest changes first.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions.columns import congested, day_of_week, hour, is_weekend, ratio, valid_speed, weekday_name
+from loomgrid.operators.graph import one_place_each
 from loomgrid.operators.quantiles import exact_quantiles, many_quantiles
 from loomgrid.operators.windows import run_table
 
@@ -101,12 +102,12 @@ def _run_stats(rated: DataFrame, threshold: float, step_minutes: int) -> DataFra
 
 
 def sensor_risk(grid: DataFrame, locations: DataFrame | None = None, step_minutes: int = 60) -> DataFrame:
-    """Coverage, speeds, congestion rates and run events of each sensor, with its place if locations are given."""
+    """Coverage, speeds, congestion rates and run events of each sensor, with its place if locations are given (a ValueError where a sensor has several)."""
     rated = with_ratio(grid, free_flow(grid))
     base = rated.groupBy("sensor_id").agg(F.count("*").alias("total"), F.count("v").alias("valid_count"), F.avg("v").alias("mean"), F.percentile("v", [0.1, 0.5, 0.85]).alias("q"), F.stddev_pop("v").alias("std"), *_hits(THRESHOLDS))
     rows = base.select("*", *_rates(THRESHOLDS)).join(_run_stats(rated, 0.60, step_minutes), "sensor_id", "left").select("*", *_run_stats_columns())
     if locations is not None:
-        rows = rows.join(locations, "sensor_id", "left")
+        rows = rows.join(one_place_each(locations), "sensor_id", "left")
     place = ["latitude", "longitude"] if locations is not None else []
     return rows.select(
         "sensor_id", _r(F.try_divide(F.col("valid_count"), F.col("total")), "coverage_rate"), _r(F.col("q")[2], "free_flow_speed"), _r("mean", "mean_speed"), _r(F.col("q")[1], "median_speed"), _r(F.col("q")[0], "p10_speed"), _r("std", "std_speed"),

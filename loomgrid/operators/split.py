@@ -78,12 +78,12 @@ def train_stats(grid: DataFrame, train: Segment, first: int, quantile: float = 0
     return base.join(state, "sensor_id").select("sensor_id", "valid_count", "median_speed", "free_flow", F.try_divide(F.col("hits"), F.col("valid_count")).alias("congestion_rate"))
 
 
-def period_stats(grid: DataFrame, train: Segment, first: int, step_minutes: int, quantile: float = 0.85, threshold: float = 0.60) -> DataFrame:
-    """Training median and congestion rate by sensor, weekend flag and slot of the day; every combination exists.
+def period_stats(grid: DataFrame, train: Segment, first: int, step_minutes: int, quantile: float = 0.85, threshold: float = 0.60, overall: DataFrame | None = None) -> DataFrame:
+    """Training median and congestion rate by sensor, weekend flag and slot of the day; every combination exists. ``overall``: ``train_stats``, if they are there.
 
     Where a combination has no valid reading, each column falls back on the sensor's own value.
     """
-    overall = train_stats(grid, train, first, quantile, threshold)
+    overall = train_stats(grid, train, first, quantile, threshold) if overall is None else overall
     rows = grid.where((F.col("t") - first).between(train.start, train.end)).withColumn("v", valid_speed(F.col("speed"))).join(overall.select("sensor_id", "free_flow"), "sensor_id")
     keyed = rows.withColumn("is_weekend", is_weekend(F.col("ts"))).withColumn("time_slot", slot_of_day(F.col("ts"), step_minutes))
     found = keyed.groupBy("sensor_id", "is_weekend", "time_slot").agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.functions import columns as C
-from loomgrid.functions.lineage import checkpoint
+from loomgrid.functions.lineage import checkpoint, shared_folder
 from loomgrid.operators import features as X
 from loomgrid.operators import calibration, graph, metrics, ml, permutation, replay
 from loomgrid.operators import matching as M
@@ -23,6 +24,7 @@ from loomgrid.operators.windows import run_table
 from loomgrid.plans.analysis import Plan, model_data
 from loomgrid.sources.files import footer_counts
 from loomgrid.sources.grid import check_grid, event_grid
+from loomgrid.sources.publish import publish, published
 from loomgrid.sql import ORACLES
 
 PLAN = Plan()
@@ -153,6 +155,45 @@ def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.isotonic(scored(spark, sf_dir).withColumn("p", F.round("p", 2))).select("high", "n", F.round("value", 9).alias("value"))
 
 
+def stored_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples published by split, read back and checked: rows, faults and the order of the splits of what is stored."""
+    root = f"{shared_folder(spark)}/splits-{uuid.uuid4()}"
+    publish(model_part("samples")(spark, sf_dir), root, ["sensor_id", "ts"], partition_by=["split"])
+    stored = published(spark, root)
+    return X.dataset_checks(stored).join(S.leakage_report(stored).select("split", "after_previous"), "split")
+
+
+def faulty_grid(grid: DataFrame) -> DataFrame:
+    """A grid with faults: every 97th step of sensor 0 comes twice, every 89th is missing for all, and one reading lies half a step off."""
+    kept = grid.where("t % 89 != 0")
+    shifted = kept.withColumn("ts", F.when((F.col("sensor_id") == "0") & (F.col("t") % 101 == 0), F.expr("ts + INTERVAL 30 MINUTES")).otherwise(F.col("ts")))
+    return shifted.unionByName(kept.where("sensor_id = '0' and t % 97 = 0"))
+
+
+def faulty_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with faults: nulls at every 5th step, repeated rows at every 7th, a target of 2 at every 11th, and training rows as late as the others at every 13th."""
+    found = model_part("samples")(spark, sf_dir)
+    late = F.when(F.col("t") % 13 == 0, "train").otherwise(F.col("split"))
+    broken = found.withColumn("ratio", F.when(F.col("t") % 5 != 0, F.col("ratio"))).withColumn("target", F.when(F.col("t") % 11 == 0, 2).otherwise(F.col("target"))).withColumn("split", late)
+    return broken.unionByName(broken.where("t % 7 = 0"))
+
+
+def faulty_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = checkpoint(faulty_samples(spark, sf_dir))
+    return X.dataset_checks(rows).join(S.leakage_report(rows).select("split", "after_previous"), "split")
+
+
+def explanation_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = checkpoint(model_part("samples")(spark, sf_dir).where("split = 'train'"))
+    both = [ml.reference_table(rows).withColumn("scope", F.lit(scope)) for scope, rows in (("all", train), ("first_sensor", ml.first_sensor(train)))]
+    return rounded(both[0].unionByName(both[1]), "value")
+
+
+def factor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.avg("p_retailprice"), 5).alias("value"))
+    return ml.factor_table(part.select(F.col("p_brand").alias("feature"), "value", F.round(F.col("value") / 1000 - 1, 6).alias("delta")))
+
+
 def permuted_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat_ws("|", "sensor_id", F.col("t").cast("string"))
     return permutation.permuted(event_grid(spark, sf_dir), key, "speed").select("sensor_id", "ts", "speed")
@@ -329,6 +370,11 @@ def queries() -> dict[str, Query]:
         "calibration_scores": lambda spark, sf_dir: calibration.calibration_scores(scored(spark, sf_dir)),
         "isotonic_fit": isotonic_fit,
         "permuted_column": permuted_column,
+        "stored_splits": stored_splits,
+        "faulty_grid_validation": on_grid(lambda g: check_grid(faulty_grid(g), 3600)),
+        "faulty_dataset_checks": faulty_checks,
+        "explanation_reference": explanation_reference,
+        "factor_table": factor_table,
         "footer_counts": lambda spark, sf_dir: footer_counts(spark, f"{sf_dir}/orders.parquet"),
         "congested_runs": on_grid(lambda g: run_table(with_flow(g).withColumn("congested", C.congested(F.col("ratio"), 0.6)), "congested")),
         "location_lookup": lookup,

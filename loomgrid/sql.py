@@ -108,6 +108,11 @@ matches AS (SELECT sensor_id, t AS event_t, control_t, fresh IS NULL AND control
 
 
 MATCH, SHORT_MATCH = matching(0.6, 3, 12, 6), matching(0.25, 2, 3, 2)
+ALL_FEATURES = [*FEATURES, "decline_steps", "hour", "day_of_week", "weekend", "time_slot"]
+CHECKS = """SELECT c.*, l.after_previous FROM (SELECT split, sum(n)::BIGINT AS n_rows, sum(nulls)::BIGINT AS null_rows, count(*) FILTER (n > 1) AS repeated_keys, count(DISTINCT sensor_id) AS sensors, sum(odd)::BIGINT AS odd_targets, min(lo) <> max(hi) AS has_both_classes,
+    CASE WHEN sum(nulls) = 0 AND count(*) FILTER (n > 1) = 0 AND sum(odd) = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict
+    FROM (SELECT split, sensor_id, ts, count(*) AS n, count(*) FILTER (ratio IS NULL) AS nulls, count(*) FILTER (target NOT IN (0, 1)) AS odd, min(target) AS lo, max(target) AS hi FROM {0} GROUP BY 1, 2, 3) GROUP BY 1) c
+    JOIN (SELECT split, coalesce(first_t > lag(last_t) OVER (ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END), true) AS after_previous FROM (SELECT split, min(t) AS first_t, max(t) AS last_t FROM {0} GROUP BY 1)) l USING (split)"""
 NEAR_SUM = " + ".join(f"coalesce(lag({{0}}, {k}) OVER w, 0)" for k in (1, 2, 3))
 #: Columns of the orders table, and whether their footers bound them.
 ORDER_COLUMNS = [("o_orderkey", True), ("o_custkey", True), ("o_orderstatus", False), ("o_totalprice", True), ("o_orderdate", False), ("o_orderpriority", False)]
@@ -224,6 +229,14 @@ ORACLES: dict[str, str] = {
         SELECT b.i, b.p, b.m, min((c.s - coalesce(a.s, 0)) / (c.n - coalesce(a.n, 0))) AS least_after FROM points b JOIN (SELECT 0 AS i, 0 AS s, 0 AS n UNION ALL SELECT i, s, n FROM points) a ON a.i < b.i JOIN points c ON c.i >= b.i GROUP BY a.i, b.i, b.p, b.m) GROUP BY i) GROUP BY value""",
         SCORED + """, points AS (SELECT *, row_number() OVER (ORDER BY p) AS i, sum(m) OVER (ORDER BY p) AS n, sum(pos) OVER (ORDER BY p) AS s FROM (SELECT round(p, 2) AS p, count(*) AS m, sum(y) AS pos FROM scored GROUP BY 1))"""),
     "permuted_column": q("""SELECT a.sensor_id, a.ts, b.speed FROM (SELECT *, row_number() OVER (ORDER BY md5(sensor_id || '|' || t || '|84'), sensor_id || '|' || t) AS r FROM grid) a JOIN (SELECT speed, row_number() OVER (ORDER BY md5(sensor_id || '|' || t || '|85'), sensor_id || '|' || t) AS r FROM grid) b USING (r)"""),
+    "stored_splits": q(CHECKS.format("usable_rows"), MODEL + ", usable_rows AS (SELECT split, sensor_id, ts, t, ratio, label_60 AS target FROM model WHERE usable)"),
+    "faulty_dataset_checks": q(CHECKS.format("broken"), MODEL + """, one AS (SELECT CASE WHEN t % 13 = 0 THEN 'train' ELSE split END AS split, sensor_id, ts, t, CASE WHEN t % 5 <> 0 THEN ratio END AS ratio, CASE WHEN t % 11 = 0 THEN 2 ELSE label_60 END AS target FROM model WHERE usable),
+        broken AS (SELECT * FROM one UNION ALL SELECT * FROM one WHERE t % 7 = 0)"""),
+    "faulty_grid_validation": q("""SELECT count(*) AS n_rows, count(DISTINCT sensor_id) AS sensors, count(DISTINCT ts) AS steps, count(*) - count(DISTINCT (ts, sensor_id)) AS repeated_keys, CAST((epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000 + 1 - count(DISTINCT ts) AS BIGINT) AS missing_steps, false AS is_grid FROM faulty""",
+        GRID + ", fewer AS (SELECT sensor_id, t, ts FROM grid WHERE t % 89 <> 0), faulty AS (SELECT sensor_id, CASE WHEN sensor_id = '0' AND t % 101 = 0 THEN ts + INTERVAL 30 MINUTE ELSE ts END AS ts FROM fewer UNION ALL SELECT sensor_id, ts FROM fewer WHERE sensor_id = '0' AND t % 97 = 0)"),
+    "explanation_reference": q(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.5), 9)::DOUBLE AS value, NULL::VARCHAR AS name, scope FROM scoped GROUP BY scope" for c in ALL_FEATURES) + " UNION ALL SELECT 'sensor_id', NULL, min(sensor_id), scope FROM (SELECT scope, sensor_id, count(*) AS n, max(count(*)) OVER (PARTITION BY scope) AS most FROM scoped GROUP BY 1, 2) WHERE n = most GROUP BY scope",
+        MODEL + """, trained AS (SELECT *, CAST(is_weekend AS INTEGER) AS weekend, hour AS time_slot FROM model WHERE usable AND split = 'train'), scoped AS (SELECT *, 'all' AS scope FROM trained UNION ALL SELECT *, 'first_sensor' FROM trained WHERE sensor_id = (SELECT min(sensor_id) FROM trained))"""),
+    "factor_table": "SELECT p_brand AS feature, value, delta, printf('%.3f', value) AS value_text, printf('%+.4f', delta) AS delta_text, CASE WHEN delta > 0 THEN 'raises' WHEN delta < 0 THEN 'lowers' ELSE 'neutral' END AS direction FROM (SELECT *, round(value / 1000 - 1, 6) AS delta FROM (SELECT p_brand, round(avg(p_retailprice), 5) AS value FROM part GROUP BY 1))",
     "footer_counts": "UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS nulls, {f'CAST(min({c}) AS VARCHAR)' if b else 'CAST(NULL AS VARCHAR)'} AS least, {f'CAST(max({c}) AS VARCHAR)' if b else 'CAST(NULL AS VARCHAR)'} AS greatest FROM orders " for c, b in ORDER_COLUMNS),
     "congested_runs": q("SELECT * FROM cruns", CRUNS),
     "location_lookup": q("SELECT s.sensor_id, p.latitude, p.longitude FROM (SELECT DISTINCT sensor_id FROM grid) s LEFT JOIN places p USING (sensor_id)", GRID + ", " + PLACES),
