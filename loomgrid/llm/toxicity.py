@@ -149,12 +149,20 @@ class Model:
 
 
 def train(texts: list[list[str]], labels: np.ndarray, share: float, epochs: int = 8, batch: int = 512, rate: float = 0.5, seed: int = 5) -> Model:
-    """Joint training on the windows of each text; ``share``: share of toxic rows among all labelled ones, which scores are scaled to."""
+    """Joint training on the windows of each text; ``share``: share of toxic rows among all labelled ones, which scores are scaled to.
+
+    ``texts`` is emptied as soon as its n-grams are taken.
+    """
     if not len(texts) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, math.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     rng = np.random.default_rng(seed)
-    flat, owner, size = [w for t in texts for w in t], np.repeat(np.arange(len(texts)), [len(t) for t in texts]), 10_000
-    parts = [windows(flat[i : i + size]) for i in range(0, len(flat), size)]
+    flat, owner, size, n_texts = [w for t in texts for w in t], np.repeat(np.arange(len(texts)), [len(t) for t in texts]), 10_000, len(texts)
+    texts.clear()
+    parts = []
+    for i in range(0, len(flat), size):
+        parts.append(windows(flat[i : i + size]))
+        flat[i : i + size] = [""] * len(flat[i : i + size])
+    del flat
     counts = np.concatenate([p[1] for p in parts])
     text = owner[np.concatenate([p[2] + size * i for i, p in enumerate(parts)])]
     row, at = np.empty(int(counts.sum()), np.int32), 0
@@ -209,7 +217,7 @@ def train(texts: list[list[str]], labels: np.ndarray, share: float, epochs: int
             bias -= (0.1 * grad.sum(axis=0)).astype(np.float32)
     folded = (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32)
     model = Model(folded, float(bias[1] - bias[0]), 1.0, 0.0)
-    best = np.full(len(texts), model.bias)
+    best = np.full(n_texts, model.bias)
     best[np.unique(text)] = -np.inf
     np.maximum.at(best, text, logits(folded) + model.bias)
     model.slope, model.shift = scale(best, labels, share)
@@ -255,8 +263,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows
     lengths = one.select("label_id", "label", F.length("text").alias("n")).where(F.col("n") <= max_chars // 100)
     fitting = lengths.select("label_id", F.sum("n").over(hashed).alias("so_far")).where(F.col("so_far") <= max_chars // 2).select("label_id")
     one = one.join(F.broadcast(fitting), "label_id")  # at most max_rows ids
-    rows = one.mapInArrow(_cut, "label_id bigint, label int, parts array<string>").toPandas().sort_values("label_id", kind="stable")
-    return train([list(p) for p in rows["parts"]], rows["label"].to_numpy(), counts.get(1, 0) / total)
+    rows = one.mapInArrow(_cut, "label_id bigint, label int, parts array<string>").toArrow().sort_by("label_id")
+    kinds, parts = rows["label"].to_numpy(), rows["parts"].to_pylist()
+    del rows
+    return train(parts, kinds, counts.get(1, 0) / total)
 
 
 def scorer(docs: DataFrame, model: Model, text: Column) -> Column:
