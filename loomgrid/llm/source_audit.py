@@ -7,7 +7,7 @@ its language) are compared by f = floor((p - q) * (p - q) / q).
 Method, by run-length columns:
 
 * Counting. A task counts its texts' terms by language and source in dictionaries of at most about ``max_entries`` entries and hands them on as
-  sums; Spark adds them up before and after one shuffle by (language, term, source). A term's counts over the sources are its vector.
+  sums, which Spark adds up. A term's counts over the sources are its vector.
 * Reordering and run lengths. Terms of a language with equal vectors are put side by side by one aggregation, which leaves the vector and
   the number of its terms. Vectors are dealt to chunks of about ``chunk`` by hash, and sorted there, so that equal counts of a source cluster
   further; each source's column is then run-length encoded over the chunk. All sources appear in every chunk: one without any
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from loomgrid.llm.batches import sliced
 from loomgrid.llm.common import checkpoint
 
-SCALE = 1_000_000_000
+SCALE, TOGETHER = 1_000_000_000, 5
 #: Bytes of terms: letters, lower-cased, and everything beyond ASCII; all else becomes a blank.
 TERM_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 COUNTS = "lang string, source string, term string, n bigint, docs bigint"
@@ -54,37 +54,51 @@ def pieces(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
 
 
 def count_terms(batches: Iterator[pa.RecordBatch], max_entries: int) -> Iterator[pa.RecordBatch]:
-    """Rows of COUNTS from batches of (lang, source, text); a key may come several times."""
-    counts: dict = collections.defaultdict(lambda: (collections.Counter(), collections.Counter()))
-
-    def flushed() -> pa.RecordBatch:
-        rows = [(*key, term, n, docs[term]) for key, (found, docs) in counts.items() for term, n in found.items()]
+    """Rows of COUNTS from batches of (lang, source, text); a key may come several times. ``docs`` of a language's term is told once, with any of its sources."""
+    counts: dict = collections.defaultdict(collections.Counter)  # by language and source
+    in_docs: dict = collections.defaultdict(collections.Counter)  # by language
+
+    def flushed() -> list[pa.RecordBatch]:
+        columns: list[list[pa.Array]] = [[] for _ in range(5)]
+        for (lang, source), found in counts.items():
+            terms, docs = list(found), in_docs[lang]
+            parts = pa.repeat(pa.scalar(lang, pa.string()), len(terms)), pa.repeat(pa.scalar(source, pa.string()), len(terms)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64()), pa.array([docs.pop(t, 0) for t in terms], pa.int64())
+            for column, part in zip(columns, parts, strict=True):
+                column.append(part)
         counts.clear()
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary()).cast(pa.string()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+        in_docs.clear()
+        kinds = pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()
+        table = pa.table({name: pa.chunked_array(column, kind) for name, column, kind in zip(("lang", "source", "term", "n", "docs"), columns, kinds, strict=True)})
+        return table.sort_by([("lang", "ascending"), ("term", "ascending")]).combine_chunks().to_batches()  # neighbours share their term, which shuffles in less
 
     entries = 0
     for batch, texts in sliced(batches, "text"):
         for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts, strict=True):
             seen: set[bytes] = set()
             for terms in pieces(text.encode()):
-                found, docs = counts[lang, source]
+                found = counts[lang, source]
                 before, new = len(found), set(terms) - seen
                 found.update(terms)
-                docs.update(new)
+                in_docs[lang].update(new)
                 seen |= new
                 entries += len(found) - before
                 if entries >= max_entries:
-                    yield flushed()
+                    yield from flushed()
                     entries = 0
-    yield flushed()
+    yield from flushed()
+
 
+def kept_terms(docs: DataFrame, sources: int, min_docs: int, max_entries: int) -> DataFrame:
+    """lang, term, its count in the language, and its vector: source and count, by source. ``sources``: the most that a language has.
 
-def kept_terms(docs: DataFrame, min_docs: int, max_entries: int) -> DataFrame:
-    """lang, term, its count in the language, and its vector: source and count, by source."""
+    Tasks hand on sums already, so these go to their reducers as they are, by term and a share of about ``TOGETHER`` sources: the
+    rows of a very frequent term there are at most that many for each task, and those of others still stand side by side.
+    """
     parts = docs.mapInArrow(lambda batches: count_terms(batches, max_entries), COUNTS)
-    by_source = parts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    by_term = by_source.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("vector"))
+    dealt = parts.withColumn("share", F.pmod(F.xxhash64("source"), F.lit(-(-sources // TOGETHER)))).repartition("lang", "term", "share")
+    by_source = dealt.groupBy("lang", "term", "share", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    by_share = by_source.groupBy("lang", "term", "share").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("cells"))
+    by_term = by_share.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"), F.sort_array(F.flatten(F.collect_list("cells"))).alias("vector"))
     return by_term.where(F.col("docs") >= min_docs).select("lang", "term", "total", "vector")
 
 
@@ -156,20 +170,21 @@ def chunk_pairs(block: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def source_divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", min_docs: int = 3, top: int = 200, chunk: int = 50_000, block: int = 200, max_entries: int = 300_000) -> DataFrame:
+def source_divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", min_docs: int = 3, top: int = 200, chunk: int = 50_000, block: int = 200, max_entries: int = 1_000_000) -> DataFrame:
     """lang, source, part (``pair`` or ``term``), item, value and rank."""
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(named(lang_col).alias("lang"), named(source_col).alias("source"), named(text_col).alias("text"))
-    kept = checkpoint(kept_terms(rows, min_docs, max_entries))
+    named_groups = checkpoint(rows.select("lang", "source").distinct())
+    most = named_groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    kept = checkpoint(kept_terms(rows, most, min_docs, max_entries))
     cells = kept.select("lang", "term", "total", F.explode("vector").alias("c")).select("lang", "term", "total", "c.source", "c.n")
     languages = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("lang_n"))
     sums = cells.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-    groups = checkpoint(rows.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(languages, "lang", "left").select("lang", "source", *map(zero, ("n", "terms", "lang_n"))))
+    groups = checkpoint(named_groups.join(sums, ["lang", "source"], "left").join(languages, "lang", "left").select("lang", "source", *map(zero, ("n", "terms", "lang_n"))))
 
     vectors = checkpoint(kept.groupBy("lang", "vector").agg(F.count("*").alias("times")))
     chunks = max(1, -(-vectors.count() // chunk))
-    most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
     blocks = -(-most // block)
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = groups.select("lang", "source", "n", "terms", numbers(chunks).alias("chunk")).select("*", numbers(blocks).alias("block"))
