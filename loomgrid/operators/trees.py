@@ -30,7 +30,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.functions.lineage import checkpoint
@@ -90,7 +90,8 @@ def unpack(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, n
 
 def edges_of(rows: DataFrame, numbers: list[str], bins: int = BINS) -> list[list[float]]:
     """Lower edges of all bins but the first, from approximate quantiles; a column of few values has an edge at each but the least."""
-    found = rows.agg(*(F.percentile_approx(F.col(c).cast("double"), [i / bins for i in range(bins + 1)], 40 * bins).alias(c) for c in numbers)).first()
+    cuts = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
+    found = rows.agg(*(F.percentile_approx(F.col(c).cast("double"), cuts, 40 * bins).alias(c) for c in numbers)).first()
     return [sorted({x for x in found[c] or [] if x is not None and not math.isnan(x)})[1:][: bins - 1] for c in numbers]
 
 
@@ -171,23 +172,23 @@ def level_sums(rows: DataFrame, width: int, trees: dict[int, Tree], open_nodes:
     return parts.groupBy("tree", "slot", "col", "bin").agg(*(F.sum(c).alias(c) for c in "abn"))
 
 
-def best_cuts(sums: DataFrame, width: int, score: Callable[[Column, Column], Column], least_b: float, least_n: int) -> DataFrame:
-    """For each node its totals, and the cut of the largest gain (NULL where none is above 0): the first column, then the first bin among equals."""
-    node = Window.partitionBy("tree", "slot")
-    along = Window.partitionBy("tree", "slot", "col").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    known = sums.select("*", *(F.max(F.when(F.col("col") < 0, F.col(c))).over(node).alias(f"{c}_all") for c in "abn"))
-    left = {c: F.when(F.col("col") == width, F.col(c)).otherwise(F.sum(c).over(along)) for c in "abn"}
-    cut = known.select("tree", "slot", "col", "bin", "a_all", "b_all", "n_all", *(x.alias(c) for c, x in left.items()))
-    unit = lambda c: F.col(c) / F.lit(float(UNIT))
-    al, bl, aa, ba = unit("a"), unit("b"), unit("a_all"), unit("b_all")
-    gain = score(al, bl) + score(aa - al, ba - bl) - score(aa, ba)
-    fine = (F.col("col") >= 0) & (F.least(bl, ba - bl) >= least_b) & (F.least(F.col("n"), F.col("n_all") - F.col("n")) >= max(1, least_n))
-    found = F.when(fine & (gain > 1e-12), F.struct((-gain).alias("loss"), "col", "bin", al.alias("a"), bl.alias("b")))
-    return cut.groupBy("tree", "slot").agg(F.first(aa).alias("a_all"), F.first(ba).alias("b_all"), F.min(found).alias("best"))
+def best_cuts(sums: DataFrame, width: int, score: Callable[[str, str], str], least_b: float, least_n: int) -> DataFrame:
+    """For each node its totals, and the cut of the largest gain (NULL where none is above 0): the first column, then the first bin among equals.
 
+    ``score``: SQL of what a side with sums a and b counts. All is SQL text, as it is planned anew for each level."""
+    total = lambda c: f"max(if(col < 0, {c}, NULL)) OVER (PARTITION BY tree, slot)"
+    known = sums.selectExpr("*", f"{total('a')} / {UNIT}D AS aa", f"{total('b')} / {UNIT}D AS ba", f"{total('n')} AS n_all")
+    left = lambda c: f"if(col = {width}, {c}, sum({c}) OVER (PARTITION BY tree, slot, col ORDER BY bin ROWS UNBOUNDED PRECEDING))"
+    cut = known.selectExpr("tree", "slot", "col", "bin", "aa", "ba", "n_all", f"{left('a')} / {UNIT}D AS a", f"{left('b')} / {UNIT}D AS b", f"{left('n')} AS n")
+    gain = f"{score('a', 'b')} + {score('aa - a', 'ba - b')} - {score('aa', 'ba')}"
+    fine = f"col >= 0 AND least(b, ba - b) >= {float(least_b)!r}D AND least(n, n_all - n) >= {max(1, least_n)}"
+    gained = cut.selectExpr("*", f"if({fine}, {gain}, 0D) AS gain")
+    best = F.expr("min(if(gain > 1e-12D, struct(-gain AS loss, col, bin, a, b, n), NULL)) AS best")
+    return gained.groupBy("tree", "slot").agg(F.expr("first(aa) AS a_all"), F.expr("first(ba) AS b_all"), F.expr("first(n_all) AS n_all"), best)
 
-def grow(rows: DataFrame, width: int, categories: int, edges: list[list[float]], numbers: list[int], depth: int, columns: Callable[[int, int], np.ndarray], statistics: Statistics, score: Callable[[Column, Column], Column], value: Callable[[float, float], float], least_b: float, least_n: int, gains: np.ndarray) -> dict[int, Tree]:
-    """The trees of these numbers, grown level by level together. ``columns`` draws the allowed columns of (tree, node)."""
+
+def grow(rows: DataFrame, width: int, categories: int, edges: list[list[float]], numbers: list[int], depth: int, columns: Callable[[int, int], np.ndarray], statistics: Statistics, score: Callable[[str, str], str], value: Callable[[float, float], float], least_b: float, least_n: int, gains: np.ndarray, pure: Callable[[float, float], bool] = lambda a, b: False) -> dict[int, Tree]:
+    """The trees of these numbers, grown level by level together. ``columns`` draws the allowed columns of (tree, node); ``pure``: no cut can gain."""
     trees, open_nodes = {t: Tree() for t in numbers}, {}
     for t, tree in trees.items():
         open_nodes[t] = [tree.add(0.0, 0.0)]
@@ -207,9 +208,11 @@ def grow(rows: DataFrame, width: int, categories: int, edges: list[list[float]],
             gains[width + best["bin"] if best["col"] == width else best["col"]] -= best["loss"]
             tree.column[node], tree.bin[node] = best["col"], best["bin"]
             tree.cut[node] = float(best["bin"]) if best["col"] == width else edges[best["col"]][best["bin"]]
-            tree.left[node] = tree.add(value(best["a"], best["b"]), best["b"])
-            tree.right[node] = tree.add(value(r["a_all"] - best["a"], r["b_all"] - best["b"]), r["b_all"] - best["b"])
-            following.setdefault(r["tree"], []).extend((tree.left[node], tree.right[node]))
+            left, right = (best["a"], best["b"], best["n"]), (r["a_all"] - best["a"], r["b_all"] - best["b"], r["n_all"] - best["n"])
+            tree.left[node], tree.right[node] = (tree.add(value(a, b), b) for a, b, _ in (left, right))
+            for child, (a, b, n) in ((tree.left[node], left), (tree.right[node], right)):
+                if b >= 2 * least_b and n >= 2 * max(1, least_n) and not pure(a, b):  # else no cut is fine
+                    following.setdefault(r["tree"], []).append(child)
         open_nodes = following
         if not open_nodes:
             break
@@ -269,7 +272,7 @@ def fit_boosting(rows: DataFrame, numbers: list[str], category: str, categories:
 
         return run
 
-    score = lambda g, h: F.coalesce(F.try_divide(g * g, h + l2), F.lit(0.0))
+    score = lambda g, h: f"coalesce(try_divide(({g}) * ({g}), ({h}) + {float(l2)!r}D), 0D)"
     value = lambda g, h: -rate * g / (h + l2) if h + l2 else 0.0
     held = None
     for t in range(rounds):
@@ -320,7 +323,7 @@ def fit_forest(rows: DataFrame, numbers: list[str], category: str, categories: i
         return np.isin(np.arange(whole), np.random.default_rng((seed, t, node)).permutation(whole)[:tried])
 
     # a: weight of positives, b: of all; the sum of squared class weights over the weight is what the Gini impurity takes from it
-    score = lambda a, b: F.coalesce(F.try_divide(a * a + (b - a) * (b - a), b), F.lit(0.0))
+    score = lambda a, b: f"coalesce(try_divide(({a}) * ({a}) + ({b} - ({a})) * ({b} - ({a})), {b}), 0D)"
     value = lambda a, b: a / b if b else 0.0
     for first in range(0, trees, together):
         numbers_of = list(range(first, min(trees, first + together)))
@@ -331,7 +334,7 @@ def fit_forest(rows: DataFrame, numbers: list[str], category: str, categories: i
             w = np.rint(count * np.where(y == 1, weights[t][1], weights[t][0]) * UNIT)
             return count, w * (y == 1), w
 
-        out += grow(table, width, categories, edges, numbers_of, depth, columns, statistics, score, value, 0.0, min_leaf, gains).values()
+        out += grow(table, width, categories, edges, numbers_of, depth, columns, statistics, score, value, 0.0, min_leaf, gains, lambda a, b: a <= 0 or a >= b).values()
     return Ensemble("forest", numbers, category, categories, out, gains.tolist())
 
 

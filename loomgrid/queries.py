@@ -254,9 +254,17 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.compare_models(found, ml.Settings())
 
 
+#: Fewer and smaller trees than the defaults, for the two ways of boosting side by side.
+FEW = {"boosts": 20, "boost_depth": 4}
+
+
+def boosting_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ml.compare_models(model_rows(spark, sf_dir), ml.Settings(**FEW), ("second_order_boosting", "gradient_boosting"))
+
+
 def trees_of(found: DataFrame) -> tuple[Ensemble, DataFrame]:
-    """The boosting and the test rows with what it reads."""
-    model = ml.fit_models(found, ml.Settings(), ("gradient_boosting",))["gradient_boosting"]
+    """The second-order boosting and the test rows with what it reads."""
+    model = ml.fit_models(found, ml.Settings(**FEW), ("second_order_boosting",))["second_order_boosting"]
     return model.stages[-1].trees, model.stages[0].transform(found.where("split = 'test'"))
 
 
@@ -385,6 +393,7 @@ def queries() -> dict[str, Query]:
         "local_explanation": explanation,
         "model_importances": model_importances,
         "best_model": best_of_models,
+        "boosting_comparison": boosting_comparison,
         "model_shapley": model_shapley,
         "replay_scores": replay_scores,
         "distinct_dates": on_grid(replay.distinct_dates),

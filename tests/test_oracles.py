@@ -9,7 +9,7 @@ import pytest
 from loomgrid import queries as registry
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"model_comparison", "local_explanation", "model_importances", "best_model", "model_shapley", "replay_scores"}  # fits need more samples than these tables give
+SLOW = {"model_comparison", "local_explanation", "model_importances", "best_model", "model_shapley", "replay_scores", "boosting_comparison"}  # fits need more samples than these tables give
 
 
 @pytest.fixture(scope="module")
