@@ -102,7 +102,7 @@ def contributions(found: Ensemble, rows: DataFrame) -> DataFrame:
 
 
 def summary(found: Ensemble, rows: DataFrame) -> DataFrame:
-    """Over all rows, for each column the mean absolute value, and its direction: the correlation of value and number (NULL for the category)."""
+    """Over all rows, for each column the mean absolute value, and its direction: the correlation of value and number (NULL for the category, and where either doesn't vary)."""
     named = contributions(found, rows)
     pairs = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), F.col("shap_values")[i].alias("v")) for i, c in enumerate(found.numbers)), F.struct(F.lit(found.category).alias("feature"), F.lit(None).cast("double").alias("x"), F.col("shap_values")[len(found.numbers)].alias("v")))
-    return named.select(F.explode(pairs).alias("r")).groupBy("r.feature").agg(F.avg(F.abs("r.v")).alias("mean_abs"), F.corr("r.x", "r.v").alias("direction"))
+    return named.select(F.explode(pairs).alias("r")).groupBy("r.feature").agg(F.avg(F.abs("r.v")).alias("mean_abs"), F.try_divide(F.covar_pop("r.x", "r.v"), F.stddev_pop("r.x") * F.stddev_pop("r.v")).alias("direction"))

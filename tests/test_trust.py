@@ -71,6 +71,8 @@ def test_contributions_of_rows(spark):
     base, values = ensemble_values(found, np.array([r[1:3] for r in rows]), np.array([r[3] for r in rows]))
     for r in contributions(found, frame).collect():
         assert r["shap_base"] == pytest.approx(base) and r["shap_values"] == pytest.approx(values[r["id"]].tolist())
+    still = {r["feature"]: r["direction"] for r in summary(found, frame.withColumn("a", F.lit(1.0))).collect()}
+    assert still["a"] is None and still["s"] is None  # no direction of what doesn't vary
     means = {r["feature"]: r["mean_abs"] for r in summary(found, frame).collect()}
     assert [means[c] for c in ("a", "b", "s")] == pytest.approx(np.abs(values).mean(0).tolist())
 
