@@ -186,12 +186,12 @@ def faulty_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def explanation_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = checkpoint(model_part("samples")(spark, sf_dir).where("split = 'train'"))
     both = [ml.reference_table(rows).withColumn("scope", F.lit(scope)) for scope, rows in (("all", train), ("first_sensor", ml.first_sensor(train)))]
-    return rounded(both[0].unionByName(both[1]), "value")
+    return rounded(both[0].unionByName(both[1]).where("value is not null or name is not null"), "value")  # a table without training rows has none
 
 
 def factor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.avg("p_retailprice"), 5).alias("value"))
-    return ml.factor_table(part.select(F.col("p_brand").alias("feature"), "value", F.round(F.col("value") / 1000 - 1, 6).alias("delta")))
+    part = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.max("p_retailprice").alias("value"))
+    return ml.factor_table(part.select(F.col("p_brand").alias("feature"), "value", F.round(F.col("value") / 100 - 9, 4).alias("delta")))
 
 
 def permuted_column(spark: SparkSession, sf_dir: str) -> DataFrame:

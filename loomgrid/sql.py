@@ -236,7 +236,7 @@ ORACLES: dict[str, str] = {
         GRID + ", fewer AS (SELECT sensor_id, t, ts FROM grid WHERE t % 89 <> 0), faulty AS (SELECT sensor_id, CASE WHEN sensor_id = '0' AND t % 101 = 0 THEN ts + INTERVAL 30 MINUTE ELSE ts END AS ts FROM fewer UNION ALL SELECT sensor_id, ts FROM fewer WHERE sensor_id = '0' AND t % 97 = 0)"),
     "explanation_reference": q(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.5), 9)::DOUBLE AS value, NULL::VARCHAR AS name, scope FROM scoped GROUP BY scope" for c in ALL_FEATURES) + " UNION ALL SELECT 'sensor_id', NULL, min(sensor_id), scope FROM (SELECT scope, sensor_id, count(*) AS n, max(count(*)) OVER (PARTITION BY scope) AS most FROM scoped GROUP BY 1, 2) WHERE n = most GROUP BY scope",
         MODEL + """, trained AS (SELECT *, CAST(is_weekend AS INTEGER) AS weekend, hour AS time_slot FROM model WHERE usable AND split = 'train'), scoped AS (SELECT *, 'all' AS scope FROM trained UNION ALL SELECT *, 'first_sensor' FROM trained WHERE sensor_id = (SELECT min(sensor_id) FROM trained))"""),
-    "factor_table": "SELECT p_brand AS feature, value, delta, printf('%.3f', value) AS value_text, printf('%+.4f', delta) AS delta_text, CASE WHEN delta > 0 THEN 'raises' WHEN delta < 0 THEN 'lowers' ELSE 'neutral' END AS direction FROM (SELECT *, round(value / 1000 - 1, 6) AS delta FROM (SELECT p_brand, round(avg(p_retailprice), 5) AS value FROM part GROUP BY 1))",
+    "factor_table": "SELECT p_brand AS feature, value, delta, printf('%.3f', value) AS value_text, printf('%+.4f', delta) AS delta_text, CASE WHEN delta > 0 THEN 'raises' WHEN delta < 0 THEN 'lowers' ELSE 'neutral' END AS direction FROM (SELECT *, round(value / 100 - 9, 4) AS delta FROM (SELECT p_brand, max(p_retailprice) AS value FROM part GROUP BY 1))",
     "footer_counts": "UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS nulls, {f'CAST(min({c}) AS VARCHAR)' if b else 'CAST(NULL AS VARCHAR)'} AS least, {f'CAST(max({c}) AS VARCHAR)' if b else 'CAST(NULL AS VARCHAR)'} AS greatest FROM orders " for c, b in ORDER_COLUMNS),
     "congested_runs": q("SELECT * FROM cruns", CRUNS),
     "location_lookup": q("SELECT s.sensor_id, p.latitude, p.longitude FROM (SELECT DISTINCT sensor_id FROM grid) s LEFT JOIN places p USING (sensor_id)", GRID + ", " + PLACES),
