@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from loomgrid.functions.lineage import checkpoint
 
 UNIT, BINS, CUT_EVERY = 1 << 24, 256, 10
+#: Cells that a task adds up in arrays, over all trees of a level: three numbers of 8 bytes each.
+TALLY_CELLS = 1 << 23
 ROWS = "key bigint, bins binary, category int, y double, margin double"
 SUMS = "tree int, slot int, col int, bin int, a bigint, b bigint, n bigint"
 #: Cumulative probabilities of a Poisson number of mean 1.
@@ -122,12 +124,18 @@ Statistics = Callable[[int, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarra
 
 def level_sums(rows: DataFrame, width: int, trees: dict[int, Tree], open_nodes: dict[int, list[int]], allowed: dict[int, np.ndarray], statistics: Statistics) -> DataFrame:
     """SUMS of the open nodes, numbered by slot, over their allowed columns; column -1 holds a node's totals."""
+    spans = {t: max(BINS, may.shape[1] - width) for t, may in allowed.items()}
+    tallied: dict[int, int] = {}  # trees for which there is room are added up over the task, the others by batch
+    for t, nodes in open_nodes.items():
+        size = len(nodes) * (width + 2) * spans[t]
+        if size + sum(tallied.values()) <= TALLY_CELLS:
+            tallied[t] = size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = {t: np.full(len(tree.column), -1, np.int64) for t, tree in trees.items()}
         for t, nodes in open_nodes.items():
             slots[t][nodes] = np.arange(len(nodes))
-        tallies: dict[int, np.ndarray] = {}
+        tallies = {t: np.zeros((3, size), np.int64) for t, size in tallied.items()}
 
         def rows_of(t: int, keys: np.ndarray, sums: np.ndarray, span: int) -> pa.RecordBatch:
             col, rest = (keys // span) % (width + 2) - 1, keys % span
@@ -143,8 +151,7 @@ def level_sums(rows: DataFrame, width: int, trees: dict[int, Tree], open_nodes:
                 if not len(taken):
                     continue
                 s, may = slot[taken], allowed[t]
-                categories = may.shape[1] - width
-                span = max(BINS, categories)
+                categories, span = may.shape[1] - width, spans[t]
                 keys, who = [s * (width + 2) * span], [taken]
                 for c in range(width):
                     ok = may[s, c]
@@ -156,17 +163,15 @@ def level_sums(rows: DataFrame, width: int, trees: dict[int, Tree], open_nodes:
                 keys.append((s[ok] * (width + 2) + width + 1) * span + known[ok])
                 who.append(taken[ok])
                 at, row = np.concatenate(keys), np.concatenate(who)
-                size = len(open_nodes[t]) * (width + 2) * span
-                if size <= 1 << 22:  # added up over the task; sums of a batch fit a double exactly
-                    tally = tallies.setdefault(t, np.zeros((3, size), np.int64))
+                if t in tallies:  # sums of a batch fit a double exactly
                     for i, x in enumerate((a, b, count)):
-                        tally[i] += np.bincount(at, x[row], size).astype(np.int64)
+                        tallies[t][i] += np.bincount(at, x[row], tallies[t].shape[1]).astype(np.int64)
                 else:
                     cells, inverse = np.unique(at, return_inverse=True)
                     yield rows_of(t, cells, np.stack([np.bincount(inverse, x[row]).astype(np.int64) for x in (a, b, count)]), span)
         for t, tally in tallies.items():
             cells = np.flatnonzero(tally[2])
-            yield rows_of(t, cells, tally[:, cells], max(BINS, allowed[t].shape[1] - width))
+            yield rows_of(t, cells, tally[:, cells], spans[t])
 
     parts = rows.mapInArrow(run, SUMS)
     return parts.groupBy("tree", "slot", "col", "bin").agg(*(F.sum(c).alias(c) for c in "abn"))
@@ -313,7 +318,7 @@ def bootstrap_classes(table: DataFrame, trees: list[int], seed: int, width: int)
     return {t: {c: total(t) / (2 * counts[t, c]) if counts.get((t, c)) else 0.0 for c in (0, 1)} for t in trees}
 
 
-def fit_forest(rows: DataFrame, numbers: list[str], category: str, categories: int, label: str, trees: int, depth: int, min_leaf: int = 5, bins: int = BINS, seed: int = 42, together: int = 10) -> Ensemble:
+def fit_forest(rows: DataFrame, numbers: list[str], category: str, categories: int, label: str, trees: int, depth: int, min_leaf: int = 5, bins: int = BINS, seed: int = 42, together: int = 40) -> Ensemble:
     width, edges = len(numbers), edges_of(rows, numbers, bins)
     table = dealt(checkpoint(binned(rows, numbers, category, label, edges)))
     whole, gains, out = width + categories, np.zeros(width + categories), []

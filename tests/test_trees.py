@@ -82,6 +82,17 @@ def test_boosting_is_the_same_however_rows_are_partitioned(spark):
     assert made[0] == made[1]
 
 
+def test_forest_is_the_same_however_trees_share_jobs_and_memory(spark, monkeypatch):
+    frame = spark.createDataFrame(table(6, 120), SCHEMA).repartition(2)
+    made = []
+    for together, cells in ((3, T.TALLY_CELLS), (2, T.TALLY_CELLS), (3, 2 * 4 * T.BINS), (3, 0)):
+        monkeypatch.setattr(T, "TALLY_CELLS", cells)
+        made.append(T.fit_forest(frame, ["a", "b"], "s", 5, "label", trees=3, depth=3, together=together))
+    for other in made[1:]:
+        assert other.trees == made[0].trees
+        assert other.gains == pytest.approx(made[0].gains)
+
+
 def test_bootstraps_balance_their_own_classes(spark):
     rows = table(4)
     frame = spark.createDataFrame(rows, SCHEMA)
