@@ -17,7 +17,7 @@ def replay_tail(rows: DataFrame, n: int = 288) -> DataFrame:
 
 
 def recent_window(rows: DataFrame, sensor_id: str, until: datetime.datetime, n: int = 13) -> DataFrame:
-    """One sensor's last ``n`` rows up to a time, in time order; both filters reach the scan."""
+    """One sensor's last ``n`` rows up to a time, in time order. Of a stored table both filters reach the scan; of a grid, whose columns are made, none can."""
     return rows.where((F.col("sensor_id") == sensor_id) & (F.col("ts") <= F.lit(until).cast("timestamp_ntz"))).orderBy(F.desc("ts")).limit(n).orderBy("ts")
 
 
