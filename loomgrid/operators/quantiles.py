@@ -17,7 +17,8 @@ def in_ranges(counts: DataFrame, group: list[str], ranges: int) -> DataFrame:
     """Counted values ``_x`` (``_n`` times) with ``_range`` and the group's ``_total``."""
     cuts = [i / ranges for i in range(1, ranges)]
     edges = F.percentile_approx("_x", cuts, 20 * ranges) if cuts else F.array().cast("array<double>")
-    found = counts.groupBy(*group).agg(edges.alias("_edges"), F.sum("_n").alias("_total"))
+    # a row for each group, stored: approximate quantiles depend on the order in which partitions are merged, and ranges are looked at twice
+    found = checkpoint(counts.groupBy(*group).agg(edges.alias("_edges"), F.sum("_n").alias("_total")))
     return counts.join(found, group).select(*group, "_x", "_n", "_total", F.size(F.filter("_edges", lambda e: e < F.col("_x"))).alias("_range"))
 
 

@@ -29,10 +29,15 @@ def q(body: str, ctes: str = GRID) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def q6(value: str, quantile: float) -> str:
+    """A quantile to six places, ties up, as doubles lie on either side of one: readings have six places, so nine decimal places hold their quantiles exactly."""
+    return f"round(CAST(quantile_cont({value}, {quantile}) AS DECIMAL(38, 9)), 6)::DOUBLE"
+
+
 ZERO = GRID + ", shares AS (SELECT ts, t, count(*) FILTER (speed = 0) AS zeros, count(*) AS sensors FROM grid GROUP BY 1, 2)"
 ZEROS = GRID + "," + runs("(SELECT *, speed = 0 AS z FROM grid)", "z", "zruns")
 JUMPS = """jumps AS (SELECT *, coalesce(abs(speed - lag(speed) OVER (PARTITION BY sensor_id ORDER BY t)) > 40, false) AS is_large_jump, lag(speed) OVER (PARTITION BY sensor_id ORDER BY t) AS before FROM grid)"""
-PROFILE = "count(v) AS valid_count, count(*) AS total_count, round(1 - count(v) / count(*), 6) AS missing_rate, round(avg(v), 6) AS mean_speed, round(quantile_cont(v, 0.5), 6) AS median_speed"
+PROFILE = f"count(v) AS valid_count, count(*) AS total_count, round(1 - count(v) / count(*), 6) AS missing_rate, round(avg(v), 6) AS mean_speed, {q6('v', 0.5)} AS median_speed"
 CRUNS = FLOW + "," + runs("state", "c60", "cruns")
 EVENTS = CRUNS + """,
 run_events AS (SELECT s.sensor_id, count(r.run_steps) AS event_count, round(coalesce(avg(r.run_steps * 60), 0), 6) AS mean_event_minutes, CAST(coalesce(max(r.run_steps) * 60, 0) AS BIGINT) AS max_event_minutes
@@ -129,9 +134,9 @@ R9 = lambda names: ", ".join(f"round({n}, 9) AS {n}" for n in names)  # noqa: E7
 ORACLES: dict[str, str] = {
     "dense_grid": q("SELECT sensor_id, ts, speed FROM grid"),
     "grid_validation": q("SELECT CAST(count(*) AS BIGINT) AS n_rows, count(DISTINCT sensor_id) AS sensors, count(DISTINCT t) AS steps, CAST(0 AS BIGINT) AS repeated_keys, max(t) - min(t) + 1 - count(DISTINCT t) AS missing_steps, count(*) = count(DISTINCT sensor_id) * (max(t) - min(t) + 1) AS is_grid FROM grid"),
-    "hourly_pattern": q(f"SELECT hour, {PROFILE}, round(quantile_cont(v, 0.1), 6) AS p10_speed, round(quantile_cont(v, 0.9), 6) AS p90_speed, round(avg(speed), 6) AS mean_with_zero, round(quantile_cont(speed, 0.5), 6) AS median_with_zero FROM grid GROUP BY hour"),
+    "hourly_pattern": q(f"SELECT hour, {PROFILE}, {q6('v', 0.1)} AS p10_speed, {q6('v', 0.9)} AS p90_speed, round(avg(speed), 6) AS mean_with_zero, {q6('speed', 0.5)} AS median_with_zero FROM grid GROUP BY hour"),
     "weekday_hour_pattern": q(f"SELECT day_of_week, dayname(ts) AS weekday, hour, {PROFILE} FROM grid GROUP BY ALL"),
-    "day_type_hour_pattern": q("""SELECT d.day_type, h.hour, count(g.v) AS valid_count, count(g.t) AS total_count, round(avg(v), 6) AS mean_speed, round(quantile_cont(v, 0.5), 6) AS median_speed, round(quantile_cont(v, 0.1), 6) AS p10_speed, round(quantile_cont(v, 0.9), 6) AS p90_speed
+    "day_type_hour_pattern": q(f"""SELECT d.day_type, h.hour, count(g.v) AS valid_count, count(g.t) AS total_count, round(avg(v), 6) AS mean_speed, {q6('v', 0.5)} AS median_speed, {q6('v', 0.1)} AS p10_speed, {q6('v', 0.9)} AS p90_speed
         FROM (VALUES ('Weekday', false), ('Weekend', true)) d(day_type, flag) CROSS JOIN (SELECT CAST(unnest(generate_series(0, 23)) AS BIGINT) AS hour) h LEFT JOIN grid g ON g.is_weekend = d.flag AND g.hour = h.hour GROUP BY 1, 2"""),
     "daily_trend": q(f"SELECT date, {PROFILE}, round(avg(speed), 6) AS mean_with_zero FROM grid GROUP BY date"),
     "sensor_risk": q("SELECT r.*, p.latitude, p.longitude FROM whole_risk r LEFT JOIN places p USING (sensor_id)", EVENTS + ", " + PLACES),
@@ -200,10 +205,10 @@ ORACLES: dict[str, str] = {
     "class_balance": q("SELECT count(*) AS n_rows, count(*) FILTER (y = 1) AS positives, round(coalesce(count(*) FILTER (y = 0) / nullif(count(*) FILTER (y = 1), 0), 1), 6) AS positive_weight FROM scored", SCORED),
     "spearman_ranks": q("SELECT round(corr(r50, r60), 6) AS spearman_50_60, round(corr(r60, r70), 6) AS spearman_60_70 FROM (SELECT " + ", ".join(f"rank() OVER (ORDER BY congestion_rate_{k}) + (count(*) OVER (PARTITION BY congestion_rate_{k}) - 1) / 2 AS r{k}" for k in (50, 60, 70)) + " FROM whole_risk WHERE coverage_rate >= 0.75)", EVENTS),
     "zero_sensitivity": q("SELECT \"by\", round(avg(gap), 6) AS mean_gap, round(max(gap), 6) AS max_gap FROM (SELECT 'hour' AS \"by\", avg(v) - avg(speed) AS gap FROM grid GROUP BY hour UNION ALL SELECT 'day', avg(v) - avg(speed) FROM grid GROUP BY date) GROUP BY 1"),
-    "weekday_weekend_gap": q("SELECT round(avg(m) FILTER (NOT is_weekend), 6) AS weekday_speed, round(avg(m) FILTER (is_weekend), 6) AS weekend_speed, round(avg(m) FILTER (is_weekend) - avg(m) FILTER (NOT is_weekend), 6) AS gap FROM (SELECT is_weekend, hour, round(quantile_cont(v, 0.5), 6) AS m FROM grid WHERE hour BETWEEN 7 AND 9 GROUP BY 1, 2)"),
-    "weekday_pivot": q("SELECT day_of_week, " + ", ".join(f"max(CASE WHEN hour = {h} THEN m END) AS h{h:02d}" for h in range(24)) + " FROM (SELECT day_of_week, hour, round(quantile_cont(v, 0.5), 6) AS m FROM grid GROUP BY 1, 2) GROUP BY 1"),
+    "weekday_weekend_gap": q(f"SELECT round(avg(m) FILTER (NOT is_weekend), 6) AS weekday_speed, round(avg(m) FILTER (is_weekend), 6) AS weekend_speed, round(avg(m) FILTER (is_weekend) - avg(m) FILTER (NOT is_weekend), 6) AS gap FROM (SELECT is_weekend, hour, {q6('v', 0.5)} AS m FROM grid WHERE hour BETWEEN 7 AND 9 GROUP BY 1, 2)"),
+    "weekday_pivot": q("SELECT day_of_week, " + ", ".join(f"max(CASE WHEN hour = {h} THEN m END) AS h{h:02d}" for h in range(24)) + f" FROM (SELECT day_of_week, hour, {q6('v', 0.5)} AS m FROM grid GROUP BY 1, 2) GROUP BY 1"),
     "coverage_topk": q("SELECT * FROM whole_risk WHERE coverage_rate >= 0.75 ORDER BY congestion_rate_60 DESC, sensor_id LIMIT 15", EVENTS),
-    "slowest_hours": q(f"SELECT hour, {PROFILE}, round(quantile_cont(v, 0.1), 6) AS p10_speed, round(quantile_cont(v, 0.9), 6) AS p90_speed, round(avg(speed), 6) AS mean_with_zero, round(quantile_cont(speed, 0.5), 6) AS median_with_zero FROM grid GROUP BY hour ORDER BY median_speed, hour LIMIT 1"),
+    "slowest_hours": q(f"SELECT hour, {PROFILE}, {q6('v', 0.1)} AS p10_speed, {q6('v', 0.9)} AS p90_speed, round(avg(speed), 6) AS mean_with_zero, {q6('speed', 0.5)} AS median_with_zero FROM grid GROUP BY hour ORDER BY median_speed, hour LIMIT 1"),
     "importance_rollup": "SELECT CASE WHEN p_size % 2 = 0 THEN 'type' ELSE lower(p_brand) END AS feature, round(sum(p_retailprice), 6) AS importance FROM part GROUP BY 1",
     "metric_melt": q("UNPIVOT (SELECT sensor_id, coverage_rate, congestion_rate_50, congestion_rate_60, congestion_rate_70 FROM whole_risk) ON COLUMNS(* EXCLUDE sensor_id) INTO NAME metric VALUE value", EVENTS),
     "train_sample": q("SELECT sensor_id, ts FROM grid WHERE speed > 0 ORDER BY md5(sensor_id || '|' || t || '|42'), sensor_id || '|' || t LIMIT 500"),

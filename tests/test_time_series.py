@@ -266,6 +266,32 @@ def test_quantiles_of_outliers_and_infinities(spark):
     assert got == {1: ([float("-inf"), 1.0, float("inf")], [3.0]), 2: ([float("-inf")] * 3, None)}
 
 
+def test_hourly_medians_that_are_ties(spark):
+    """Two readings of six places an hour: their mean often ends in a 5 at the seventh, which goes up, though doubles lie on either side of it."""
+    draw, start = random.Random(5), dt.datetime(2024, 1, 1)
+    rows, wanted = [], {}
+    for h in range(24):
+        low = draw.randrange(10**6, 10**8)
+        wanted[h] = (low + 1) / 10**6
+        rows += [(s, start + dt.timedelta(hours=h), h, x / 10**6) for s, x in (("A", low), ("B", low + 1))]
+    frame = spark.createDataFrame(rows, "sensor_id string, ts timestamp_ntz, t bigint, speed double")
+    hourly = {r["hour"]: (r["median_speed"], r["median_with_zero"]) for r in P.hourly_pattern(frame).collect()}
+    assert hourly == {h: (x, x) for h, x in wanted.items()}
+    assert {r["hour"]: r["median_speed"] for r in P.weekday_hour_pattern(frame).collect()} == wanted
+    assert {r["hour"]: r["median_speed"] for r in P.day_type_hour_pattern(frame).where("valid_count > 0").collect()} == wanted
+
+
+def test_ranges_are_laid_once(spark, monkeypatch):
+    """Approximate edges depend on the order in which partitions are merged, so totals and values of ranges have to see the same ones."""
+    from loomgrid.operators import quantiles
+
+    kept = []
+    monkeypatch.setattr(quantiles, "checkpoint", lambda df: kept.append(df.columns) or df.checkpoint())
+    spark.sparkContext.setCheckpointDir("/tmp/spark-ranges") if spark.sparkContext.getCheckpointDir() is None else None
+    assert exact_quantiles(spark.range(1000).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("v")), ["k"], F.col("v"), [0.5]).first()["q"] == [499.5]
+    assert any("_edges" in columns for columns in kept)
+
+
 @pytest.mark.parametrize("users", [range(10), range(100), [3, 95, 96, 98, *range(200, 240, 3), *range(1000, 1100, 3)], [-5, -4, *range(80)], []])
 def test_event_grid_equals_its_definition(spark, tmp_path, users):
     rng = random.Random(6)
