@@ -8,6 +8,11 @@ how often a text ends, as a share of pieces and ends together. A word's probabil
 forward recursion in log space; a text's is the product over its words and the end piece. With ``free`` the round sets every piece's
 probability by its expected uses instead of the scale: a corpus-trained unigram model, as an option beside the method.
 
+With ``words`` (what the query takes) the corpus speaks first: a token counted c of N times has (c - d) / N by its count, and the d taken from each of the T
+known tokens, d * T / N in all, goes to the lattice, which so spells the unknown ones (d = n1 / (n1 + 2 n2) by the tokens seen once and twice: absolute discounting). The lattice
+is then ``free`` and fitted to distinct words, each once, as what it stands for is words that are new. Its words' probabilities sum to B / (B + E), with B the pieces that start a word and E the
+end, and E / (B + E) is the end's; so the probabilities of all tokens sum to at most one.
+
 Where the work goes: words are counted within tasks and then summed in a shuffle that grows with the corpus;
 expected counts come back as at most one number for each piece; every distinct word's two log probabilities are
 computed once. The ``head`` most frequent words go to the executors as a broadcast (at most ``head`` words of at
@@ -224,13 +229,13 @@ def _count(folds: int, held: int, flush: int):
     return run
 
 
-def score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, head: int = 200_000, head_bytes: int = 64, free: bool = False) -> DataFrame:
+def score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, head: int = 200_000, head_bytes: int = 64, free: bool = False, words: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) of every row."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     counted = texts.mapInArrow(_count(folds, held, 400_000), "word binary, c bigint")
     vocabulary = checkpoint(counted.groupBy("word").agg(F.sum("c").alias("c")))
-    total, distinct = vocabulary.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    total, distinct, once, twice = vocabulary.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
 
     pieces, own_weights = read_pieces(pieces_path)
     start = scaled(own_weights, 1.0, 0.5)
@@ -238,30 +243,45 @@ def score(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: s
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, sums = Lattice(pieces, start), np.zeros(len(pieces))
         for b in batches:
-            sums += lattice.expected(b.column("word").to_pylist(), b.column("c").to_numpy().astype(float))
+            c = b.column("c").to_numpy()
+            sums += lattice.expected(b.column("word").to_pylist(), np.ones(len(c)) if words else c.astype(float))
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_pydict({"piece": used, "n": sums[used]})
 
     learned = vocabulary.where("c > 0").where(F.col("word") != F.lit(END)).mapInArrow(expect, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # at most a row for each piece
     ends = vocabulary.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    if words:
+        ends = min(ends, 1)  # one token among the distinct ones
     uses = np.zeros(len(pieces))
     for r in learned:
         uses[r["piece"]] = r["n"]
     end = (ends + 1) / (ends + uses.sum() + 2)
     log_probs = scaled(own_weights, fit_scale(own_weights, uses), end)
-    if free:
+    if free or words:
         held_back = uses[:-1] + 100 * np.exp(start[:-1]) / np.exp(start[:-1]).sum()  # the scores count as a hundred pieces
         log_probs = np.append(np.log(held_back / held_back.sum()) + np.log1p(-end), np.log(end))
     log10 = float(np.log(10))
     norm = total + 0.5 * (distinct + 1)
+    taken = once / (once + 2 * twice) if once and twice else 0.5
+    starts = float(np.exp([x for p, x in zip(pieces, log_probs.tolist(), strict=True) if p.startswith(b" ")]).sum())
+    own_end = log_probs[-1] - math.log(starts + math.exp(log_probs[-1])) if words else log_probs[-1]
+
+    def by_counts(c: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """Discounted counts, and the lattice for the rest."""
+        if not total:
+            return spelled
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(np.maximum(c - taken, 0) / total), math.log(taken * distinct / total) + spelled)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, log_probs)
         for b in batches:
-            words, c = b.column("word").to_pylist(), b.column("c").to_numpy()
-            inner = [i for i, w in enumerate(words) if w != END]
-            model = np.full(len(words), log_probs[-1])
-            model[inner] = lattice.log_prob([words[i] for i in inner])
+            found, c = b.column("word").to_pylist(), b.column("c").to_numpy()
+            inner = [i for i, w in enumerate(found) if w != END]
+            model = np.full(len(found), own_end)
+            model[inner] = lattice.log_prob([found[i] for i in inner])
+            if words:
+                model = by_counts(c, model)
             yield pa.RecordBatch.from_pydict({"word": b.column("word"), "c": b.column("c"), "base": np.log10((c + 0.5) / norm), "model": model / log10})
 
     judged = checkpoint(vocabulary.mapInArrow(judge, "word binary, c bigint, base double, model double"))

@@ -305,6 +305,40 @@ def test_lm_score_value(spark):
             assert r["score"] == pytest.approx(want, rel=2e-3)
 
 
+def test_held_out_scores_stay_near_the_base(spark):
+    """The query's scores: finite, one for each row, and on held-out rows within a tenth of the base formula, which gives each of endlessly many unknown words the same."""
+    from loomgrid.llm.queries import op10_lattice_lm
+
+    rows = [r for r in op10_lattice_lm(spark, "/root/testdata/sf0.01").collect()]
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+    assert all(r["score"] is not None and math.isfinite(r["score"]) for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    known = [r for r in held if r["n_known"] == r["n_tokens"]]
+    assert known and sum(r["score"] for r in known) > 1.05 * sum(r["base_score"] for r in known)
+    assert sum(r["score"] for r in held) > 1.3 * sum(r["base_score"] for r in held)  # a fifth of these small tables' words is unknown
+
+
+def test_words_and_lattice_sum_to_one(spark):
+    """Discounted counts and what the lattice gets: known tokens by hand, and the unknown ones have what is left."""
+    texts = ["the cat sat", "the cat", "the mat", "a dog", None, "the the end", "cat", "a b", "mat mat", "end"]
+    path, frame = P.path("piece_bpe_32k.model"), docs(spark, texts)
+    train = collections.Counter()
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            train.update(lm_score.tokens(t or ""))
+            train[b""] += 1
+    n, once, twice = sum(train.values()), sum(c == 1 for c in train.values()), sum(c == 2 for c in train.values())
+    d = once / (once + 2 * twice) if once and twice else 0.5
+    whole = 0.0
+    ends = next(r["score"] for r in lm_score.score(frame, path, words=True).collect() if r["n_tokens"] == 1)
+    held = [i for i in range(1000, 9000) if zlib.crc32(str(i).encode()) % 5 == 1][: len(train) - 1]
+    singles = docs(spark, texts + [w.decode() for w in train if w], list(range(len(texts))) + held)
+    for r in lm_score.score(singles, path, words=True).where("doc_id >= 1000").collect():
+        whole += 10 ** (r["score"] - ends)
+    whole += 10**ends
+    assert 1 - d * len(train) / n < whole <= 1  # all counts but the discounts, and some of the lattice's share
+
+
 def test_very_long_words():
     pieces, weights = lm_score.read_pieces(P.path("piece_bpe_32k.model"))
     lattice, began = lm_score.Lattice(pieces, lm_score.scaled(weights, 1.0, 0.5)), time.process_time()
