@@ -114,6 +114,23 @@ def test_neighbours_look_back_only_and_hubs_are_split(spark):
         neighbour_features(grid(spark, speeds), edges, (0, 1))
 
 
+def test_pairs_of_neighbours_never_become_rows_for_each_step(spark):
+    """40 sensors next to one another over 64 steps are 99,840 pairs and steps; what is shuffled is a row for each sensor and step of a tile. Edges to unknown sensors go first."""
+    names = [f"s{i:02d}" for i in range(40)]
+    speeds = {n: [(i * 7 + t * 3) % 11 for t in range(64)] for i, n in enumerate(names)}
+    edges = spark.createDataFrame([(a, b, 1.0) for a in names for b in names if a < b] + [("s00", f"unknown{i}", 1.0) for i in range(100)], "from_id string, to_id string, cost double")
+    found = neighbour_sums(grid(spark, speeds), edges)
+    assert "Generate explode" not in found._jdf.queryExecution().optimizedPlan().toString() and "FlatMapCoGroups" in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(r["sensor_id"], r["t"]): (r["near_count"], r["near_sum"], r["near_min"], r["near_max"]) for r in found.collect()}
+    wanted = {}
+    for n in names:
+        for t in range(64):
+            near = [speeds[m][t] for m in names if m != n and speeds[m][t] > 0]
+            wanted[n, t] = (len(near), sum(near), min(near), max(near))
+    assert rows == wanted
+
+
+
 def test_short_gaps_are_filled_from_the_past_only(spark):
     speeds = {"a": [0, 5, 0, 0, 0, 0, 7, 0]}
     periods = spark.createDataFrame([("a", False, t, 50.0 + t) for t in range(7)], "sensor_id string, is_weekend boolean, time_slot bigint, period_median_speed double")
