@@ -167,3 +167,23 @@ def test_one_class_and_no_rows(spark):
         frame = spark.createDataFrame(rows, SCHEMA)
         assert len(T.fit_boosting(frame, ["a", "b"], "s", 1, "label", rounds=2, depth=2, rate=0.1).trees) <= 2
         assert all(len(t.column) == 1 for t in T.fit_forest(frame, ["a", "b"], "s", 1, "label", trees=2, depth=2).trees)
+
+
+def test_fits_run_side_by_side(spark):
+    """Jobs of several threads overlap, come back in their order, and see the caller's folder for checkpoints; a failure is passed on."""
+    import threading
+
+    from loomgrid.functions.lineage import _OWN, side_by_side
+
+    meet, token = threading.Barrier(3, timeout=60), _OWN.set("/tmp/own")
+
+    def job(i):
+        meet.wait()  # passes only if all three run at the same time
+        return spark.range(10 + i).count(), _OWN.get()
+
+    try:
+        assert side_by_side(spark, [lambda i=i: job(i) for i in range(3)]) == [(10, "/tmp/own"), (11, "/tmp/own"), (12, "/tmp/own")]
+    finally:
+        _OWN.reset(token)
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(spark, [lambda: 1 // 0, lambda: 2])
