@@ -19,6 +19,8 @@ ignored. Which documents meet in a sequence depends on how the input is partitio
 from __future__ import annotations
 
 import os
+import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,23 +37,62 @@ SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 END = 1
 
 
+#: ASCII punctuation, and words of letters that are their own normal form: small ASCII letters and the letters of Latin-1 (beside the signs between them).
+PUNCTUATION, LETTERS = string.punctuation.encode(), re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
+
+
+def stem_of(word: bytes) -> bytes:
+    """``word`` without closing ASCII punctuation where it stands behind a letter or digit that ``LETTERS`` or ASCII has; else all of it."""
+    stem = word.rstrip(PUNCTUATION)
+    if not stem or len(stem) == len(word):
+        return word
+    last = stem[-1]
+    latin = len(stem) > 1 and stem[-2] == 0xC3 and last not in (0x97, 0xB7)
+    return stem if latin or 97 <= last <= 122 or 48 <= last <= 57 else word
+
+
 class WordIds:
     """Ids of whole texts by a tokenizer that lower-cases and whose tokens never cross ASCII white space, nor the place between
-    an ASCII letter or digit and a closing comma or full stop; so words are encoded once while they are remembered.
+    a letter or digit and closing ASCII punctuation; so stems and closings are encoded once while they are remembered. Words are remembered in two
+    generations of half of ``remember`` each: what is used moves to the younger one, and only the older one is forgotten.
+
+    Words of ``LETTERS`` alone are one word to the tokenizer too, and its normalizer and pattern only make them small; so they are encoded many
+    to a text without these two, spelt in its letters for bytes, and told apart by the mark that the last token of a word has.
 
     The tokenizer looks for its special tokens in the raw text, with their case; so texts with ``SPECIAL`` in them go to it whole."""
 
-    SPECIAL = "<|"
+    SPECIAL, MARK, TOGETHER = "<|", "</w>", 1000
 
     def __init__(self, path: str, remember: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only wait for each other's cache
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
-        self.tokenizer, self.remember, self.known = Tokenizer.from_file(path), remember, {}
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = None, WhitespaceSplit()
+        bytes_of = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelt = {i: bytes_of.pre_tokenize_str(chr(i).lower())[0][0] for i in range(0xC0, 0x100) if LETTERS.fullmatch(chr(i))}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(self.MARK)]] = True
+        self.remember, self.known, self.older = remember, {}, {}
 
     def _learn(self, words: list[bytes]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.known[word] = array("I", found.ids).tobytes()
+        ascii_letters, letters, others = [], [], []
+        for word in words:
+            (ascii_letters if word.isalpha() else letters if LETTERS.fullmatch(word.decode()) else others).append(word)
+        for same in (ascii_letters, letters):
+            parts = [same[i : i + self.TOGETHER] for i in range(0, len(same), self.TOGETHER)]
+            texts = [b" ".join(part).decode() for part in parts]
+            found = self.plain.encode_batch_fast(texts if same is ascii_letters else [t.translate(self.spelt) for t in texts], add_special_tokens=False)
+            for part, one in zip(parts, found, strict=True):
+                ids = np.array(one.ids, np.uint32)
+                ends, raw = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist(), ids.tobytes()
+                for word, start, end in zip(part, [0, *ends[:-1]], ends, strict=True):
+                    self.known[word] = raw[start:end]
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)
+        for word, one in zip(others, found, strict=True):
+            self.known[word] = array("I", one.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = [i for i, t in enumerate(texts) if self.SPECIAL in t]
@@ -60,19 +101,26 @@ class WordIds:
             out[i] = np.array(self.tokenizer.encode(texts[i].encode("utf-8", "replace").decode(), add_special_tokens=False).ids, np.uint32)
         return out
 
+    def _recall(self, words: set[bytes]) -> set[bytes]:
+        """Words that the younger generation doesn't know, without those that the older one holds, which move to the younger."""
+        held = self.older.keys() & words
+        self.known.update(zip(held, map(self.older.__getitem__, held), strict=True))
+        return words - held
+
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.encode("utf-8", "replace").lower().split() for t in texts]
         distinct = set().union(*split)
         new = distinct.difference(self.known)
-        if len(self.known) + len(new) > self.remember:  # workers outlive their tasks, so this is memory for good
-            self.known = {w: self.known[w] for w in distinct.difference(new)}
-        closed = [w for w in new if len(w) > 1 and w[-1] in b".," and (97 <= w[-2] <= 122 or 48 <= w[-2] <= 57)]
-        new.difference_update(closed)
-        stems = {w[:-1] for w in closed}.union((b".", b",")).difference(self.known)
-        self._learn(list(stems.union(new)))
+        if 2 * (len(self.known) + len(new)) > self.remember:  # workers outlive their tasks, so this is memory for good
+            self.known, self.older, new = {}, self.known, distinct
+        new = self._recall(new)
+        closed = [(w, len(stem)) for w in new if (stem := stem_of(w)) is not w]
+        new.difference_update([w for w, _ in closed])
+        new.update([w[:n] for w, n in closed], [w[n:] for w, n in closed])
+        self._learn(list(self._recall(new.difference(self.known))))
         known = self.known
-        for w in closed:
-            known[w] = known[w[:-1]] + known[w[-1:]]
+        for w, n in closed:
+            known[w] = known[w[:n]] + known[w[n:]]
         ids = known.__getitem__
         return [np.frombuffer(b"".join(map(ids, ws)), np.uint32) for ws in split]
 

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import random
+import string
 import time
 import zlib
 
@@ -61,6 +62,31 @@ def test_word_ids_equal_the_tokenizer():
         assert [x.tolist() for x in own.encode(part)] == [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
 
 
+def test_word_ids_of_letters_and_closings_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tokenizer, own, rng = Tokenizer.from_file(path), packing.WordIds(path, remember=2000), random.Random(5)
+    letters = [*"aehnsAZ", *(chr(i) for i in range(0xA1, 0x180)), "1", "\u0301", "'s", "ab"]
+    words = ["".join(rng.choices(letters, weights=[40] * 7 + [1] * 223 + [9] * 4, k=rng.randint(0, 7))) + "".join(rng.choices(string.punctuation, k=rng.choice((0, 0, 1, 3)))) for _ in range(20000)]
+    words = [w for w in words if "<|" not in w] + [chr(i) + c for i in range(0xA1, 0x180) for c in ("", ",", "***", "'")]
+    for at in range(0, len(words), 400):
+        part = [" ".join(words[at : at + 200]), "\n".join(words[at + 200 : at + 400])]
+        assert [x.tolist() for x in own.encode(part)] == [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+
+
+def test_word_ids_learn_stems_once_and_keep_what_is_used():
+    own, learnt = packing.WordIds(P.path("word_bpe_49k.json"), remember=400), collections.Counter()
+    learn = own._learn
+    own._learn = lambda words: (learnt.update(words), learn(words))[1]
+    own.encode(["stem stem*** stem&&& stem... Stem, été été### été!"])
+    assert {w for w in learnt if w[:1].isalpha() or w[0] > 127} == {b"stem", "été".encode()} and set(learnt.values()) == {1}
+    for i in range(40):  # 1600 words, 50 to a batch; those in each batch aren't forgotten
+        own.encode([" ".join(["stem.", "été!", *(f"{'abcdefghij'[i % 10]}{'klmn'[i // 10]}{k}x" for k in range(40))])])
+        assert len(own.known) + len(own.older) <= 400
+    assert learnt[b"stem"] == learnt["été".encode()] == 1
+
+
 def test_packing_of_repeated_rows(spark):
     rows = packing.pack(docs(spark, ["one two three"] * 3 + ["four"], [1, 1, None, None]), P.path("word_bpe_49k.json")).collect()
     by_id = collections.Counter()
