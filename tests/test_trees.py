@@ -1,5 +1,6 @@
 """Boosting, the balanced forest and Shapley values against plain Python."""
 
+import hashlib
 import math
 import random
 
@@ -82,6 +83,45 @@ def test_boosting_is_the_same_however_rows_are_partitioned(spark):
     assert made[0] == made[1]
 
 
+def test_margins_are_held_until_the_next_tree_has_read_them(spark, monkeypatch):
+    """A table that is let go before its successor is computed is computed again, and with it all since the last checkpoint."""
+    events, frame = [], spark.createDataFrame(table(3), SCHEMA)
+    grow, kind = T.grow, type(frame)
+    persist, unpersist = kind.persist, kind.unpersist
+    monkeypatch.setattr(T, "grow", lambda *given: (grow(*given), events.append("grow"))[0])
+    monkeypatch.setattr(kind, "persist", lambda df: (persist(df), events.append("persist"))[0])
+    monkeypatch.setattr(kind, "unpersist", lambda df: (unpersist(df), events.append("unpersist"))[0])
+    T.fit_boosting(frame, ["a", "b"], "s", 5, "label", rounds=4, depth=2, rate=0.3)
+    assert events.count("grow") == 4 and events.count("persist") == 3  # none for the last tree, whose margins nobody reads
+    assert all(events[i - 1] != "persist" for i, e in enumerate(events) if e == "unpersist")
+
+
+def test_a_level_takes_one_shuffle_and_cells_for_each_category_once(spark, monkeypatch):
+    categories, rows = 5000, [(i, bytes([i % 3, i % 7]), i, float(i % 2), 0.0) for i in range(200)]
+    monkeypatch.setattr(T, "TALLY_CELLS", 1 + 2 * T.BINS + categories)  # as much as a node needs
+    tree, may = T.Tree(), np.ones((1, 2 + categories), bool)
+    tree.add(0.0, 0.0)
+    statistics = lambda t, key, y, margin: (np.ones(len(key), np.int64), np.rint((0.5 - y) * T.UNIT), np.full(len(key), float(T.UNIT)))
+    sums = T.level_sums(spark.createDataFrame(rows, T.ROWS).repartition(3), 2, {0: tree}, {0: [0]}, {0: may}, statistics)
+    found = {(r["col"], r["bin"]): (r["a"], r["b"], r["n"]) for r in sums.collect()}
+    of = lambda keep: (lambda own: (sum(round((0.5 - r[3]) * T.UNIT) for r in own), len(own) * T.UNIT, len(own)))([r for r in rows if keep(r)])
+    want = {(-1, 0): of(lambda r: True)} | {(c, v): of(lambda r, c=c, v=v: r[1][c] == v) for c, k in ((0, 3), (1, 7)) for v in range(k)} | {(2, v): of(lambda r, v=v: r[2] == v) for v in range(200)}
+    assert found == want
+    plan = T.best_cuts(sums, 2, lambda a, b: f"({a}) * ({a}) / ({b})", 0.0, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(tree") == 1
+
+
+def test_an_exact_sample_orders_few_rows(spark):
+    from loomgrid.operators.metrics import exact_sample
+
+    rows = spark.range(20000).selectExpr("cast(id as string) AS k")
+    found = exact_sample(rows, 5000, F.col("k"), 7)
+    wanted = sorted((hashlib.md5(f"{i}|7".encode()).hexdigest(), str(i)) for i in range(20000))[:5000]
+    assert sorted(r["k"] for r in found.collect()) == sorted(k for _, k in wanted)
+    assert "limit=5000" not in found._jdf.queryExecution().executedPlan().toString()  # one task would order as many
+    assert exact_sample(rows, 20000, F.col("k")).count() == 20000 and "TakeOrdered" not in exact_sample(rows, 20000, F.col("k"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_forest_is_the_same_however_trees_share_jobs_and_memory(spark, monkeypatch):
     frame = spark.createDataFrame(table(6, 120), SCHEMA).repartition(2)
     made = []
