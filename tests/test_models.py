@@ -53,6 +53,14 @@ def test_comparison_has_the_settings_of_the_reference(spark, samples, monkeypatc
     assert [(s.trees, s.tree_depth, s.boosts, s.boost_depth, s.boost_rate) for s in given] == [(120, 16, 200, 8, 0.08)]
 
 
+def test_models_learn_from_all_training_rows(spark):
+    """More rows than the million that fits used to be cut to."""
+    rows = spark.range(1_000_200).select(F.lit("s").alias("sensor_id"), F.col("id").alias("t"), F.lit("train").alias("split"), (F.col("id") % 4).cast("int").alias("target")).withColumn("target", F.least("target", F.lit(1)))
+    found = ml.dealt_rows(rows).groupBy("label").agg(F.count("*").alias("n"), F.first("weight").alias("w")).orderBy("label").collect()
+    assert [r["n"] for r in found] == [250_050, 750_150]
+    assert [r["w"] for r in found] == pytest.approx([2, 2 / 3])
+
+
 def test_importances_thresholds_and_storage(spark, samples, tmp_path):
     models = ml.fit_models(samples, SMALL)
     found = ml.all_importances(samples, SMALL).collect()
