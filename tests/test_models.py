@@ -61,6 +61,11 @@ def test_models_learn_from_all_training_rows(spark):
     assert [r["w"] for r in found] == pytest.approx([2, 2 / 3])
 
 
+def test_training_rows_are_dealt_in_whole_rounds_of_tasks(spark, samples, monkeypatch):
+    monkeypatch.setattr(ml, "TASK_ROWS", 30)  # 300 rows, 4 cores
+    assert ml.dealt_rows(samples).rdd.getNumPartitions() == 12 and ml.dealt_rows(samples).count() == 300
+
+
 def test_importances_thresholds_and_storage(spark, samples, tmp_path):
     models = ml.fit_models(samples, SMALL)
     found = ml.all_importances(samples, SMALL).collect()
